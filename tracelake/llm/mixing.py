@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
     levelled = base.withColumn("_level", level)
-    final = F.min(F.when(F.col("_cap") > F.col("_w") * F.col("_level"), F.col("_level"))).over(whole)
+    final = F.first(F.when(F.col("_cap") > F.col("_w") * F.col("_level"), F.col("_level")), ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return levelled.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_w") * final, F.col("_cap")))).drop("_cap", "_level", "_w")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, quality_rules
+from . import chat, html_extract, mixing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
 from .common import WORD, table
 
 
@@ -74,7 +74,7 @@ s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS w, (3 * source_size)::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level FROM s1
        WINDOW f AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s3 AS (SELECT *, least(cap, coalesce(w * min(CASE WHEN cap > w * level THEN level END) OVER (), cap)) AS target FROM s2),
+s3 AS (SELECT *, least(cap, coalesce(w * first_value(CASE WHEN cap > w * level THEN level END IGNORE NULLS) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), cap)) AS target FROM s2),
 s4 AS (SELECT *, greatest(1, least(64, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 100)))::BIGINT AS block,
               greatest(1, ceil(source_size / greatest(100000, sum(source_size) OVER () / 200000)))::BIGINT AS shards FROM s3),
 s5 AS (SELECT *, round(sum(target) OVER () / block)::BIGINT AS seats FROM s4),
@@ -99,12 +99,48 @@ SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN
 FROM c"""
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int) -> DataFrame:
+    """Texts and labels of the rows that may be learnt from."""
+    labels = table(spark, sf_dir, "labels").where(~_held_out(modulus, remainder)).select("doc_id", F.col(label).alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.where("label IS NOT NULL"), "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 5, 0))
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("doc_id", _held_out(5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_knn.fit(_labelled(spark, sf_dir, "quality", 4, 2))
+    out = quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.select("doc_id", _held_out(4, 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_toxicity": op4_toxicity,
+        "op5_quality_knn": op5_quality_knn,
         "op6_mixing": op6_mixing,
+        "op8_html_extraction": op8_html_extraction,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
