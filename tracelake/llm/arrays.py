@@ -39,3 +39,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def random64(n: int, seed: int) -> np.ndarray:
     """n fixed odd 64-bit numbers."""
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+def word_table() -> np.ndarray:
+    """Whether each code point below 0x3000 belongs to a word of letters and digits; the last entry is for the rest."""
+    return np.array([chr(i).isalnum() for i in range(0x3000)] + [True])
+
+
+_POWERS = random64(64, 9)
+
+
+def word_hashes(points: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every word of letters and digits."""
+    inside = table[np.minimum(points, len(table) - 1)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    since = np.arange(len(points)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(points)]))))
+    value = np.where(inside, (points.astype(np.uint64) + np.uint64(1)) * _POWERS[since & 63], np.uint64(0))
+    return mix64(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64)), np.searchsorted(at, starts, "right") - 1

@@ -91,6 +91,7 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     """host, docs, failed, host_rate: the failure rate shrunk by a beta prior fitted over hosts."""
     failed = F.col("_base_failed") | F.col("_grave") | F.col("_mild")
     hosts = judged.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("docs"), F.sum(failed.cast("long")).alias("failed"))
+    hosts = stage_table(hosts, "quality-hosts")
     rate = F.col("failed") / F.col("docs")
     fit = hosts.agg(F.sum("failed").alias("f"), F.sum("docs").alias("n"), F.var_samp(rate).alias("v")).first()
     mean = (fit["f"] or 0) / fit["n"] if fit["n"] else 0.0

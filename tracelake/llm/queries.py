@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_extract, mixing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
+from . import chat, decontaminate, html_extract, jaccard_join, mixing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
 from .common import WORD, table
 
 
@@ -121,16 +121,32 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(4, 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"), size=4, pct=85)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("_matches").alias("m"))
+    return found.select("doc_id", "m.item_id", F.col("m.cosine").alias("cosine"), F.col("m.lcs").alias("lcs"), F.col("m.answer").alias("answer"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -139,8 +155,11 @@ def queries() -> dict:
         "op4_toxicity": op4_toxicity,
         "op5_quality_knn": op5_quality_knn,
         "op6_mixing": op6_mixing,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_html_extraction": op8_html_extraction,
+        "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": pipeline,
     }
 
 
