@@ -4,11 +4,11 @@
 * A class shows a prefix of its shingles in one fixed order: n - ceil(t n) + k of them, so that two linked classes share
   k (four, or fewer in tiny sets) of their prefixes' shingles at least. Frequent shingles come last in that order, which
   keeps the lists of documents with a shingle short; any order is right.
-* Similar classes are put into groups: in every list each class is compared with one pivot only, and what links forms a
-  group. A group of thousands of near copies is thousands of comparisons, not their square.
-* The token-group matrix has each group's union of prefix shingles. A class is matched against the groups in it: where
-  it shares too few shingles with a group's union, none of the group's members can link to it. Only groups that qualify
-  are opened, member by member, and pairs that still share enough are verified on their whole sets.
+* Similar classes are put into groups of about ``GROUP``: those that share a shingle with the same smallest document.
+* The token-group matrix has each group's union of prefix shingles. Where two groups share too few shingles of their
+  unions, or their sizes don't fit, no member of one can link to a member of the other. Only groups that qualify are
+  opened: their members' whole sets meet once for each pair of groups, and links come from one matrix product. A family
+  of thousands of near copies is a few hundred groups, so its pairs never become rows.
 * Components are taken over all links.
 
 Bitmaps of fixed size thin what the tasks send; exact joins follow. Defined cases: texts without words, and null texts,
@@ -29,7 +29,7 @@ from .arrays import mix64, random64
 from .common import stage_table
 from .components import connected_components
 
-CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS = 300_000, 4, 20, 500_000, 20
+CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP = 300_000, 4, 20, 500_000, 20, 32
 _POSITIONS, _LETTERS, _PLACES = random64(64, 21), random64(256, 22), random64(16, 23)
 
 
@@ -189,30 +189,66 @@ def _hashed(ids: DataFrame) -> DataFrame:
     return ids.mapInPandas(run, "h bigint")
 
 
-def verified(sets: Sets, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pct = sets.pct
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    held = stage_table(sets.whole(bitmap_of(_hashed(ids))).join(ids, "doc", "left_semi"), "jaccard-sets")
-    left = pairs.join(held.withColumnsRenamed({"doc": "a", "tokens": "_x"}), "a")
-    both = left.join(held.withColumnsRenamed({"doc": "b", "tokens": "_y"}), "b").select("a", "b", "_x", "_y")
+def forest(sets: list[np.ndarray], left: int, pct: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of similar sets: between the first left ones and the rest, or among all if left is 0."""
+    n = np.array([len(x) for x in sets], np.int64)
+    if len(sets) == 2:
+        small, large = sorted(sets, key=len)
+        shared = np.array([[0, int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())], [0, 0]])
+    else:
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        has = np.zeros((len(sets), len(tokens)), np.float32)
+        has[np.repeat(np.arange(len(sets)), n), at] = 1
+        shared = np.rint(has @ has.T).astype(np.int64)
+    ok = np.triu((100 * shared >= pct * (n[:, None] + n[None, :] - shared)) & (shared > 0), 1)
+    if left:
+        ok[:left, :left] = False
+        ok[left:] = False
+    up = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        if (x := root(i)) != (y := root(j)):
+            up[x] = y
+            out.append((i, j))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["_x"], b["_y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                keep.append(shared > 0 and 100 * shared >= pct * (len(x) + len(y) - shared))
-            yield b.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(run, "a bigint, b bigint").distinct()
+def verified(shipped: DataFrame, pct: int) -> DataFrame:
+    """a, b: links inside each pair of groups, of rows (g1, g2, g, doc, tokens) that lie together and in order."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        key = None
+
+        def links() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            left = 0 if key[0] == key[1] else sum(g == key[0] for g, _, _ in held)
+            if left == len(held) or (key[0] != key[1] and not left):
+                return []
+            held.sort(key=lambda r: (r[0] != key[0], r[1]))
+            found = forest([np.frombuffer(t, np.uint64) for _, _, t in held], left, pct)
+            return [(held[i][1], held[j][1]) for i, j in found]
+
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for g1, g2, g, doc, tokens in zip(b["g1"], b["g2"], b["g"], b["doc"], b["tokens"], strict=True):
+                if (g1, g2) != key:
+                    out += links()
+                    held.clear()
+                    key = (g1, g2)
+                held.append((g, doc, tokens))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        yield pd.DataFrame(links(), columns=["a", "b"], dtype=np.int64)
 
-def similar_sizes(a: str, b: str, pct: int) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * pct) & (F.col(b) * 100 >= F.col(a) * pct)
+    return shipped.repartition("g1", "g2").sortWithinPartitions("g1", "g2").mapInPandas(run, "a bigint, b bigint")
 
 
 def linked(sets: Sets, classes: DataFrame) -> DataFrame:
@@ -226,27 +262,23 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
     met = stage_table(met, "jaccard-tokens")
     lists = sets.prefixes(only, heavy, tokens=bitmap_of(met.select("token"))).join(met, "token")
     lists = stage_table(lists.join(classes.select("doc"), "doc", "left_semi"), "jaccard-lists")
-    # Groups: every class against the pivot of its lists, the smallest id in each.
-    stars = lists.where("doc != lo").groupBy("doc", "n", "lo").agg(F.count("*").alias("k"))
-    sizes = classes.select(F.col("doc").alias("lo"), F.col("n").alias("m"))
-    stars = stars.join(sizes, "lo").where(similar_sizes("n", "m", pct) & (F.col("k") >= F.least(F.lit(2), _shared(F.col("n"), pct), _shared(F.col("m"), pct))))
-    edges = stage_table(verified(sets, stage_table(stars.select(F.col("doc").alias("a"), F.col("lo").alias("b")).distinct(), "jaccard-stars")), "jaccard-edges")
-    groups = connected_components(edges, "jaccard-groups")
-    # The matrix: groups by the shingles in their unions, and the range of their members' sizes.
-    grouped = lists.join(groups, lists["doc"] == groups["node"], "left").select("token", "doc", "n", F.coalesce("label", "doc").alias("g"))
-    grouped = stage_table(grouped, "jaccard-grouped")
-    several = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a != b").select("token")
-    mixed = stage_table(grouped.join(several, "token", "left_semi"), "jaccard-mixed")
-    matrix = mixed.groupBy("token", F.col("g").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("most") * 100 >= F.col("n") * pct) & (F.col("n") * 100 >= F.col("least") * pct)
-    enough = _shared(F.ceil(F.col("n") * pct / 100), pct)
-    opened = mixed.join(matrix, "token").where((F.col("g") > F.col("other")) & fits).groupBy("doc", "n", "other").agg(F.count("*").alias("k")).where(F.col("k") >= enough)
-    opened = stage_table(opened.select("doc", "other"), "jaccard-opened")
-    query = mixed.join(opened, "doc").select("token", F.col("doc").alias("a"), "n", F.col("other").alias("g"))
-    pairs = query.join(mixed.select("token", "g", F.col("doc").alias("b"), F.col("n").alias("m")), ["token", "g"]).where(similar_sizes("n", "m", pct))
-    pairs = pairs.groupBy("a", "n", "b", "m").agg(F.count("*").alias("k")).where(F.col("k") >= F.least(_shared(F.col("n"), pct), _shared(F.col("m"), pct)))
-    more = verified(sets, stage_table(pairs.select("a", "b"), "jaccard-pairs"))
-    return connected_components(edges.union(more), "jaccard-components")
+    # Groups of about GROUP similar documents: by the smallest id that a document shares a shingle with, dealt by hash.
+    near = lists.groupBy("doc", "n").agg(F.min("lo").alias("f"))
+    parts = near.groupBy("f").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    members = stage_table(near.join(parts, "f").select("doc", "n", F.xxhash64("f", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("g")), "jaccard-members")
+    # The matrix: the groups by the shingles in their unions, and the range of their members' sizes there.
+    matrix = lists.join(members.select("doc", "g"), "doc").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
+    matrix = stage_table(matrix, "jaccard-matrix")
+    x, y = (matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "least", "most", "k")]) for i in (1, 2))
+    fits = (F.col("most1") * 100 >= F.col("least2") * pct) & (F.col("most2") * 100 >= F.col("least1") * pct)
+    bound = x.join(y, "token").where(((F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("k1") > 1))) & fits)
+    opened = bound.groupBy("g1", "g2").agg(F.count("*").alias("k"), F.min(F.least("least1", "least2")).alias("least")).where(F.col("k") >= _shared(F.col("least"), pct))
+    opened = stage_table(opened.select("g1", "g2"), "jaccard-opened")
+    sides = opened.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
+    wanted = sides.select("g").distinct().join(members, "g").select("doc").distinct()
+    held = sets.whole(bitmap_of(_hashed(wanted))).join(members.select("doc", "g"), "doc")
+    edges = verified(sides.join(held, "g").select("g1", "g2", "g", "doc", "tokens"), pct)
+    return connected_components(edges, "jaccard-components")
 
 
 def join_documents(docs: DataFrame, size: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
