@@ -4,7 +4,8 @@
 * A class shows a prefix of its shingles in one fixed order: n - ceil(t n) + k of them, so that two linked classes share
   k (four, or fewer in tiny sets) of their prefixes' shingles at least. Frequent shingles come last in that order, which
   keeps the lists of documents with a shingle short; any order is right.
-* Similar classes are put into groups of about ``GROUP``: those that share a shingle with the same smallest document.
+* Similar classes are put into groups of about ``GROUP``: those of like size that share a shingle with the same smallest
+  document.
 * The token-group matrix has each group's union of prefix shingles. Where two groups share too few shingles of their
   unions, or their sizes don't fit, no member of one can link to a member of the other. Only groups that qualify are
   opened: their members' whole sets meet once for each pair of groups, and links come from one matrix product. A family
@@ -29,7 +30,7 @@ from .arrays import mix64, random64
 from .common import stage_table
 from .components import connected_components
 
-CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP = 300_000, 4, 20, 500_000, 20, 32
+CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP, COLUMNS = 300_000, 4, 20, 500_000, 20, 128, 8_192
 _POSITIONS, _LETTERS, _PLACES = random64(64, 21), random64(256, 22), random64(16, 23)
 
 
@@ -196,10 +197,16 @@ def forest(sets: list[np.ndarray], left: int, pct: int) -> list[tuple[int, int]]
         small, large = sorted(sets, key=len)
         shared = np.array([[0, int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())], [0, 0]])
     else:
-        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-        has = np.zeros((len(sets), len(tokens)), np.float32)
-        has[np.repeat(np.arange(len(sets)), n), at] = 1
-        shared = np.rint(has @ has.T).astype(np.int64)
+        tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, slot = np.repeat(np.arange(len(sets)), n), np.cumsum(times > 1) - 1
+        met = times[at] > 1
+        row, slot = row[met], slot[at[met]]
+        shared = np.zeros((len(sets), len(sets)), np.int64)
+        for lo in range(0, int(slot.max(initial=-1)) + 1, COLUMNS):  # shingles of one set alone are left out
+            m = (slot >= lo) & (slot < lo + COLUMNS)
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[row[m], slot[m] - lo] = 1
+            shared += np.rint(has @ has.T).astype(np.int64)
     ok = np.triu((100 * shared >= pct * (n[:, None] + n[None, :] - shared)) & (shared > 0), 1)
     if left:
         ok[:left, :left] = False
@@ -262,10 +269,11 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
     met = stage_table(met, "jaccard-tokens")
     lists = sets.prefixes(only, heavy, tokens=bitmap_of(met.select("token"))).join(met, "token")
     lists = stage_table(lists.join(classes.select("doc"), "doc", "left_semi"), "jaccard-lists")
-    # Groups of about GROUP similar documents: by the smallest id that a document shares a shingle with, dealt by hash.
-    near = lists.groupBy("doc", "n").agg(F.min("lo").alias("f"))
-    parts = near.groupBy("f").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    members = stage_table(near.join(parts, "f").select("doc", "n", F.xxhash64("f", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("g")), "jaccard-members")
+    # Groups of about GROUP similar documents: by the smallest id that a document shares a shingle with and its size (to a
+    # factor of the similarity), dealt by hash.
+    near = lists.groupBy("doc", "n").agg(F.min("lo").alias("f")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))))
+    parts = near.groupBy("f", "band").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    members = stage_table(near.join(parts, ["f", "band"]).select("doc", "n", F.xxhash64("f", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("g")), "jaccard-members")
     # The matrix: the groups by the shingles in their unions, and the range of their members' sizes there.
     matrix = lists.join(members.select("doc", "g"), "doc").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
     matrix = stage_table(matrix, "jaccard-matrix")
