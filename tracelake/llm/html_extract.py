@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 SPACE = re.compile(r"\s+")
 WHOLE = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "select", "xmp"}  # their content is no text
@@ -205,6 +207,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without its html, with ``_main_text``; other columns pass through."""
+    small_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c != html_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

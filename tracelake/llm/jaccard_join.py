@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import stage_table
+from .common import small_batches, stage_table
 from .components import connected_components
 
 CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP, COLUMNS = 300_000, 4, 20, 500_000, 20, 128, 8_192
@@ -291,6 +291,7 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
 
 def join_documents(docs: DataFrame, size: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: linked at a Jaccard similarity of pct / 100 of size-word shingles."""
+    small_batches(docs.sparkSession)
     body = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_data"))
     sets = Sets(body, size, pct)
     signed = stage_table(sets.signatures(), "jaccard-signatures")

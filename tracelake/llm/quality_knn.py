@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, code_points, mix64
+from .common import small_batches
 
 DIMS, RANK, MAX_TRAIN, NEIGHBOURS = 2048, 48, 6_000, 15
 BLOCK = 512
@@ -83,6 +84,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame) -> Model:
     """A model from rows (doc_id, text, label)."""
+    small_batches(labelled.sparkSession)
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     sample = labelled.join(ids.distinct(), "doc_id", "left_semi").select("label", "text")
 
@@ -122,6 +124,7 @@ def vote(x: np.ndarray, model: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, with ``_score``."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

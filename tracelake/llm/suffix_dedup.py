@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import stage_table
+from .common import small_batches, stage_table
 
 LENGTH, GRAM = 100, 32
 CHUNK = 300_000
@@ -235,8 +235,9 @@ def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
     return whole.union(later.select("doc", "p", F.col("p") + LENGTH))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
+    small_batches(docs.sparkSession)
     smallest = F.lit(-(1 << 63)).cast("bigint")
     body = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), smallest).alias("_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_data"))
     spans = repeated_spans(body, batches).distinct().groupBy(F.col("doc").alias("_of")).agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))

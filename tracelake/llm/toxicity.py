@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from .arrays import chunks, code_points
+from .common import small_batches
 
 MAX_TERMS, MAX_TRAIN, MIN_LOG_ODDS = 96, 12_000, 1.7
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "imbecile", "dumbass", "retard", "bastard", "bitch", "asshole", "idiota", "estúpido", "imbécil", "connard", "salope", "crétin", "arschloch", "trottel", "hurensohn", "dummkopf", "abschaum")
@@ -248,6 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _mapped(docs: DataFrame, lexicon: Lexicon, model: Model | None) -> DataFrame:
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
