@@ -74,7 +74,7 @@ def rule_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
             count_chars(body, "!").alias("n_bangs"),
         ),
     )
-    return docs.select(*[F.col(c) for c in (docs.columns if keep is None else keep)], counts.alias("_q"))
+    return docs.select(*[F.col(c) for c in (docs.columns if keep is None else keep)], F.explode(F.array(counts)).alias("_q"))  # a generator, so that each use doesn't count again
 
 
 def judge(counted: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
