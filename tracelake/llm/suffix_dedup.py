@@ -8,9 +8,11 @@ merging needs). A new batch is merge-scanned against the existing levels for suf
 of equal size merge, so that there are never more levels than the logarithm of the number of batches.
 
 Suffixes that match anywhere are then extended to whole windows. The windows of one anchor form a segment; segments that
-are equal throughout fall into a class, of which the first occurrence stays and all others go whole. Only where an anchor
-has several classes, the single windows of their first occurrences are compared. So a passage with thousands of copies
-is a handful of rows wherever rows meet.
+are equal throughout fall into a class, of which the first occurrence stays and all others go whole. Where an anchor
+has several classes, their first occurrences are compared in blocks of ``BLOCK`` windows: a block has a core, the bytes
+that all its windows share, and the few bytes on either side of it. Only blocks with an equal core can share a window;
+those that are equal throughout go whole but for the first, and single windows are compared for the others alone. So a
+passage with thousands of copies is a handful of rows wherever rows meet.
 
 Defined cases: null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows that repeat an id with the same
 text get the same result; an empty table gives an empty result; null ids count as the smallest.
@@ -26,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import small_batches, stage_table
+from .common import drop_tables, free_shuffles, small_batches, stage_table
 
 LENGTH, GRAM = 100, 32
 CHUNK = 300_000
-#: Windows of this many segments are looked up from a list in every task; more are joined.
+#: Windows that share an anchor are compared in blocks of so many; the bytes beside a block's core fit into a long.
+BLOCK = 8
+CORE = LENGTH - BLOCK + 1
+#: So many segments are looked up from a list in every task (8 MB); more are joined.
 MAX_LISTED = 400_000
 #: 64-bit words of the bitmap that thins suffixes before the exact join; a fixed size.
 BITMAP_BITS = 20
@@ -73,10 +78,10 @@ def batches_of(data: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def segments(data: list[bytes]) -> tuple[np.ndarray, ...]:
-    """row, start, windows, anchor hash, segment hash of every run of windows that share an anchor."""
+    """row, place (see ``places``), anchor hash, segment hash of every run of windows that share an anchor."""
     sizes = np.array([len(b) for b in data], np.int64)
     if sizes.max(initial=0) < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     at = np.concatenate(([0], np.cumsum(sizes)))
     g = gram_hashes(np.frombuffer(b"".join(data), np.uint8))
     bits = np.uint64(max(20, int(len(g)).bit_length()))
@@ -98,18 +103,23 @@ def segments(data: list[bytes]) -> tuple[np.ndarray, ...]:
     row = np.searchsorted(at, s0, "right") - 1
     a = anchor[s0]
     seg = mix64(sum((g[p] * _PARTS[i] for i, p in enumerate((s0, s0 + 32, s0 + 64, s1 + 4, s1 + 36, s1 + 68))), n.astype(np.uint64) * _PARTS[8] + (a - s0).astype(np.uint64) * _PARTS[9]))
-    return row, s0 - at[row], n, g[a], seg
+    return row, places(s0 - at[row], n, a - s0), g[a], seg
+
+
+def places(start: np.ndarray, n: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """First window of a segment, how many it has, and how far its anchor lies from the first, as one number in text order."""
+    return (start << 16) | (n << 8) | ahead
 
 
 def _of_batch(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     ids = b["_doc"].to_numpy()
     for first, data in batches_of(b["_data"]):
-        row, start, n, h, seg = segments(data)
-        yield pd.DataFrame({"h": h.view(np.int64), "seg": seg.view(np.int64), "doc": ids[first + row], "start": start.astype(np.int32), "n": n.astype(np.int32)})
+        row, place, h, seg = segments(data)
+        yield pd.DataFrame({"h": h.view(np.int64), "seg": seg.view(np.int64), "doc": ids[first + row], "place": place})
 
 
 def anchored(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """h, seg, doc, start, n of documents (_doc, _data); with a bitmap, those whose h may be in it."""
+    """h, seg, doc, place of documents (_doc, _data); with a bitmap, those whose h may be in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -119,7 +129,7 @@ def anchored(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
                     out = out[(bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] >> ((h >> np.uint64(58 - BITMAP_BITS)) & np.uint64(63))) & np.uint64(1) == 1]
                 yield out
 
-    return docs.mapInPandas(run, "h bigint, seg bigint, doc bigint, start int, n int")
+    return docs.mapInPandas(run, "h bigint, seg bigint, doc bigint, place bigint")
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -134,34 +144,34 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 class SuffixFamily:
-    """Levels of suffix arrays of batches: 1, 2, 4 ... batches each."""
+    """Levels of suffix arrays of 1, 2, 4 ... batches; two of a size merge when the next batch arrives."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
+        self.tables: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch (_doc, _data); returns the suffixes of it that repeat in it or are in a level (h)."""
-        new = suffixes(docs).groupBy("h").agg(F.count("*").alias("new"))
-        weight, joined = 1, [(0, new.withColumn("old", F.lit(0).cast("bigint")))]
-        for size, level in reversed(self.levels):
-            joined.append((size, level.select("h", F.lit(0).cast("bigint").alias("new"), F.lit(1).cast("bigint").alias("old"))))
-        scan = joined[0][1]
-        for _, level in joined[1:]:
-            scan = scan.unionByName(level)
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, one), (_, other) = self.levels.pop(), self.levels.pop()
+            merged = one.union(other).groupBy("h").agg(F.lit(True).alias("new")).sortWithinPartitions("h")
+            self.tables.append(stage_table(merged, "suffix-level"))
+            self.levels.append((2 * size, self.tables[-1].select("h")))
+        new = suffixes(docs).groupBy("h").agg(F.count("*").alias("k")).select("h", (F.col("k") > 1).alias("again"), F.lit(True).alias("new"))
+        scan = new
+        for _, level in self.levels:
+            scan = scan.unionByName(level.select("h", F.lit(True).alias("again"), F.lit(False).alias("new")))
         # One sort of both sides by fingerprint: equal suffixes of batch and levels meet, and come out once.
-        scan = stage_table(scan.groupBy("h").agg(F.sum("new").alias("new"), F.max("old").alias("old")).sortWithinPartitions("h"), "suffix-level")
-        merged = []
-        while self.levels and self.levels[-1][0] == weight:
-            merged.append(self.levels.pop())
-            weight *= 2
-        level = scan if not self.levels else scan.where("old = 0") if not merged else None
-        if level is None:  # some levels merge, larger ones stay
-            level = scan.where("new > 0").select("h")
-            for _, x in merged:
-                level = level.union(x.select("h"))
-            level = stage_table(level.groupBy("h").agg(F.lit(1).alias("one")).sortWithinPartitions("h"), "suffix-level")
-        self.levels.append((weight, level.select("h")))
-        return scan.where("new > 1 OR (new > 0 AND old > 0)").select("h")
+        met = scan.groupBy("h").agg(F.bool_or("again").alias("again"), F.bool_or("new").alias("new"))
+        met = stage_table(met.where("new").sortWithinPartitions("h"), "suffix-level")
+        free_shuffles(docs.sparkSession)
+        self.tables.append(met)
+        self.levels.append((1, met.select("h")))
+        return met.where("again").select("h")
+
+    def drop(self) -> None:
+        """Deletes all levels; nothing that add() returned can be read any more."""
+        drop_tables(*self.tables)
 
 
 def bitmap_of(matches: DataFrame) -> np.ndarray:
@@ -173,44 +183,93 @@ def bitmap_of(matches: DataFrame) -> np.ndarray:
     return out
 
 
-def _windows(data: bytes, starts: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which segment, start and hash of every window of the segments."""
-    g = gram_hashes(np.frombuffer(data, np.uint8))
-    which = np.repeat(np.arange(len(starts)), ns)
-    p = starts[which] + np.arange(len(which)) - np.repeat(np.cumsum(ns) - ns, ns)
-    return which, p, mix64(g[p] * _PARTS[10] + g[p + 32] * _PARTS[11] + g[p + 64] * _PARTS[12] + g[p + LENGTH - GRAM] * _PARTS[13])
+def _packed(data: np.ndarray, p: np.ndarray, step: int, n: np.ndarray) -> np.ndarray:
+    """The n bytes from p on, in steps of 1 or -1, the first one lowest."""
+    out = np.zeros(len(p), np.int64)
+    for i in range(BLOCK - 1):
+        inside = np.flatnonzero(n > i)
+        out[inside] |= data[p[inside] + step * i].astype(np.int64) << (8 * i)
+    return out
+
+
+def blocks_of(data: bytes, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """core, left, right, low, high, p of the blocks of segments in data.
+
+    A window whose anchor is j bytes further in than the block's least has j bytes left of the core and BLOCK - 1 - j right
+    of it; the block's windows have j from low to high, and that with high begins at p.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    g = gram_hashes(raw)
+    start, n, ahead = place >> 16, (place >> 8) & 255, place & 255
+    least = ahead - n + 1
+    k = ahead // BLOCK - least // BLOCK + 1
+    of = np.repeat(np.arange(len(place)), k)
+    q = (least // BLOCK)[of] + np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+    low, high = np.maximum(least[of] - q * BLOCK, 0), np.minimum(ahead[of] - q * BLOCK, BLOCK - 1)
+    at = (start + ahead)[of] - q * BLOCK
+    core = mix64(g[at] * _PARTS[10] + g[at + GRAM] * _PARTS[11] + g[at + CORE - GRAM] * _PARTS[12] + q.astype(np.uint64) * _PARTS[13])
+    return core.view(np.int64), _packed(raw, at - 1, -1, high), _packed(raw, at + CORE, 1, BLOCK - 1 - low), low, high, at - high
+
 
+def first_blocks(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """core, l, r, low, high, doc, p of the blocks of the segments in firsts (doc, place)."""
+    schema = "core bigint, l bigint, r bigint, low tinyint, high tinyint, doc bigint, p int"
+
+    def rows(doc: int, data: bytes, place: np.ndarray) -> pd.DataFrame:
+        core, l, r, low, high, p = blocks_of(data, place)
+        return pd.DataFrame({"core": core, "l": l, "r": r, "low": low.astype(np.int8), "high": high.astype(np.int8), "doc": doc, "p": p.astype(np.int32)})
 
-def first_windows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h, w, doc, p: the windows of the segments in firsts (h, doc, start, n)."""
-    schema = "h bigint, w bigint, doc bigint, p int"
     if firsts.count() <= MAX_LISTED:
         listed = firsts.toPandas().sort_values("doc", kind="stable")
-        ids, hs, starts, ns = (listed[c].to_numpy() for c in ("doc", "h", "start", "n"))
+        ids, places = listed["doc"].to_numpy(), listed["place"].to_numpy()
 
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 lo, hi = np.searchsorted(ids, b["_doc"], "left"), np.searchsorted(ids, b["_doc"], "right")
                 for i in np.flatnonzero(hi > lo):
-                    s = slice(lo[i], hi[i])
-                    which, p, w = _windows(b["_data"].iloc[i], starts[s].astype(np.int64), ns[s].astype(np.int64))
-                    yield pd.DataFrame({"h": hs[s][which], "w": w.view(np.int64), "doc": b["_doc"].iloc[i], "p": p.astype(np.int32)})
+                    yield rows(b["_doc"].iloc[i], b["_data"].iloc[i], places[lo[i] : hi[i]])
 
         return docs.mapInPandas(look_up, schema)
-    lists = firsts.groupBy(F.col("doc").alias("_of")).agg(F.collect_list(F.struct("start", "n", "h")).alias("_s"))
-    joined = docs.join(lists, docs["_doc"] == lists["_of"]).select("_doc", "_data", "_s.start", "_s.n", "_s.h")
+    lists = firsts.groupBy(F.col("doc").alias("_of")).agg(F.collect_list("place").alias("_places"))
+    joined = docs.join(lists, docs["_doc"] == lists["_of"]).select("_doc", "_data", "_places")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, data, start, n, h in zip(b["_doc"], b["_data"], b["start"], b["n"], b["h"], strict=True):
-                which, p, w = _windows(data, np.asarray(start, np.int64), np.asarray(n, np.int64))
-                yield pd.DataFrame({"h": np.asarray(h)[which], "w": w.view(np.int64), "doc": doc, "p": p.astype(np.int32)})
+            for doc, data, place in zip(b["_doc"], b["_data"], b["_places"], strict=True):
+                yield rows(doc, data, np.asarray(place, np.int64))
 
     return joined.mapInPandas(each, schema)
 
 
+def _windows_of(blocks: DataFrame) -> DataFrame:
+    """core, j, l, r, doc, p of every single window of blocks, l and r cut to the window's bytes."""
+    each = blocks.select("core", "l", "r", "doc", "p", "high", F.explode(F.sequence(F.col("low").cast("int"), F.col("high").cast("int"))).alias("j"))
+    left, right = F.expr("shiftleft(1L, 8 * j) - 1"), F.expr(f"shiftleft(1L, 8 * ({BLOCK - 1} - j)) - 1")
+    return each.select("core", "j", F.col("l").bitwiseAND(left).alias("l"), F.col("r").bitwiseAND(right).alias("r"), "doc", (F.col("p") + F.col("high") - F.col("j")).alias("p"))
+
+
+def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Firsts (keys, doc, p) of rows that are equal by keys; and all the others."""
+    groups = rows.groupBy(*keys).agg(F.min(F.struct("doc", "p")).alias("_first"), F.count("*").alias("_k"))
+    others = rows.join(groups.where("_k > 1").drop("_k"), keys).where("doc != _first.doc OR p != _first.p")
+    return groups.select(*keys, "_first.*"), others
+
+
+def _repeated_blocks(blocks: DataFrame) -> DataFrame:
+    """doc, start, stop of the windows of blocks that start earlier in other blocks."""
+    shared = blocks.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    met = stage_table(blocks.join(shared, "core", "left_semi"), "suffix-blocks")
+    firsts, others = _later(met, ["core", "l", "r", "low", "high"])
+    whole = others.select("doc", F.col("p").alias("start"), (F.col("p") + F.col("high") - F.col("low") + LENGTH).alias("stop"))
+    firsts = stage_table(firsts, "suffix-blocks")
+    several = firsts.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    _, single = _later(_windows_of(firsts.join(several, "core", "left_semi")), ["core", "j", "l", "r"])
+    return whole.union(single.select("doc", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop")))
+
+
 def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
-    """doc, start, stop: spans of windows that start earlier elsewhere, of documents (_doc, _data); they may overlap."""
+    """doc, starts, stops: spans of windows that start earlier elsewhere, of documents (_doc, _data); they may overlap."""
+    spark = docs.sparkSession
     cuts = sorted(set(docs.approxQuantile("_doc", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *[int(c) for c in cuts], None]
     family = SuffixFamily()
@@ -222,17 +281,24 @@ def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
     matches = matches.distinct()
     met = anchored(docs, bitmap_of(matches))
     met = stage_table(met.join(matches, "h", "left_semi"), "suffix-matches")
-    first = F.min(F.struct("doc", "start", "n")).alias("first")
-    classes = met.groupBy("h", "seg").agg(first)
-    classes = stage_table(classes.select("h", "seg", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"), "first.n"), "suffix-classes")
-    copies = met.join(classes.withColumnRenamed("n", "_n"), ["h", "seg"]).where("doc != first_doc OR start != first_start")
-    whole = copies.select("doc", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop"))
+    family.drop()
+    free_shuffles(spark)
+    classes = met.groupBy("h", "seg").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k"))
+    classes = stage_table(classes.select("h", "seg", "first.doc", "first.place", "k"), "suffix-classes")
     many = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    firsts = stage_table(classes.join(many, "h", "left_semi").select("h", F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), "n"), "suffix-firsts")
-    windows = stage_table(first_windows(docs, firsts), "suffix-windows")
-    order = windows.groupBy("h", "w").agg(F.min(F.struct("doc", "p")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = windows.join(order, ["h", "w"]).where("doc != first.doc OR p != first.p")
-    return whole.union(later.select("doc", "p", F.col("p") + LENGTH))
+    firsts = stage_table(classes.join(many, "h", "left_semi").select("doc", "place"), "suffix-firsts")
+    free_shuffles(spark)
+    blocks = stage_table(first_blocks(docs, firsts), "suffix-blocks")
+    free_shuffles(spark)
+    first = classes.where("k > 1").select("h", "seg", F.col("doc").alias("_doc"), F.col("place").alias("_place"))
+    copies = met.join(first, ["h", "seg"]).where("doc != _doc OR place != _place")
+    begin, n = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(255).cast("int")
+    whole = copies.select("doc", begin.alias("start"), (begin + n + (LENGTH - 1)).alias("stop"))
+    spans = whole.union(_repeated_blocks(blocks)).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    spans = stage_table(spans, "suffix-spans")
+    drop_tables(met, classes, firsts, blocks)
+    free_shuffles(spark)
+    return spans
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
@@ -240,7 +306,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches:
     small_batches(docs.sparkSession)
     smallest = F.lit(-(1 << 63)).cast("bigint")
     body = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), smallest).alias("_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_data"))
-    spans = repeated_spans(body, batches).distinct().groupBy(F.col("doc").alias("_of")).agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops"))
+    spans = repeated_spans(body, batches).select(F.col("doc").alias("_of"), F.col("starts").alias("_starts"), F.col("stops").alias("_stops"))
     joined = body.join(spans, body["_doc"] == spans["_of"], "left").select("_doc", "_data", "_starts", "_stops")
 
     def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
