@@ -35,8 +35,6 @@ CHUNK = 300_000
 #: Windows that share an anchor are compared in blocks of so many; the bytes beside a block's core fit into a long.
 BLOCK = 8
 CORE = LENGTH - BLOCK + 1
-#: So many segments are looked up from a list in every task (8 MB); more are joined.
-MAX_LISTED = 400_000
 #: 64-bit words of the bitmap that thins suffixes before the exact join; a fixed size.
 BITMAP_BITS = 20
 
@@ -213,32 +211,21 @@ def blocks_of(data: bytes, place: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def first_blocks(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """core, l, r, low, high, doc, p of the blocks of the segments in firsts (doc, place)."""
-    schema = "core bigint, l bigint, r bigint, low tinyint, high tinyint, doc bigint, p int"
-
-    def rows(doc: int, data: bytes, place: np.ndarray) -> pd.DataFrame:
-        core, l, r, low, high, p = blocks_of(data, place)
-        return pd.DataFrame({"core": core, "l": l, "r": r, "low": low.astype(np.int8), "high": high.astype(np.int8), "doc": doc, "p": p.astype(np.int32)})
-
-    if firsts.count() <= MAX_LISTED:
-        listed = firsts.toPandas().sort_values("doc", kind="stable")
-        ids, places = listed["doc"].to_numpy(), listed["place"].to_numpy()
-
-        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                lo, hi = np.searchsorted(ids, b["_doc"], "left"), np.searchsorted(ids, b["_doc"], "right")
-                for i in np.flatnonzero(hi > lo):
-                    yield rows(b["_doc"].iloc[i], b["_data"].iloc[i], places[lo[i] : hi[i]])
-
-        return docs.mapInPandas(look_up, schema)
     lists = firsts.groupBy(F.col("doc").alias("_of")).agg(F.collect_list("place").alias("_places"))
     joined = docs.join(lists, docs["_doc"] == lists["_of"]).select("_doc", "_data", "_places")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, data, place in zip(b["_doc"], b["_data"], b["_places"], strict=True):
-                yield rows(doc, data, np.asarray(place, np.int64))
-
-    return joined.mapInPandas(each, schema)
+            ids, listed = b["_doc"].to_numpy(), b["_places"].to_numpy()
+            for first, data in batches_of(b["_data"]):
+                # The texts of a batch end to end, and segments at their places in it.
+                at = np.concatenate(([0], np.cumsum([len(x) for x in data])))
+                place = np.concatenate([np.asarray(x, np.int64) + (at[i] << 16) for i, x in enumerate(listed[first : first + len(data)])])
+                core, l, r, low, high, p = blocks_of(b"".join(data), place)
+                row = np.searchsorted(at, p, "right") - 1
+                yield pd.DataFrame({"core": core, "l": l, "r": r, "low": low.astype(np.int8), "high": high.astype(np.int8), "doc": ids[first + row], "p": (p - at[row]).astype(np.int32)})
+
+    return joined.mapInPandas(blocks, "core bigint, l bigint, r bigint, low tinyint, high tinyint, doc bigint, p int")
 
 
 def _windows_of(blocks: DataFrame) -> DataFrame:
