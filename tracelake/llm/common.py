@@ -30,6 +30,8 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    del df
+    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 

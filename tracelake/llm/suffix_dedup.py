@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import drop_tables, free_shuffles, small_batches, stage_table
+from .common import drop_tables, small_batches, stage_table
 
 LENGTH, GRAM = 100, 32
 CHUNK = 300_000
@@ -162,7 +162,6 @@ class SuffixFamily:
         # One sort of both sides by fingerprint: equal suffixes of batch and levels meet, and come out once.
         met = scan.groupBy("h").agg(F.bool_or("again").alias("again"), F.bool_or("new").alias("new"))
         met = stage_table(met.where("new").sortWithinPartitions("h"), "suffix-level")
-        free_shuffles(docs.sparkSession)
         self.tables.append(met)
         self.levels.append((1, met.select("h")))
         return met.where("again").select("h")
@@ -256,7 +255,6 @@ def _repeated_blocks(blocks: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
     """doc, starts, stops: spans of windows that start earlier elsewhere, of documents (_doc, _data); they may overlap."""
-    spark = docs.sparkSession
     cuts = sorted(set(docs.approxQuantile("_doc", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *[int(c) for c in cuts], None]
     family = SuffixFamily()
@@ -269,14 +267,11 @@ def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
     met = anchored(docs, bitmap_of(matches))
     met = stage_table(met.join(matches, "h", "left_semi"), "suffix-matches")
     family.drop()
-    free_shuffles(spark)
     classes = met.groupBy("h", "seg").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k"))
     classes = stage_table(classes.select("h", "seg", "first.doc", "first.place", "k"), "suffix-classes")
     many = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     firsts = stage_table(classes.join(many, "h", "left_semi").select("doc", "place"), "suffix-firsts")
-    free_shuffles(spark)
     blocks = stage_table(first_blocks(docs, firsts), "suffix-blocks")
-    free_shuffles(spark)
     first = classes.where("k > 1").select("h", "seg", F.col("doc").alias("_doc"), F.col("place").alias("_place"))
     copies = met.join(first, ["h", "seg"]).where("doc != _doc OR place != _place")
     begin, n = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(255).cast("int")
@@ -284,7 +279,6 @@ def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
     spans = whole.union(_repeated_blocks(blocks)).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     spans = stage_table(spans, "suffix-spans")
     drop_tables(met, classes, firsts, blocks)
-    free_shuffles(spark)
     return spans
 
 
