@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from tracelake.functions import values as V
 from tracelake.operators import filters, integrity, intervals, listing, search, stats, supersede
 from tracelake.operators.filters import Filter
+from tracelake.plans import mapped
 from tracelake.sources import records as R
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,8 +210,8 @@ register("q_entropy", entropy, "WITH h AS (SELECT page_id, unnest(regexp_extract
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
+    return Q | mapped.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | mapped.SQL
