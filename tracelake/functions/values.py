@@ -15,10 +15,15 @@ def plausible(us: Column) -> Column:
     return F.when((us >= MIN_US) & (us < MAX_US), us)
 
 
+def floor_div(v: Column, by: int) -> Column:
+    """Whole division towards minus infinity, exact for all integers, as a double isn't."""
+    return F.call_function("div", v - F.pmod(v, F.lit(by)), F.lit(by))
+
+
 def unix_us(v: Column, unit: str) -> Column:
     """Microseconds of a Unix time in s, ms, us or ns; null for sentinels (0, -1, the extremes) and implausible times."""
     bad = v.isin(0, -1, (1 << 63) - 1) | (v == F.expr("-9223372036854775807L - 1"))
-    scale = {"s": v * 1_000_000, "ms": v * 1000, "us": v, "ns": F.floor(v / 1000)}[unit]
+    scale = {"s": v * 1_000_000, "ms": v * 1000, "us": v, "ns": floor_div(v, 1000)}[unit]
     limit = {"s": 1 << 40, "ms": 1 << 50, "us": 1 << 62, "ns": 1 << 62}[unit]
     return F.when(~bad & (F.abs(v) < limit), plausible(scale.cast("bigint")))
 
@@ -29,7 +34,7 @@ def webkit_us(v: Column) -> Column:
 
 def cocoa_auto_us(v: Column) -> Column:
     """Seconds, or nanoseconds from 1e11 on, since 2001."""
-    us = F.when(F.abs(v) >= 100_000_000_000, F.floor(v / 1000)).otherwise(v * 1_000_000)
+    us = F.when(F.abs(v) >= 100_000_000_000, floor_div(v.try_cast("bigint"), 1000)).otherwise(v * 1_000_000)
     return F.when(~v.isin(0, -1), plausible((us + COCOA * 1_000_000).cast("bigint")))
 
 

@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import cells, texts
 from tracelake.functions import values as V
 from tracelake.mappings import registry
 from tracelake.operators import carve, reconcile
+from tracelake.sources import sink
 
 #: App tables: the driver's table, its filter, and columns in SQL of both engines; US(c) is the microseconds of a time.
 APP = {
@@ -131,3 +133,28 @@ SQL["q_ranges_outside"] = "SELECT l_partkey AS k, l_orderkey AS offset, l_suppke
 TAGS = (carve.Signature("script", b"<script", b"</script>"), carve.Signature("style", b"<style", b"</style>"))
 Q["q_carve_signatures"] = lambda s, d: carve.carve(read(s, d, "pages").select("page_id", "html"), "page_id", "html", TAGS).groupBy("page_id", "signature").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.sum("size").alias("bytes"))
 SQL["q_carve_signatures"] = "WITH f AS (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS signature, strlen(string_split(html, '<{t}')[1])::BIGINT AS first_start, unnest(string_split(html, '<{t}')[2:]) AS x FROM pages" for t in ("script", "style")) + ") SELECT page_id, signature, count(*) AS n, min(first_start) AS first_start, sum(strlen(string_split(x, '</' || signature || '>')[1]) + length(signature) + 1 + length(signature) + 3)::BIGINT AS bytes FROM f WHERE contains(x, '</' || signature || '>') GROUP BY 1, 2"
+
+# Cells, texts, scans and the census.
+Q["q_typed_order"] = lambda s, d: (
+    read(s, d, "lineitem").where("l_linenumber <= 4").select("l_linenumber", cells.cell(F.when(F.col("l_linenumber") == 1, F.col("l_partkey")), F.when(F.col("l_linenumber") == 2, F.col("l_extendedprice")), F.when(F.col("l_linenumber") == 3, F.col("l_shipdate").cast("string"))).alias("c"))
+    .groupBy("l_linenumber").agg(F.min(cells.order_key(F.col("c"))).alias("lo"), F.max(cells.order_key(F.col("c"))).alias("hi")).select(F.col("l_linenumber").cast("bigint").alias("line"), F.col("lo.kind").cast("bigint").alias("kind"), F.col("lo.near").alias("least"), F.col("hi.near").alias("most"), F.decode("hi.t", "UTF-8").alias("last_text"))
+)
+SQL["q_typed_order"] = "SELECT l_linenumber::BIGINT AS line, [1, 1, 2, 0][l_linenumber]::BIGINT AS kind, CASE l_linenumber WHEN 1 THEN min(l_partkey)::DOUBLE WHEN 2 THEN min(l_extendedprice) END AS least, CASE l_linenumber WHEN 1 THEN max(l_partkey)::DOUBLE WHEN 2 THEN max(l_extendedprice) END AS most, CASE l_linenumber WHEN 3 THEN max(l_shipdate::VARCHAR) END AS last_text FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_linenumber"
+Q["q_typed_equality"] = lambda s, d: (
+    read(s, d, "lineitem").select(cells.equality_key(cells.cell(r=F.col("l_quantity"))).alias("key")).join(read(s, d, "part").select("p_partkey", cells.equality_key(cells.cell(i=F.col("p_size"))).alias("key")).groupBy("key").agg(F.count("*").alias("parts")), "key").groupBy("parts").agg(F.count("*").alias("n"))
+)
+SQL["q_typed_equality"] = "SELECT parts, count(*) AS n FROM lineitem JOIN (SELECT p_size, count(*) AS parts FROM part GROUP BY 1) ON l_quantity = p_size GROUP BY parts"
+Q["q_compare_affinity"] = lambda s, d: read(s, d, "part").select("p_partkey", F.expr("concat(cast(p_partkey AS string), CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.50' WHEN 2 THEN 'x' ELSE '0000000000000000000' END)").alias("t")).select("p_partkey", cells.as_number(F.col("t")).alias("x")).select("p_partkey", "x.*")
+SQL["q_compare_affinity"] = "SELECT p_partkey, ['exact', 'exact', 'text', 'undecided'][p_partkey % 4 + 1] AS state, CASE WHEN p_partkey % 4 = 0 THEN p_partkey END AS i, CASE WHEN p_partkey % 4 = 1 THEN p_partkey + 0.5::DOUBLE END AS r FROM part"
+Q["q_durations"] = lambda s, d: read(s, d, "orders").select("o_orderkey", texts.duration_seconds(F.expr("concat('P', cast(o_custkey AS string), CASE o_orderkey % 5 WHEN 0 THEN 'S' WHEN 1 THEN 'D' WHEN 2 THEN 'DT2H' WHEN 3 THEN 'Q' ELSE '0000000W' END)")).alias("x")).select("o_orderkey", "x.*")
+SQL["q_durations"] = "SELECT o_orderkey, CASE WHEN state = 'ok' AND seconds > 2147483647 THEN 'out-of-range' ELSE state END AS state, CASE WHEN state = 'ok' AND seconds <= 2147483647 THEN seconds END AS seconds FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 3 THEN 'unparsed' WHEN o_orderkey % 5 = 4 AND o_custkey >= 100 THEN 'too-long' ELSE 'ok' END AS state, CASE o_orderkey % 5 WHEN 0 THEN o_custkey WHEN 1 THEN o_custkey * 86400 WHEN 2 THEN o_custkey * 86400 + 7200 WHEN 4 THEN o_custkey * 10000000 * 604800 END AS seconds FROM orders)"
+Q["q_summary"] = lambda s, d: read(s, d, "conversations").select("conv_id", "turn", texts.summary(F.col("text"), 60).alias("summary"))
+SQL["q_summary"] = r"SELECT conv_id, turn, CASE WHEN length(x) <= 60 THEN x ELSE substr(x, 1, 57) || '...' END AS summary FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[\p{Z}\p{Cc}]+', ' ', 'g')) AS x FROM conversations)"
+Q["q_times_filetime"] = lambda s, d: read(s, d, "orders").select("o_orderkey", texts.filetime_us(F.expr("(unix_micros(cast(o_orderdate AS timestamp)) + 11644473600000000) * 10 + o_orderkey % 10")).alias("us"), texts.guarded_ms_us(F.expr("CASE WHEN o_orderkey % 2 = 0 THEN unix_seconds(cast(o_orderdate AS timestamp)) ELSE unix_millis(cast(o_orderdate AS timestamp)) END")).alias("guarded"))
+SQL["q_times_filetime"] = "SELECT o_orderkey, epoch_us(o_orderdate) AS us, CASE WHEN o_orderkey % 2 = 1 THEN epoch_us(o_orderdate) END AS guarded FROM orders"
+Q["q_census"] = lambda s, d: sink.census(read(s, d, "lineitem"), {"returned": F.col("l_returnflag") == "R", "open": F.col("l_linestatus") == "O", "free": F.col("l_discount") == 0})
+SQL["q_census"] = "SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_discount = 0) AS free FROM lineitem"
+Q["q_order_violations"] = lambda s, d: sink.order_violations(read(s, d, "events").selectExpr("user_id", "event_id", "CASE WHEN event_id % 50 <> 0 THEN cast(value AS bigint) END AS v"), "user_id", "event_id", "v")
+SQL["q_order_violations"] = "SELECT user_id, event_id, v, CASE WHEN b IS NULL OR v IS NULL THEN 'undecided' WHEN b = v THEN 'equal' ELSE 'descends' END AS state FROM (SELECT *, lag(v) OVER w AS b, row_number() OVER w AS i FROM (SELECT user_id, event_id, CASE WHEN event_id % 50 <> 0 THEN trunc(value)::BIGINT END AS v FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE i > 1 AND (b IS NULL OR v IS NULL OR b >= v)"
+Q["q_unresolved_batches"] = lambda s, d: sink.unresolved(read(s, d, "orders").where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS batch"), read(s, d, "lineitem").selectExpr("l_orderkey AS batch").distinct(), ["batch"])
+SQL["q_unresolved_batches"] = "SELECT o_orderkey AS batch, 'not stored' AS state FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'not audited' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)"
