@@ -135,3 +135,16 @@ def test_substrings_against_brute_force(spark):
             seen.add(b[p : p + 100])
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         assert got[i] == (sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)), i
+
+
+def test_decontamination_of_common_terms(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(4, 8)))
+    everyday = [word() for _ in range(30)]
+    hot = " ".join(word() for _ in range(25))
+    plain = " ".join(rnd.sample(everyday, 20))
+    filler = lambda: " ".join(rnd.choice(everyday) if rnd.random() < 0.5 else word() for _ in range(60))
+    docs = [(i, f"{filler()} {hot if i % 3 == 0 else plain if i in (1, 50) else ''} {filler()}", "a") for i in range(90)]
+    bench = spark.createDataFrame([(0, hot), (1, plain)], "item_id bigint, text string")
+    found = {r["doc_id"]: [m["item_id"] for m in r["_matches"]] for r in decontaminate.find(frame(spark, docs), bench).collect()}
+    assert found == {i: [0] if i % 3 == 0 else [1] if i in (1, 50) else [] for i in range(90)}
