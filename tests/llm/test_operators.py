@@ -148,3 +148,20 @@ def test_decontamination_of_common_terms(spark):
     bench = spark.createDataFrame([(0, hot), (1, plain)], "item_id bigint, text string")
     found = {r["doc_id"]: [m["item_id"] for m in r["_matches"]] for r in decontaminate.find(frame(spark, docs), bench).collect()}
     assert found == {i: [0] if i % 3 == 0 else [1] if i in (1, 50) else [] for i in range(90)}
+
+
+def test_decontamination_by_thousands_of_passages(spark):
+    rnd = random.Random(10)
+    vocabulary = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(4, 9))) for _ in range(15000)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [text(30) for _ in range(6000)]
+    docs = []
+    for i in range(200):
+        copy = list(items[i * 20])
+        if i % 2:
+            for k in rnd.sample(range(30), 2):  # leaves five of seven telling words, as a match needs
+                copy[k] = "edited"
+        docs.append((i, " ".join(text(50) + copy + text(50)), "a"))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    found = {r["doc_id"]: [m["item_id"] for m in r["_matches"]] for r in decontaminate.find(frame(spark, docs), bench).collect()}
+    assert [i for i in range(200) if i * 20 not in found[i]] == []
