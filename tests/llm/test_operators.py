@@ -165,3 +165,27 @@ def test_decontamination_by_thousands_of_passages(spark):
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
     found = {r["doc_id"]: [m["item_id"] for m in r["_matches"]] for r in decontaminate.find(frame(spark, docs), bench).collect()}
     assert [i for i in range(200) if i * 20 not in found[i]] == []
+
+
+def odd_ids():
+    """Texts under null and repeated ids: two copies, a near copy, and different ones."""
+    rnd = random.Random(11)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d = text(60), text(30), text(70), text(90)
+    return [(None, a, "a"), (None, b, "a"), (None, a, "a"), (5, c, "a"), (5, d, "a"), (5, c, "a"), (7, d + " more", "a"), (9, text(12), "a")]
+
+
+def test_substrings_of_odd_ids(spark):
+    rows = odd_ids()
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.dedup(frame(spark, rows)).collect()]
+    a, b, c, d, last = rows[0][1], rows[1][1], rows[3][1], rows[4][1], rows[7][1]
+    want = [(i, len(t), 0, t.encode()) for i, t in ((None, a), (None, b), (5, c), (5, d), (9, last))]
+    want += [(None, len(a), len(a), b""), (5, len(c), len(c), b""), (7, len(d) + 5, len(d), b" more")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_components_of_odd_ids(spark):
+    rows = odd_ids()
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(frame(spark, rows), size=5, pct=80).collect()]
+    want = [(None, 56, None), (None, 26, None), (None, 56, None), (5, 66, 5), (5, 86, 5), (5, 66, 5), (7, 87, 5), (9, 8, 9)]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -35,6 +35,20 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def row_keys(docs: DataFrame, doc_id: str, text: str, name: str, to: str = "_doc") -> tuple[DataFrame, bool]:
+    """docs with a key of each row, in the order of ids (null first), then texts; and whether it is other than the id.
+
+    Ids that are all there and all different are the keys themselves. Else rows are numbered in a staged table.
+    """
+    key = F.col(doc_id).cast("bigint")
+    plain = docs.where(key.isNull()).limit(1).isEmpty() and docs.groupBy(key.alias("k")).count().where("count > 1").limit(1).isEmpty()
+    if plain:
+        return docs.withColumn(to, key), False
+    ranked = docs.withColumn("_digest", F.sha2(F.col(text).cast("binary"), 256)).withColumn("_row", F.monotonically_increasing_id())
+    ranked = ranked.orderBy(key.asc_nulls_first(), F.col("_digest").asc_nulls_first(), "_row").drop("_digest", "_row")
+    return stage_table(ranked.withColumn(to, F.monotonically_increasing_id()), name), True
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of queries that are over: it does so when the driver collects its garbage."""
     gc.collect()

@@ -13,8 +13,8 @@
 * Components are taken over all links.
 
 Bitmaps of fixed size thin what the tasks send; exact joins follow. Defined cases: texts without words, and null texts,
-have no shingles and link with nothing; with fewer words than a shingle has, the whole sequence is the only one; rows
-that share an id are one document; an empty table gives an empty result.
+have no shingles and link with nothing; with fewer words than a shingle has, the whole sequence is the only one; rows of
+the same id, or of none, are apart; a component is named by its smallest id, null if none of its rows has one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import small_batches, stage_table
+from .common import row_keys, small_batches, stage_table
 from .components import connected_components
 
 CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP, COLUMNS = 300_000, 4, 20, 500_000, 20, 128, 8_192
@@ -292,11 +292,18 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame, size: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: linked at a Jaccard similarity of pct / 100 of size-word shingles."""
     small_batches(docs.sparkSession)
-    body = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_data"))
+    keyed, numbered = row_keys(docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")), "_id", "_text", "jaccard-rows")
+    body = keyed.select("_doc", F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("_data"))
     sets = Sets(body, size, pct)
     signed = stage_table(sets.signatures(), "jaccard-signatures")
     classes = stage_table(signed.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("doc")), "jaccard-classes")
     labels = linked(sets, classes)
     named = classes.join(labels, classes["doc"] == labels["node"], "left").select("sig", "n", F.coalesce("label", "doc").alias("label"))
     out = signed.join(named, ["sig", "n"], "left")
-    return out.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component_id"))
+    out = out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component"))
+    if not numbered:
+        return out.select(F.col("doc").alias(doc_id), "n_shingles", F.col("component").alias("component_id"))
+    out = out.join(keyed.select("_doc", "_id"), F.col("doc") == F.col("_doc"))
+    # Named by the smallest id in it; null where none has an id.
+    names = out.groupBy("component").agg(F.min("_id").alias("component_id"))
+    return out.join(names, "component").select(F.col("_id").alias(doc_id), "n_shingles", "component_id")

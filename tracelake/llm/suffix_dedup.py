@@ -14,8 +14,9 @@ that all its windows share, and the few bytes on either side of it. Only blocks
 those that are equal throughout go whole but for the first, and single windows are compared for the others alone. So a
 passage with thousands of copies is a handful of rows wherever rows meet.
 
-Defined cases: null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows that repeat an id with the same
-text get the same result; an empty table gives an empty result; null ids count as the smallest.
+Defined cases: null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows of
+the same id, or of none, are apart, in the order of their texts' digests; an empty table gives an empty result; null ids
+count as the smallest.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import drop_tables, small_batches, stage_table
+from .common import drop_tables, row_keys, small_batches, stage_table
 
 LENGTH, GRAM = 100, 32
 CHUNK = 300_000
@@ -285,8 +286,8 @@ def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
     small_batches(docs.sparkSession)
-    smallest = F.lit(-(1 << 63)).cast("bigint")
-    body = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), smallest).alias("_doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_data"))
+    keyed, numbered = row_keys(docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")), "_id", "_text", "suffix-rows")
+    body = keyed.select("_doc", F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("_data"))
     spans = repeated_spans(body, batches).select(F.col("doc").alias("_of"), F.col("starts").alias("_starts"), F.col("stops").alias("_stops"))
     joined = body.join(spans, body["_doc"] == spans["_of"], "left").select("_doc", "_data", "_starts", "_stops")
 
@@ -306,4 +307,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches:
             yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     done = joined.mapInPandas(cut, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
-    return done.select(F.when(F.col("doc") != smallest, F.col("doc")).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept")
+    if numbered:
+        done = done.join(keyed.select("_doc", "_id"), F.col("doc") == F.col("_doc")).withColumn("doc", F.col("_id"))
+    return done.select(F.col("doc").alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept")
