@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracelake.llm import chat, decontaminate, html_extract, jaccard_join, mixing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label int, `_q` string"
@@ -189,3 +190,13 @@ def test_components_of_odd_ids(spark):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join_documents(frame(spark, rows), size=5, pct=80).collect()]
     want = [(None, 56, None), (None, 26, None), (None, 56, None), (5, 66, 5), (5, 86, 5), (5, 66, 5), (7, 87, 5), (9, 8, 9)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_pipeline_keeps_texts_of_odd_ids(spark):
+    rows = [*odd_ids(), (11, "", "a"), (11, "", "a"), (12, "", "a")]
+    out = corpus_pipeline.one_of_each(spark, frame(spark, rows), "")
+    want = [(None, rows[0][1]), (None, rows[1][1]), (5, rows[3][1]), (5, rows[4][1]), (9, rows[7][1]), (11, ""), (12, "")]
+    assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str) == sorted(want, key=str)
+    plain = [(i, t, s) for i, (_, t, s) in enumerate(rows)]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, frame(spark, plain), "").collect())
+    assert got == [0, 1, 3, 4, 7, 8, 9, 10]
