@@ -2,26 +2,31 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier (in a document of smaller id, or earlier
 in its own). Suffixes are sampled where they suffice: the smallest hash of ``GRAM`` bytes in a window of ``LENGTH`` bytes is
-its anchor, so equal windows have equal anchors at equal distances. A batch's suffix array holds its anchored suffixes in
-the order of their fingerprints (not of their bytes: neighbours still share their first ``GRAM`` bytes, which is all that
-merging needs). A new batch is merge-scanned against the existing levels for suffixes that were there before, and levels
-of equal size merge, so that there are never more levels than the logarithm of the number of batches.
-
-Suffixes that match anywhere are then extended to whole windows. The windows of one anchor form a segment; segments that
-are equal throughout fall into a class, of which the first occurrence stays and all others go whole. Where an anchor
-has several classes, their first occurrences are compared in blocks of ``BLOCK`` windows: a block has a core, the bytes
+its anchor, so equal windows have equal anchors at equal distances. The windows of one anchor form a segment, and a
+segment is one entry of a suffix array: the fingerprint of its anchored suffix, that of the whole segment, and the first
+place where it is. Arrays are in the order of these fingerprints, not of the bytes: equal suffixes are neighbours in
+either order, and nothing else is asked of it.
+
+The family takes batches in the order of documents (``SuffixFamily``). The array of a new batch is made while it is merged
+with the arrays of all levels, and this merge scan gives the matches of the batch: entries that are in a level or were
+earlier in the batch are copies and go whole; entries that share their anchored suffix with others, in a level or in the
+batch, but not the whole segment are matches in part. What is new becomes a level of one batch, and levels of equal size
+merge, so that k batches leave no more levels than the digits of k in base two.
+
+Matches in part are extended afterwards, in blocks of ``BLOCK`` windows: a block has a core, the bytes
 that all its windows share, and the few bytes on either side of it. Only blocks with an equal core can share a window;
 those that are equal throughout go whole but for the first, and single windows are compared for the others alone. So a
 passage with thousands of copies is a handful of rows wherever rows meet.
 
 Defined cases: null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows of
 the same id, or of none, are apart, in the order of their texts' digests; an empty table gives an empty result; null ids
-count as the smallest.
+count as the smallest; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +43,8 @@ BLOCK = 8
 CORE = LENGTH - BLOCK + 1
 #: 64-bit words of the bitmap that thins suffixes before the exact join; a fixed size.
 BITMAP_BITS = 20
+#: Entries with more copies in a batch than this are dealt over several tasks; so many entries at most.
+HOT, MAX_HOT = 5_000, 50_000
 
 _BYTES, _STEPS, _PARTS = random64(256, 1), random64(8, 2), random64(16, 3)
 WIDTH = LENGTH - GRAM + 1
@@ -131,45 +138,60 @@ def anchored(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
     return docs.mapInPandas(run, "h bigint, seg bigint, doc bigint, place bigint")
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """h of every anchored suffix."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for out in _of_batch(b):
-                yield out[["h"]]
-
-    return docs.mapInPandas(run, "h bigint")
-
-
 class SuffixFamily:
-    """Levels of suffix arrays of 1, 2, 4 ... batches; two of a size merge when the next batch arrives."""
+    """Levels of suffix arrays of 1, 2, 4 ... batches; batches come in the order of their documents."""
 
     def __init__(self) -> None:
+        #: (number of batches, h, seg, doc, place of each different segment, in the order of h and seg)
         self.levels: list[tuple[int, DataFrame]] = []
-        self.tables: list[DataFrame] = []
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch (_doc, _data); returns the suffixes of it that repeat in it or are in a level (h)."""
+    def _held(self) -> DataFrame | None:
+        held = None
+        for _, level in self.levels:
+            held = level if held is None else held.union(level)
+        return held
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Adds a batch (_doc, _data); returns its copies (doc, start, stop) and its matches in part (doc, place, both sides)."""
+        entry = ["h", "seg", F.struct("doc", "place").alias("at")]
+        scan, held = anchored(docs).select(*entry, F.lit(1).alias("n")), self._held()
+        if held is not None:
+            scan = scan.union(held.select(*entry, F.lit(0).alias("n")))
+        # The merge scan: equal entries of the batch and all levels meet once; those of levels alone drop out.
+        scan = scan.groupBy("h", "seg").agg(F.min("at").alias("at"), F.sum("n").alias("n"), (F.min("n") == 0).alias("old")).where("n > 0")
+        array = stage_table(scan.select("h", "seg", "at.doc", "at.place", "n", "old").sortWithinPartitions("h", "seg"), "suffix-array")
+        copies = stage_table(self._copies(docs, array), "suffix-copies")
+        fresh = array.where("NOT old").select("h", "seg", "doc", "place")
+        sides = fresh.select("h", F.lit(1).alias("new"))
+        sides = sides if held is None else sides.union(held.select("h", F.lit(0).alias("new")))
+        several = stage_table(sides.groupBy("h").agg(F.count("*").alias("k"), F.max("new").alias("new")).where("k > 1 AND new = 1").select("h"), "suffix-several")
+        part = fresh if held is None else fresh.union(held)
+        part = stage_table(part.join(several, "h", "left_semi").select("doc", "place"), "suffix-part")
+        drop_tables(several)
+        self.levels.append((1, fresh))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, one), (_, other) = self.levels.pop(), self.levels.pop()
-            merged = one.union(other).groupBy("h").agg(F.lit(True).alias("new")).sortWithinPartitions("h")
-            self.tables.append(stage_table(merged, "suffix-level"))
-            self.levels.append((2 * size, self.tables[-1].select("h")))
-        new = suffixes(docs).groupBy("h").agg(F.count("*").alias("k")).select("h", (F.col("k") > 1).alias("again"), F.lit(True).alias("new"))
-        scan = new
-        for _, level in self.levels:
-            scan = scan.unionByName(level.select("h", F.lit(True).alias("again"), F.lit(False).alias("new")))
-        # One sort of both sides by fingerprint: equal suffixes of batch and levels meet, and come out once.
-        met = scan.groupBy("h").agg(F.bool_or("again").alias("again"), F.bool_or("new").alias("new"))
-        met = stage_table(met.where("new").sortWithinPartitions("h"), "suffix-level")
-        self.tables.append(met)
-        self.levels.append((1, met.select("h")))
-        return met.where("again").select("h")
+            both = stage_table(other.union(one).repartition("h").sortWithinPartitions("h", "seg"), "suffix-level")
+            drop_tables(one, other)
+            self.levels.append((2 * size, both))
+        return copies, part
+
+    @staticmethod
+    def _copies(docs: DataFrame, array: DataFrame) -> DataFrame:
+        """Segments of the batch that are not the first of their entry."""
+        again = array.where("n > 1 OR old")
+        total = array.agg(F.sum("n")).first()[0] or 0
+        # Of entries with more than total / MAX_HOT copies there are fewer than MAX_HOT.
+        hot = array.where(F.col("n") > max(HOT, total // MAX_HOT)).select("h", "seg", F.ceil(F.col("n") / HOT).alias("parts"))
+        dealt = F.coalesce("parts", F.lit(1))
+        rows = anchored(docs, bitmap_of(again.select("h"))).join(F.broadcast(hot), ["h", "seg"], "left").withColumn("part", F.pmod(F.xxhash64("doc", "place"), dealt))
+        firsts = again.join(F.broadcast(hot), ["h", "seg"], "left").select("h", "seg", F.col("doc").alias("_doc"), F.col("place").alias("_place"), F.explode(F.sequence(F.lit(0).cast("bigint"), dealt - 1)).alias("part"))
+        begin, n = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(255).cast("int")
+        return rows.join(firsts, ["h", "seg", "part"]).where("doc != _doc OR place != _place").select("doc", begin.alias("start"), (begin + n + (LENGTH - 1)).alias("stop"))
 
     def drop(self) -> None:
-        """Deletes all levels; nothing that add() returned can be read any more."""
-        drop_tables(*self.tables)
+        """Deletes all levels."""
+        drop_tables(*[level for _, level in self.levels])
 
 
 def bitmap_of(matches: DataFrame) -> np.ndarray:
@@ -254,36 +276,27 @@ def _repeated_blocks(blocks: DataFrame) -> DataFrame:
     return whole.union(single.select("doc", F.col("p").alias("start"), (F.col("p") + LENGTH).alias("stop")))
 
 
-def repeated_spans(docs: DataFrame, batches: int = 3) -> DataFrame:
+def repeated_spans(docs: DataFrame, batches: int = 4) -> DataFrame:
     """doc, starts, stops: spans of windows that start earlier elsewhere, of documents (_doc, _data); they may overlap."""
     cuts = sorted(set(docs.approxQuantile("_doc", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *[int(c) for c in cuts], None]
     family = SuffixFamily()
-    matches = None
+    whole, parts = [], []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        part = docs if lo is None else docs.where(F.col("_doc") > lo)
-        found = family.add(part if hi is None else part.where(F.col("_doc") <= hi))
-        matches = found if matches is None else matches.union(found)
-    matches = matches.distinct()
-    met = anchored(docs, bitmap_of(matches))
-    met = stage_table(met.join(matches, "h", "left_semi"), "suffix-matches")
+        batch = docs if lo is None else docs.where(F.col("_doc") > lo)
+        copies, part = family.add(batch if hi is None else batch.where(F.col("_doc") <= hi))
+        whole.append(copies)
+        parts.append(part)
     family.drop()
-    classes = met.groupBy("h", "seg").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("k"))
-    classes = stage_table(classes.select("h", "seg", "first.doc", "first.place", "k"), "suffix-classes")
-    many = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    firsts = stage_table(classes.join(many, "h", "left_semi").select("doc", "place"), "suffix-firsts")
+    firsts = reduce(DataFrame.union, parts).distinct()
     blocks = stage_table(first_blocks(docs, firsts), "suffix-blocks")
-    first = classes.where("k > 1").select("h", "seg", F.col("doc").alias("_doc"), F.col("place").alias("_place"))
-    copies = met.join(first, ["h", "seg"]).where("doc != _doc OR place != _place")
-    begin, n = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(255).cast("int")
-    whole = copies.select("doc", begin.alias("start"), (begin + n + (LENGTH - 1)).alias("stop"))
-    spans = whole.union(_repeated_blocks(blocks)).groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    spans = stage_table(spans, "suffix-spans")
-    drop_tables(met, classes, firsts, blocks)
+    spans = reduce(DataFrame.union, [*whole, _repeated_blocks(blocks)])
+    spans = stage_table(spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "suffix-spans")
+    drop_tables(blocks, *whole, *parts)
     return spans
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row."""
     small_batches(docs.sparkSession)
     keyed, numbered = row_keys(docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")), "_id", "_text", "suffix-rows")
