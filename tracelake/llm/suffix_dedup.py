@@ -118,24 +118,50 @@ def places(start: np.ndarray, n: np.ndarray, ahead: np.ndarray) -> np.ndarray:
 
 
 def _of_batch(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """h, seg, doc, place of each segment; n, how often its document has it, at the first of these, else 0."""
     ids = b["_doc"].to_numpy()
     for first, data in batches_of(b["_data"]):
         row, place, h, seg = segments(data)
-        yield pd.DataFrame({"h": h.view(np.int64), "seg": seg.view(np.int64), "doc": ids[first + row], "place": place})
+        _, at, k = np.unique(mix64(h + seg * _PARTS[14] + row.astype(np.uint64) * _PARTS[15]), return_index=True, return_counts=True)
+        n = np.zeros(len(row), np.int64)
+        n[at] = k
+        yield pd.DataFrame({"h": h.view(np.int64), "seg": seg.view(np.int64), "doc": ids[first + row], "place": place, "n": n})
 
 
-def anchored(docs: DataFrame, bitmap: np.ndarray | None = None) -> DataFrame:
-    """h, seg, doc, place of documents (_doc, _data); with a bitmap, those whose h may be in it."""
+def entries(docs: DataFrame) -> DataFrame:
+    """h, seg, doc, place, n of each different segment of documents (_doc, _data): its first place there and how often it is there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for out in _of_batch(b):
-                if bitmap is not None:
-                    h = out["h"].to_numpy().view(np.uint64)
-                    out = out[(bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] >> ((h >> np.uint64(58 - BITMAP_BITS)) & np.uint64(63))) & np.uint64(1) == 1]
-                yield out
+                yield out[out["n"] > 0]
 
-    return docs.mapInPandas(run, "h bigint, seg bigint, doc bigint, place bigint")
+    return docs.mapInPandas(run, "h bigint, seg bigint, doc bigint, place bigint, n bigint")
+
+
+def _entry_hash(h: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    return mix64(h + seg * _PARTS[14])
+
+
+def occurrences(docs: DataFrame, bitmap: np.ndarray, hot: pd.DataFrame) -> DataFrame:
+    """h, seg, doc, place, first (in its document), part of segments whose h may be in the bitmap; part deals entries in hot (h, seg, parts)."""
+    hot_hash = _entry_hash(hot["h"].to_numpy(np.int64).view(np.uint64), hot["seg"].to_numpy(np.int64).view(np.uint64))
+    order = np.argsort(hot_hash)
+    # One entry more, of no parts to deal, so that there is always one to look at.
+    hot_hash, parts = np.append(hot_hash[order], np.uint64(0)), np.append(hot["parts"].to_numpy(np.int64)[order], 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for out in _of_batch(b):
+                h = out["h"].to_numpy().view(np.uint64)
+                out = out[(bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] >> ((h >> np.uint64(58 - BITMAP_BITS)) & np.uint64(63))) & np.uint64(1) == 1]
+                key = _entry_hash(out["h"].to_numpy().view(np.uint64), out["seg"].to_numpy().view(np.uint64))
+                at = np.searchsorted(hot_hash[:-1], key)
+                dealt = np.where(hot_hash[at] == key, parts[at], 1)
+                spread = mix64(out["doc"].to_numpy().view(np.uint64) * _PARTS[15] + out["place"].to_numpy().view(np.uint64))
+                yield pd.DataFrame({"h": out["h"], "seg": out["seg"], "doc": out["doc"], "place": out["place"], "first": out["n"] > 0, "part": (spread % dealt.astype(np.uint64)).astype(np.int32)})
+
+    return docs.mapInPandas(run, "h bigint, seg bigint, doc bigint, place bigint, first boolean, part int")
 
 
 class SuffixFamily:
@@ -153,13 +179,13 @@ class SuffixFamily:
 
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Adds a batch (_doc, _data); returns its copies (doc, start, stop) and its matches in part (doc, place, both sides)."""
-        entry = ["h", "seg", F.struct("doc", "place").alias("at")]
-        scan, held = anchored(docs).select(*entry, F.lit(1).alias("n")), self._held()
+        scan, held = entries(docs), self._held()
         if held is not None:
-            scan = scan.union(held.select(*entry, F.lit(0).alias("n")))
+            none = F.lit(None).cast("bigint")
+            scan = scan.union(held.select("h", "seg", none, none, F.lit(0).cast("bigint")))
         # The merge scan: equal entries of the batch and all levels meet once; those of levels alone drop out.
-        scan = scan.groupBy("h", "seg").agg(F.min("at").alias("at"), F.sum("n").alias("n"), (F.min("n") == 0).alias("old")).where("n > 0")
-        array = stage_table(scan.select("h", "seg", "at.doc", "at.place", "n", "old").sortWithinPartitions("h", "seg"), "suffix-array")
+        scan = scan.groupBy("h", "seg").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"), F.sum("n").alias("n"), (F.min("n") == 0).alias("old")).where("n > 0")
+        array = stage_table(scan.sortWithinPartitions("h", "seg"), "suffix-array")
         copies = stage_table(self._copies(docs, array), "suffix-copies")
         fresh = array.where("NOT old").select("h", "seg", "doc", "place")
         sides = fresh.select("h", F.lit(1).alias("new"))
@@ -182,12 +208,12 @@ class SuffixFamily:
         again = array.where("n > 1 OR old")
         total = array.agg(F.sum("n")).first()[0] or 0
         # Of entries with more than total / MAX_HOT copies there are fewer than MAX_HOT.
-        hot = array.where(F.col("n") > max(HOT, total // MAX_HOT)).select("h", "seg", F.ceil(F.col("n") / HOT).alias("parts"))
-        dealt = F.coalesce("parts", F.lit(1))
-        rows = anchored(docs, bitmap_of(again.select("h"))).join(F.broadcast(hot), ["h", "seg"], "left").withColumn("part", F.pmod(F.xxhash64("doc", "place"), dealt))
-        firsts = again.join(F.broadcast(hot), ["h", "seg"], "left").select("h", "seg", F.col("doc").alias("_doc"), F.col("place").alias("_place"), F.explode(F.sequence(F.lit(0).cast("bigint"), dealt - 1)).alias("part"))
+        parts = F.when(F.col("n") > max(HOT, total // MAX_HOT), F.ceil(F.col("n") / HOT)).otherwise(1).cast("int")
+        hot = again.select("h", "seg", parts.alias("parts")).where("parts > 1").toPandas()
+        firsts = again.select("h", "seg", F.when(~F.col("old"), F.col("doc")).alias("_doc"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        found = occurrences(docs, bitmap_of(again.select("h")), hot).join(firsts, ["h", "seg", "part"]).where("_doc IS NULL OR doc != _doc OR NOT first")
         begin, n = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(255).cast("int")
-        return rows.join(firsts, ["h", "seg", "part"]).where("doc != _doc OR place != _place").select("doc", begin.alias("start"), (begin + n + (LENGTH - 1)).alias("stop"))
+        return found.select("doc", begin.alias("start"), (begin + n + (LENGTH - 1)).alias("stop"))
 
     def drop(self) -> None:
         """Deletes all levels."""
