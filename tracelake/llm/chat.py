@@ -9,7 +9,8 @@ backslash after its first character, which is undone by taking one away, so that
 mask lists the spans of assistant texts in the formatted string.
 
 Defined cases: null roles and texts count as empty; turns sort by (turn, role, text), null turns first, and repeated
-rows stay; an empty table gives an empty result; other columns are ignored.
+rows stay; an empty table gives an empty result; other columns of records pass through, but for those named like a result
+(``RESULTS``), which give way; pack_conversations reads no others.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free_name, let
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = r"\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|/?SYS>>"
 TURNS = "array<struct<role:string,text:string>>"
+RESULTS = ("_layout", "_turns", "_formatted", "_loss")
 
 
 @dataclass(frozen=True)
@@ -122,8 +124,10 @@ def loss_text(formatted: Column, loss: Column) -> Column:
 
 def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds ``_layout``, ``_turns``, ``_formatted`` and ``_loss``."""
-    out = canonical_turns(records, record).withColumn("_chat", format_turns(F.col("_turns")))
-    return out.select(*records.columns, "_layout", "_turns", F.col("_chat.formatted").alias("_formatted"), F.col("_chat.loss").alias("_loss"))
+    records = records.drop(*RESULTS)
+    chat = free_name("_chat", records)
+    out = canonical_turns(records, record).withColumn(chat, format_turns(F.col("_turns")))
+    return out.select(*records.columns, "_layout", "_turns", F.col(f"{chat}.formatted").alias("_formatted"), F.col(f"{chat}.loss").alias("_loss"))
 
 
 def pack_conversations(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +17,45 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset and all runs on one machine (tests), one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, and survives lost executors."""
+#: Folders of the tables staged inside each open ``scratch``.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were staged inside, but for those staged to be kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage_table(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, and survives lost executors.
+
+    A ``scratch`` around deletes it at its end; if kept, that of the caller around does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_OPEN) > kept:
+        _OPEN[-1 - kept].append(path)
     schema = df.schema
     df.write.parquet(path)
     del df
@@ -40,12 +68,12 @@ def row_keys(docs: DataFrame, doc_id: str, text: str, name: str, to: str = "_doc
 
     Ids that are all there and all different are the keys themselves. Else rows are numbered in a staged table.
     """
-    key = F.col(doc_id).cast("bigint")
+    key, digest, row = F.col(doc_id).cast("bigint"), free_name("_digest", docs), free_name("_row", docs)
     plain = docs.where(key.isNull()).limit(1).isEmpty() and docs.groupBy(key.alias("k")).count().where("count > 1").limit(1).isEmpty()
     if plain:
         return docs.withColumn(to, key), False
-    ranked = docs.withColumn("_digest", F.sha2(F.col(text).cast("binary"), 256)).withColumn("_row", F.monotonically_increasing_id())
-    ranked = ranked.orderBy(key.asc_nulls_first(), F.col("_digest").asc_nulls_first(), "_row").drop("_digest", "_row")
+    ranked = docs.withColumn(digest, F.sha2(F.col(text).cast("binary"), 256)).withColumn(row, F.monotonically_increasing_id())
+    ranked = ranked.orderBy(key.asc_nulls_first(), F.col(digest).asc_nulls_first(), row).drop(digest, row)
     return stage_table(ranked.withColumn(to, F.monotonically_increasing_id()), name), True
 
 
@@ -58,10 +86,16 @@ def free_shuffles(spark: SparkSession) -> None:
 def drop_tables(*tables: DataFrame) -> None:
     """Deletes tables of stage_table that nothing will read again."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """name, or with underscores behind it, such that docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop_tables, stage_table
 
 
 def connected_components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -27,5 +27,6 @@ def connected_components(edges: DataFrame, name: str = "stars") -> DataFrame:
         large = both.join(least, both["u"] == least["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         first = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(first, large["u"] == first["k"]).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        now = stage_table(small, name)
+        last, now = now, stage_table(small, name)
+        drop_tables(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

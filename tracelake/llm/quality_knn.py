@@ -8,7 +8,8 @@ documents against them, block by block, and weights the labels of the ``NEIGHBOU
 
 Bounds: at most ``MAX_TRAIN`` labelled documents are learnt from, the first by a hash of their ids. Every whole text is
 scored. Defined cases: null and empty texts are the zero vector and score the share of good labels, as do all texts
-where nothing is labelled (0.5); repeated rows score alike; other columns pass through.
+where nothing is labelled (0.5); repeated rows score alike; other columns pass through, but for one called
+``_score``, which gives way.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def vote(x: np.ndarray, model: Model) -> np.ndarray:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, with ``_score``."""
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "_score")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = _classes()

@@ -8,7 +8,8 @@ A document is dropped if it fails the base rules, if it fails a grave rule, or i
 shrunk rate is above ``max_host_rate``. A clean document of a bad host stays.
 
 Defined cases: null or empty text has no words and fails the base; a null domain is a host of its own; repeated rows
-each keep their row; an empty table gives an empty result; other columns of the input pass through unread.
+each keep their row; an empty table gives an empty result; other columns of the input pass through unread, but for those named
+like a result (``RESULTS``), which give way to it.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_chars, let, stage_table, words_of
+from .common import SPACES, count_chars, free_name, let, stage_table, words_of
 
 SYMBOLS = "#*$%&|<>"
+RESULTS = ("_q", "_base_failed", "_grave", "_mild", "_host_rate", "_kept")
 
 
 @dataclass(frozen=True)
@@ -101,14 +103,12 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
 
 def host_verdicts(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, rules: HostRules = HostRules()) -> DataFrame:
     """The kept columns (all by default) with the struct ``_q``, ``_base_failed``, ``_host_rate`` and ``_kept``."""
-    keep = docs.columns if keep is None else keep
-    slim = list(dict.fromkeys([*[c for c in keep if c != text], host]))
-    # With the text in the result the counts are computed beside it again; a staged copy of all texts would cost disk.
-    judged = judge(rule_counts(docs, text, slim, rules), rules)
-    if text not in keep:
-        judged = stage_table(judged, "quality-rules")
-    rates = host_rates(judged, host).select("_host", F.col("host_rate").alias("_host_rate"))
-    body = judged if text not in keep else judge(rule_counts(docs, text, None, rules), rules)
-    out = body.join(rates, body[host].eqNullSafe(rates["_host"]), "left").drop("_host")
+    docs = docs.drop(*RESULTS)
+    keep = docs.columns if keep is None else [c for c in keep if c not in RESULTS]
+    # Counted once and staged, with what is kept of the documents: hosts are summed from it, and verdicts joined to it.
+    judged = stage_table(judge(rule_counts(docs, text, list(dict.fromkeys([*keep, host])), rules), rules), "quality-rules")
+    of = free_name("_host", judged)
+    rates = host_rates(judged, host).select(F.col("_host").alias(of), F.col("host_rate").alias("_host_rate"))
+    out = judged.join(rates, judged[host].eqNullSafe(rates[of]), "left").drop(of)
     drop = F.col("_base_failed") | F.col("_grave") | (F.col("_mild") & (F.col("_host_rate") > rules.max_host_rate))
     return out.withColumn("_kept", ~drop)

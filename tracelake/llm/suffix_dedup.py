@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import drop_tables, row_keys, small_batches, stage_table
+from .common import drop_tables, row_keys, scratch, small_batches, stage_table
 
 LENGTH, GRAM = 100, 32
 CHUNK = 300_000
@@ -291,9 +291,10 @@ def _later(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def _repeated_blocks(blocks: DataFrame) -> DataFrame:
-    """doc, start, stop of the windows of blocks that start earlier in other blocks."""
+    """doc, start, stop of the windows of blocks, a staged table that is deleted, that start earlier in other blocks."""
     shared = blocks.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
     met = stage_table(blocks.join(shared, "core", "left_semi"), "suffix-blocks")
+    drop_tables(blocks)
     firsts, others = _later(met, ["core", "l", "r", "low", "high"])
     whole = others.select("doc", F.col("p").alias("start"), (F.col("p") + F.col("high") - F.col("low") + LENGTH).alias("stop"))
     firsts = stage_table(firsts, "suffix-blocks")
@@ -306,20 +307,20 @@ def repeated_spans(docs: DataFrame, batches: int = 4) -> DataFrame:
     """doc, starts, stops: spans of windows that start earlier elsewhere, of documents (_doc, _data); they may overlap."""
     cuts = sorted(set(docs.approxQuantile("_doc", [i / batches for i in range(1, batches)], 0.01)))
     edges = [None, *[int(c) for c in cuts], None]
-    family = SuffixFamily()
-    whole, parts = [], []
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        batch = docs if lo is None else docs.where(F.col("_doc") > lo)
-        copies, part = family.add(batch if hi is None else batch.where(F.col("_doc") <= hi))
-        whole.append(copies)
-        parts.append(part)
-    family.drop()
-    firsts = reduce(DataFrame.union, parts).distinct()
-    blocks = stage_table(first_blocks(docs, firsts), "suffix-blocks")
-    spans = reduce(DataFrame.union, [*whole, _repeated_blocks(blocks)])
-    spans = stage_table(spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "suffix-spans")
-    drop_tables(blocks, *whole, *parts)
-    return spans
+    with scratch(docs.sparkSession):
+        family = SuffixFamily()
+        whole, parts = [], []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            batch = docs if lo is None else docs.where(F.col("_doc") > lo)
+            copies, part = family.add(batch if hi is None else batch.where(F.col("_doc") <= hi))
+            whole.append(copies)
+            parts.append(part)
+        family.drop()
+        blocks = stage_table(first_blocks(docs, reduce(DataFrame.union, parts).distinct()), "suffix-blocks")
+        drop_tables(*parts)
+        spans = reduce(DataFrame.union, [*whole, _repeated_blocks(blocks)])
+        spans = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+        return stage_table(spans, "suffix-spans", kept=True)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 4) -> DataFrame:
