@@ -4,18 +4,21 @@ Found in the whole text, and replaced where they validate:
 
 * payment cards (13 to 19 digits, Luhn): the first digit stays, the others are permuted, the check digit is recomputed;
 * IBANs (mod 97): country and length stay, digits are permuted, letters stay, the check digits are recomputed;
-* US social security numbers (valid areas, groups and serials): digits permuted; telephone numbers
+* US social security numbers (valid areas, groups and serials): permuted among the valid ones; telephone numbers
   ``+C (AAA) BBB-DDDD`` and the like: country code and punctuation stay, the rest is permuted;
 * dates (ISO and ``/`` forms that exist in the calendar from 1900 to 2099): permuted among the days of those years;
 * IPv4 addresses with octets to 255: permuted among all 2^32;
-* e-mail addresses: local parts become keyed letters and digits of the same length, the domain stays; secrets in
-  ``token = "hex"`` and like assignments: every hexadecimal digit run is replaced by keyed digits of the same length.
+* e-mail addresses: the letters a to z (in lower case) and digits of local parts are permuted among those of as many, other
+  characters and the domain stay; local parts with other letters become keyed letters of the same length. Secrets in
+  ``token = "hex"`` and like assignments: hexadecimal digits (in lower case) are permuted.
 
 The same value gives the same pseudonym in every document (under one key), so links stay. Numbers that don't validate,
 such as a 16-digit number that fails Luhn, are left alone.
 
+Whoever has the key can invert all this: pass your own; ``KEY`` is for demonstration.
+
 Defined cases: null text stays null; empty text stays empty; documents without a digit or ``@`` pass unchanged;
-repeated rows and other columns pass through.
+repeated rows and other columns pass through, but for one called ``_pii_found``, which gives way.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free_name, let
 
 KEY = "tracelake-demo-key"
 ROUNDS = 8
@@ -129,8 +132,11 @@ def phone(m: Column, key: str) -> Column:
 
 
 def ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("0000$")
-    return F.when(valid, refill(m, feistel(digits_of(m), key, "ssn"))).otherwise(m)
+    valid = lambda d: ~d.rlike("^(?:000|666|9|.{3}00|.{5}0000)")
+    step = lambda d: feistel(d, key, "ssn")
+    # Cycle walking, as in feistel_below; a ninth of all numbers isn't valid.
+    walked = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(24)), step(d), lambda v, _: F.when(valid(v), v).otherwise(step(v)))
+    return let(digits_of(m), lambda d: F.when(valid(d), refill(m, walked(d))).otherwise(m))
 
 
 def ip(m: Column, key: str) -> Column:
@@ -159,15 +165,43 @@ def keyed_like(text: Column, letters: str, key: str, tweak: str) -> Column:
     return F.when(F.length(text) < 1, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), pick), ""))
 
 
+def feistel_chars(text: Column, letters: str, key: str, tweak: str) -> Column:
+    """A keyed permutation of the strings of as many of letters."""
+
+    def added(a: Column, b: Column, r: Column) -> Column:
+        def one(i: Column) -> Column:
+            turn = _number(_digest(key, F.lit(tweak), r.cast("string"), i.cast("string"), F.length(a).cast("string"), b))
+            return F.substring(F.lit(letters), F.pmod(F.instr(F.lit(letters), F.substring(a, i, F.lit(1))) - 1 + turn, F.lit(len(letters))).cast("int") + 1, F.lit(1))
+
+        return F.when(F.length(a) == 0, a).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(a)), one), ""))
+
+    half = F.floor(F.length(text) / 2).cast("int")
+    start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
+    turn = lambda s, r: F.struct(s["b"].alias("a"), added(s["a"], s["b"], r).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+
+
+def refill_chars(form: Column, chars: Column, cls: str) -> Column:
+    """form with its characters of a class replaced, one by one, by those given."""
+    parts = F.split(form, cls, -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.substring(chars, i + 1, F.lit(1)))), "")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
 def email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(keyed_like(local, "abcdefghijklmnopqrstuvwxyz0123456789", key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    def of(local: Column) -> Column:
+        plain = refill_chars(local, feistel_chars(F.regexp_replace(local, "[^a-z0-9]", ""), LETTERS, key, "email"), "[a-z0-9]")
+        return F.when(local.rlike(r"^[a-z0-9._%+\-]+$"), plain).otherwise(keyed_like(local, LETTERS, key, "email"))
+
+    return F.concat(let(F.lower(F.substring_index(m, "@", 1)), of), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def secret(m: Column, key: str) -> Column:
     run = F.regexp_extract(m, r"[0-9A-Fa-f]{12,}", 0)
     at = F.instr(m, run)
-    return F.concat(F.substring(m, F.lit(1), at - 1), keyed_like(run, "0123456789abcdef", key, "secret"), F.substring(m, at + F.length(run), F.length(m)))
+    return F.concat(F.substring(m, F.lit(1), at - 1), feistel_chars(F.lower(run), "0123456789abcdef", key, "secret"), F.substring(m, at + F.length(run), F.length(m)))
 
 
 MAKERS = {"email": email, "secret": secret, "iban": iban, "phone": phone, "ip": ip, "date": date, "ssn": ssn, "card": card}
@@ -194,5 +228,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
     some = let(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda ms: F.when(F.size(ms) > 0, swapped(ms)).otherwise(F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))))
     plain = F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
-    out = docs.withColumn("_pii", F.when(t.rlike("[0-9@]"), some).otherwise(plain))
-    return out.select(*[F.col("_pii.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("_pii.n").alias("_pii_found"))
+    docs = docs.drop("_pii_found")
+    new = free_name("_pii", docs)
+    out = docs.withColumn(new, F.when(t.rlike("[0-9@]"), some).otherwise(plain))
+    return out.select(*[F.col(f"{new}.text").alias(c) if c == text else F.col(c) for c in docs.columns], F.col(f"{new}.n").alias("_pii_found"))
