@@ -2,10 +2,14 @@
 
 A page becomes a tree of elements. Every paragraph gives points for its length and commas to its parent, and half of
 them to its grandparent; a container's points are discounted by its link density. The best container and those of its
-siblings that read like text are kept, and their blocks of text are joined in page order.
-
-Runs in Spark tasks, one page at a time. Defined cases: null or empty html gives an empty text; broken markup is read
-as far as it goes (open paragraphs end at the next block, stray end tags are ignored); no text is cut or capped.
+siblings that read like text are kept, and their blocks of text are joined in page order. Where the best container lies
+in an ``article``, that element and the articles beside it are kept, else a ``main`` around it: the page's own marks go
+before the points.
+
+Runs in Spark tasks, one page at a time, in time that grows with the page's length alone. Defined cases: null or empty html gives an
+empty text; broken markup is read as far as it goes (open paragraphs end at the next block, stray end tags are ignored, a
+``<`` that begins no tag is text); where elements named like menus or notices hold all the text of a page, they are read
+after all; no text is cut or capped; other columns pass through, but for one called ``_main_text``, which gives way.
 """
 
 from __future__ import annotations
@@ -19,15 +23,20 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, other markup, or a tag with its attributes; a tag whose attributes hold a "<" outside quotes is none. Nothing is tried twice.
+TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"'=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?")
 SPACE = re.compile(r"\s+")
 WHOLE = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "select", "xmp"}  # their content is no text
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt", "tr", "td", "th"}
-NEVER = {"nav", "footer", "aside", "form", "button", "header", "menu", "dialog", "figcaption", "input", "label", "option"}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:$|[\s_-])", re.I)
-NAMES = re.compile(r"\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+NEVER = {"nav", "footer", "aside", "form", "button", "header", "menu", "dialog", "input", "label", "option"}
+#: Parts of class names, ids and roles of what isn't the article; "no-sidebar" and the like say something else.
+COMMENTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "ad", "ads", "advert", "advertisement", "promo", "related", "sponsor", "sponsored"}
+UNLIKELY = COMMENTS | {"banner", "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "share", "sharing", "sidebar", "signup", "social", "subscribe", "tags", "toolbar", "widget"}
+STATES = {"no", "not", "has", "with", "without", "is"}
+TEXT_LIKE = {"p", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
 LIKELY_ROOT = {"article", "main"}
 
 
@@ -40,7 +49,8 @@ class Node:
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def parse(page: str) -> Node:
+def parse(page: str, by_names: bool = True) -> Node:
+    """The tree of a page; by_names: elements named like menus, notices or comments aren't shown."""
     root = node = Node("#", None, True)
     at = 0
     low = None
@@ -52,10 +62,15 @@ def parse(page: str) -> Node:
         if not m:
             return root
         at = m.end()
+        if m.group() in ("<!--", "<![CDATA["):
+            mark = "-->" if m.group() == "<!--" else "]]>"
+            end = page.find(mark, at)
+            if mark == "]]>" and node.shown:
+                node.kids.append(page[at : len(page) if end < 0 else end])
+            at = len(page) if end < 0 else end + 3
+            continue
         name = m.group(2)
         if name is None:
-            if m.group().startswith("<![CDATA[") and node.shown:
-                node.kids.append(m.group()[9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if m.group(1):
@@ -74,7 +89,7 @@ def parse(page: str) -> Node:
             elif up.tag == name and name in ("li", "dd", "dt", "tr", "td", "th"):
                 node = up.parent
         attrs = m.group(3)
-        shown = node.shown and name not in NEVER and name not in WHOLE and not (attrs and name not in LIKELY_ROOT and name not in ("html", "body") and _unlikely(attrs))
+        shown = node.shown and name not in NEVER and name not in WHOLE and not (by_names and attrs and name not in ("html", "body", "main") and _unlikely(attrs, COMMENTS if name == "article" else UNLIKELY))
         new = Node(name, node, shown)
         node.kids.append(new)
         if name in WHOLE:
@@ -96,10 +111,17 @@ def _crosses(node: Node, up: Node) -> bool:
     return False
 
 
-def _unlikely(attrs: str) -> bool:
-    for k, v in NAMES.findall(attrs):
-        if k.lower() == "hidden" or UNLIKELY.search(v.strip("\"'")):
+def _unlikely(attrs: str, words: set[str]) -> bool:
+    """Whether attributes hide an element, or name it by one of words."""
+    for name, value in ATTRIBUTE.findall(attrs):
+        name = name.lower()
+        if name == "hidden":
             return True
+        if name in ("class", "id", "role", "aria-label"):
+            for token in value.strip("\"'").lower().split():
+                parts = set(token.replace("_", "-").split("-"))
+                if parts & words and not parts & STATES:
+                    return True
     return False
 
 
@@ -134,7 +156,7 @@ def density(node: Node) -> float:
 
 
 def kept(root: Node) -> list[Node]:
-    """The best container and its siblings of text, in page order; an article or main element around it is kept whole."""
+    """The best container and its siblings of text, in page order; an article or main element around it goes before."""
     best, most = root, 0.0
     stack = [root]
     while stack:
@@ -143,10 +165,10 @@ def kept(root: Node) -> list[Node]:
         if node.tag not in INLINE and (x := node.points * (1 - density(node))) > most:
             best, most = node, x
     up = best
-    while up is not None:
-        if up.tag in LIKELY_ROOT:
-            return [up]
+    while up is not None and up.tag not in LIKELY_ROOT:
         up = up.parent
+    if up is not None:
+        return [up] if up.tag == "main" else [k for k in up.parent.kids if k is up or (isinstance(k, Node) and k.shown and k.tag == "article" and k.size and density(k) < 0.5)]
     if most == 0.0:
         roots = []
         stack = [root]
@@ -161,7 +183,7 @@ def kept(root: Node) -> list[Node]:
         return [best]
     out = []
     for k in best.parent.kids:
-        if k is best or (isinstance(k, Node) and k.shown and k.tag not in INLINE and (k.points * (1 - density(k)) >= max(10.0, 0.2 * most) or (k.tag == "p" and k.size > 80 and density(k) < 0.25) or (k.tag in ("h1", "h2", "h3") and k.size))):
+        if k is best or (isinstance(k, Node) and k.shown and k.size and k.tag not in INLINE and density(k) < 0.33 and (k.tag in TEXT_LIKE or k.points * (1 - density(k)) >= 0.1 * most)):
             out.append(k)
     return out
 
@@ -200,15 +222,18 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    score(root)
-    return "\n".join(b for node in kept(root) for b in blocks(node))
+    for by_names in (True, False):
+        root = parse(page, by_names)
+        score(root)
+        if text := "\n".join(b for node in kept(root) for b in blocks(node)):
+            return text
+    return ""
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without its html, with ``_main_text``; other columns pass through."""
     small_batches(pages.sparkSession)
-    keep = [c for c in pages.columns if c != html_col]
+    keep = [c for c in pages.columns if c not in (html_col, "_main_text")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
