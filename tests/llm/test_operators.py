@@ -67,9 +67,35 @@ def test_chat_round_trip(spark, text):
 
 
 def test_lexicon_finds_misspellings():
-    reader = toxicity.Reader(toxicity.compile_lexicon([("idiot", False), ("foo", True)]))
-    x = reader.features(["an idoit idot idiots", "idiot", "nothing", "food", 'he said "idiot" there'])
-    assert x[0, 2] > 0 and x[1, 0] > 0 and not x[2, :8].any() and x[3, 1] > 0 and x[4, 3] > 0
+    reader = toxicity.Reader(toxicity.compile_lexicon(toxicity.with_edits([("idiot", False), ("foo", True)])))
+    x, fuzzy = reader.read(["an idoit idot idiots", "idiot", "nothing", "food", 'he said "idiot" there'])
+    assert x[0, 0] > 0 and x[1, 0] > 0 and not x[2, :7].any() and x[3, 1] > 0 and x[4, 2] > 0
+    assert fuzzy.tolist() == [[0, 0], [0, 0]]  # idot and idiots; two letters that change places are two edits
+
+
+def edits(a, b):
+    """Levenshtein distance, by the textbook."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_against_textbook_distances():
+    rnd = random.Random(12)
+    word = lambda lo, hi: "".join(rnd.choice("abc") for _ in range(rnd.randint(lo, hi)))
+    terms = [(word(4, 7), i % 2 == 0) for i in range(8)]
+    entries = toxicity.with_edits(list(dict(terms).items()))
+    lex = toxicity.compile_lexicon(entries)
+    reader = toxicity.Reader(lex)
+    for w in {word(1, 9) for _ in range(1500)}:
+        exact = any(w.startswith(t) if stem else w == t for t, stem, _ in entries)
+        near = any(min(edits(t, w[:k]) for k in range(len(w) + 1)) <= e if stem else edits(t, w) <= e for t, stem, e in entries)
+        x, fuzzy = reader.read([w])
+        assert bool(x[0, :2].any()) == near, w
+        assert bool(fuzzy.size) == (near and not exact), w
 
 
 def test_scores_of_odd_rows(spark):
