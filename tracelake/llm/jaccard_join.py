@@ -8,8 +8,10 @@
   document.
 * The token-group matrix has each group's union of prefix shingles. Where two groups share too few shingles of their
   unions, or their sizes don't fit, no member of one can link to a member of the other. Only groups that qualify are
-  opened: their members' whole sets meet once for each pair of groups, and links come from one matrix product. A family
-  of thousands of near copies is a few hundred groups, so its pairs never become rows.
+  opened: their members' whole sets meet once for each pair of groups, and links come from one matrix product.
+* First each group is opened with itself and with the smallest group that qualifies, its representative. Pairs of groups
+  whose members are all in one component then need no opening, as a further link would join nothing; the others are opened. So
+  a family of F near copies opens about F / ``GROUP`` pairs, not their square.
 * Components are taken over all links.
 
 Bitmaps of fixed size thin what the tasks send; exact joins follow. Defined cases: texts without words, and null texts,
@@ -27,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix64, random64
-from .common import row_keys, small_batches, stage_table
+from .common import row_keys, scratch, small_batches, stage_table
 from .components import connected_components
 
-CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP, COLUMNS = 300_000, 4, 20, 500_000, 20, 128, 8_192
+CHUNK, SHARED, HEAVY, MAX_HEAVY, BITMAP_BITS, GROUP, COLUMNS, SLOTS = 300_000, 4, 20, 500_000, 20, 128, 8_192, 256
 _POSITIONS, _LETTERS, _PLACES = random64(64, 21), random64(256, 22), random64(16, 23)
 
 
@@ -271,9 +273,14 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
     lists = stage_table(lists.join(classes.select("doc"), "doc", "left_semi"), "jaccard-lists")
     # Groups of about GROUP similar documents: by the smallest id that a document shares a shingle with and its size (to a
     # factor of the similarity), dealt by hash.
-    near = lists.groupBy("doc", "n").agg(F.min("lo").alias("f")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))))
-    parts = near.groupBy("f", "band").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    members = stage_table(near.join(parts, ["f", "band"]).select("doc", "n", F.xxhash64("f", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("g")), "jaccard-members")
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS))
+    near = lists.groupBy("doc", "n").agg(F.min("lo").alias("f")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct)))).withColumn("s", slot)
+    near = stage_table(near, "jaccard-near")
+    # Counted by slot, so that the members of a large family meet their family's count in many tasks.
+    slots = near.groupBy("f", "band", "s").agg(F.count("*").alias("k"))
+    parts = slots.groupBy("f", "band").agg(F.ceil(F.sum("k") / GROUP).alias("parts"))
+    slots = slots.join(parts, ["f", "band"]).select("f", "band", "s", "parts")
+    members = stage_table(near.join(slots, ["f", "band", "s"]).select("doc", "n", F.xxhash64("f", "band", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("g")), "jaccard-members")
     # The matrix: the groups by the shingles in their unions, and the range of their members' sizes there.
     matrix = lists.join(members.select("doc", "g"), "doc").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
     matrix = stage_table(matrix, "jaccard-matrix")
@@ -282,11 +289,23 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
     bound = x.join(y, "token").where(((F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("k1") > 1))) & fits)
     opened = bound.groupBy("g1", "g2").agg(F.count("*").alias("k"), F.min(F.least("least1", "least2")).alias("least")).where(F.col("k") >= _shared(F.col("least"), pct))
     opened = stage_table(opened.select("g1", "g2"), "jaccard-opened")
-    sides = opened.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
-    wanted = sides.select("g").distinct().join(members, "g").select("doc").distinct()
-    held = sets.whole(bitmap_of(_hashed(wanted))).join(members.select("doc", "g"), "doc")
-    edges = verified(sides.join(held, "g").select("g1", "g2", "g", "doc", "tokens"), pct)
-    return connected_components(edges, "jaccard-components")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
+        wanted = sides.select("g").distinct().join(members, "g").select("doc").distinct()
+        held = sets.whole(bitmap_of(_hashed(wanted))).join(members.select("doc", "g"), "doc")
+        return stage_table(verified(sides.join(held, "g").select("g1", "g2", "g", "doc", "tokens"), pct), "jaccard-links")
+
+    least = opened.where("g1 != g2").groupBy("g2").agg(F.min("g1").alias("g1")).select("g1", "g2")
+    first = stage_table(opened.where("g1 = g2").union(least), "jaccard-first")
+    found = links(first)
+    # What each group's members are in so far: one component where lo and hi agree.
+    named = members.join(connected_components(found, "jaccard-so-far"), F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
+    state = stage_table(named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "jaccard-state")
+    one, two = (state.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "lo", "hi")]) for i in (1, 2))
+    apart = "lo1 != hi1 OR lo2 != hi2 OR lo1 != lo2"
+    rest = stage_table(opened.join(first, ["g1", "g2"], "left_anti").join(one, "g1").join(two, "g2").where(apart).select("g1", "g2"), "jaccard-rest")
+    return connected_components(found.union(links(rest)), "jaccard-components")
 
 
 def join_documents(docs: DataFrame, size: int = 5, pct: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,7 +316,8 @@ def join_documents(docs: DataFrame, size: int = 5, pct: int = 80, doc_id: str =
     sets = Sets(body, size, pct)
     signed = stage_table(sets.signatures(), "jaccard-signatures")
     classes = stage_table(signed.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("doc")), "jaccard-classes")
-    labels = linked(sets, classes)
+    with scratch(docs.sparkSession):
+        labels = stage_table(linked(sets, classes), "jaccard-labels", kept=True)
     named = classes.join(labels, classes["doc"] == labels["node"], "left").select("sig", "n", F.coalesce("label", "doc").alias("label"))
     out = signed.join(named, ["sig", "n"], "left")
     out = out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("label", "doc").alias("component"))
