@@ -1,7 +1,7 @@
 import pytest
 
 from tracelake.functions import values as V
-from tracelake.operators import filters, intervals, listing, search
+from tracelake.operators import filters, intervals, listing
 from tracelake.operators.filters import Filter, InvalidFilter
 
 
@@ -30,13 +30,6 @@ def test_pages_give_every_row_once(spark, desc, size):
     assert seen == whole
 
 
-def test_grammar():
-    assert [[i.words for i in g] for g in search.parse('a AND "b c" OR d -e')] == [[("a",), ("b", "c")], [("d",), ("e",)]]
-    for q in ("-a", "a OR -b", "x*", "..."):
-        with pytest.raises(search.InvalidQuery):
-            search.parse(q)
-
-
 def test_runs(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 9), (1, 10, 12)], "k int, start bigint, stop bigint")
     merged = intervals.merge_runs(df, "k")

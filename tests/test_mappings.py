@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tracelake.mappings import registry
 from tracelake.operators import carve, reconcile
-from tracelake.plans import mapped
+from tracelake.plans import apps, mapped
 from tracelake.streaming import ingest
 
 
@@ -24,7 +24,7 @@ def test_probe_tells_absent_from_unsupported(spark):
 
 def test_every_mapping_gives_records(spark):
     for p in registry.PARSERS.values():
-        tables = {n: mapped.app_table(spark, "/root/testdata/sf0.001", n) for n in p.needs}
+        tables = {n: mapped.app_table(spark, "/root/testdata/sf0.001", apps.PREFIX.get(p.name, "") + n) for n in p.needs}
         out = registry.records(p, tables)
         assert out.columns == ["parser", "type", "rowid", "ts", "payload"] and out.count() > 0
         empty = registry.records(p, {n: t.limit(0) for n, t in tables.items()})
@@ -61,16 +61,21 @@ def test_carving_equals_a_plain_search(spark):
     assert carve.carve(df, "k", "b").count() == 0
 
 
-def test_hash_chain_finds_the_changed_entry(spark):
+def test_audit_chain_finds_each_kind_of_break(spark):
     import hashlib
 
     entries, before = [], ""
-    for i in range(5):
-        entries.append(("c", i, f"e{i}", before))
-        before = hashlib.sha256(f"{before}|e{i}".encode()).hexdigest()
-    entries[2] = ("c", 2, "changed", entries[2][3])
-    log = spark.createDataFrame(entries, "k string, seq int, entry string, prev string")
-    assert rows(reconcile.hash_chain(log, "k", "seq", "entry", "prev"), "seq") == [(3,)]
+    for i in range(1, 9):
+        digest = hashlib.sha256(f"{before}|e{i}".encode()).hexdigest()
+        entries.append(["c", i, f"e{i}", before, digest])
+        before = digest
+    entries[2][2] = "changed"  # 3 altered
+    entries[4][3] = "other"  # 5 unlinked
+    del entries[6]  # 8 after a gap
+    entries.append(entries[0])
+    log = spark.createDataFrame([tuple(e) for e in entries], "k string, seq int, entry string, prev string, digest string")
+    got = rows(reconcile.audit_chain(log, "k", "seq", "prev", "digest", ["prev", "entry"]), "seq", "state")
+    assert got == [(1, "repeated"), (3, "altered"), (5, "unlinked"), (8, "gap")]
 
 
 def test_ranges_do_not_overflow(spark):

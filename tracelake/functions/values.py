@@ -22,7 +22,7 @@ def floor_div(v: Column, by: int) -> Column:
 
 def unix_us(v: Column, unit: str) -> Column:
     """Microseconds of a Unix time in s, ms, us or ns; null for sentinels (0, -1, the extremes) and implausible times."""
-    bad = v.isin(0, -1, (1 << 63) - 1) | (v == F.expr("-9223372036854775807L - 1"))
+    bad = is_sentinel(v)
     scale = {"s": v * 1_000_000, "ms": v * 1000, "us": v, "ns": floor_div(v, 1000)}[unit]
     limit = {"s": 1 << 40, "ms": 1 << 50, "us": 1 << 62, "ns": 1 << 62}[unit]
     return F.when(~bad & (F.abs(v) < limit), plausible(scale.cast("bigint")))
@@ -38,8 +38,13 @@ def cocoa_auto_us(v: Column) -> Column:
     return F.when(~v.isin(0, -1), plausible((us + COCOA * 1_000_000).cast("bigint")))
 
 
+def is_sentinel(v: Column) -> Column:
+    """Numbers that stand for no time: 0, -1 and the extremes of 64 bits."""
+    return v.isin(0, -1, (1 << 63) - 1) | (v == F.expr("-9223372036854775807L - 1"))
+
+
 def time_class(v: Column, us: Column) -> Column:
-    return F.when(v.isin(0, -1), "sentinel").when(us.isNull(), "invalid").otherwise("valid")
+    return F.when(is_sentinel(v), "sentinel").when(us.isNull(), "invalid").otherwise("valid")
 
 
 def address_kind(a: Column) -> Column:
@@ -62,6 +67,15 @@ def jid_parts(j: Column) -> Column:
     return F.struct(F.regexp_replace(user, ":[0-9]+$", "").alias("user"), F.try_to_number(F.nullif(F.regexp_extract(user, ":([0-9]{1,5})$", 1), F.lit("")), F.lit("99999")).cast("int").alias("device"), F.regexp_extract(j, "^(.*)@([^@]*)$", 2).alias("server"))
 
 
+def displayed(us: Column, basis: str | Column, offset_minutes: Column) -> Column:
+    """A time to the microsecond, in a session of UTC, with Z, ~local (a clock of unknown zone), or ~local and its offset."""
+    basis = F.lit(basis) if isinstance(basis, str) else basis
+    away = F.abs(offset_minutes)
+    zone = F.concat(F.when(offset_minutes < 0, "-").otherwise("+"), F.lpad(F.floor(away / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(away, F.lit(60)).cast("string"), 2, "0"))
+    tail = F.when(basis == "utc", "Z").when(basis == "offset", F.concat(F.lit("~local"), zone)).otherwise("~local")
+    return F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss.SSSSSS"), tail)
+
+
 SMS_DIRECTIONS = {1: "in", 2: "out", 3: "draft", 4: "out", 5: "out", 6: "out"}
 CALL_OUTCOMES = {1: "answered", 2: "answered", 3: "missed", 4: "voicemail", 5: "rejected", 6: "blocked", 7: "answered"}
 TRANSITIONS = ("link", "typed", "auto_bookmark", "auto_subframe", "manual_subframe", "generated", "auto_toplevel", "form_submit", "reload", "keyword", "keyword_generated")

@@ -45,3 +45,9 @@ def safari_history(t: Mapping[str, DataFrame]) -> DataFrame:
     if "history_tombstones" in t:  # absent in older schemas
         out = out.unionByName(t["history_tombstones"].select(F.lit("tombstone").alias("kind"), F.col("id").alias("rowid"), us("start_time").alias("ts"), us("end_time").alias("end_ts"), "url", F.lit(True).alias("deleted")), allowMissingColumns=True)
     return out
+
+
+def chromium_searches(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Search terms with the page that they led to; its last visit is their time."""
+    out = lookup(t["keyword_search_terms"], "url_id", t["urls"], "id", {"url": "url", "_last": "last_visit_time"}, "url_state")
+    return out.select(F.col("keyword_id").alias("rowid"), V.webkit_us(F.col("_last")).alias("ts"), "term", "url", "url_state")

@@ -1,4 +1,4 @@
-"""Messages of iOS."""
+"""Messages, calls, contacts and calendars of iOS."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions import texts as T
 from tracelake.functions import values as V
 
 from .joins import listed, lookup
@@ -34,3 +35,51 @@ def messages(t: Mapping[str, DataFrame]) -> DataFrame:
         out, gone = out.join(marked, F.col("ROWID") == F.col("_d"), "left"), F.col("_d").isNotNull()
     direction = F.when(F.col("is_from_me") == 1, "out").when(F.col("is_from_me") == 0, "in").otherwise("unknown")
     return out.select(F.col("ROWID").alias("rowid"), V.cocoa_auto_us(F.col("date")).alias("ts"), direction.alias("direction"), "address", "handle_state", "members", F.coalesce("chats", F.lit(0)).cast("bigint").alias("chats"), F.coalesce("attachments", F.lit(0)).cast("bigint").alias("attachments"), gone.alias("deleted"))
+
+
+#: Kinds of calls, properties of contact values.
+CALL_KINDS = {1: "voice", 8: "video", 16: "audio"}
+PHONE, EMAIL = 3, 4
+
+
+def calls(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Calls; an outgoing one that nobody answered has no known outcome."""
+    out, answered = F.col("ZORIGINATED"), F.col("ZANSWERED")
+    direction = F.when(out == 1, "out").when(out == 0, "in").otherwise("unknown")
+    outcome = F.when(answered == 1, "answered").when((out == 0) & (answered == 0), "missed").otherwise("unknown")
+    ts = T.cocoa_us(F.col("ZDATE").cast("double"))
+    end = F.when(F.col("ZDURATION") >= 0, ts + (F.col("ZDURATION") * 1_000_000).cast("bigint"))
+    kind = V.named(F.col("ZCALLTYPE"), CALL_KINDS)
+    return t["ZCALLRECORD"].select(F.col("Z_PK").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), outcome.alias("outcome"), kind.alias("kind"), F.col("ZADDRESS").alias("address"))
+
+
+def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Persons with labelled phones and e-mail addresses, and their groups; each child table is aggregated by person first."""
+    values = lookup(t["ABMultiValue"], "label", t["ABMultiValueLabel"], "ROWID", {"_label": "value"}, "_state")
+    shown = F.concat_ws("=", T.unwrap_label(F.coalesce("_label", F.lit(""))), "value")
+    of = lambda kind: listed(F.when(F.col("property") == kind, shown))
+    held = values.groupBy(F.col("record_id").alias("_v")).agg(of(PHONE).alias("phones"), of(EMAIL).alias("emails"), F.count_if(F.col("_state") == "unresolved").alias("unlabelled"))
+    groups = lookup(t["ABGroupMembers"], "group_id", t["ABGroup"], "ROWID", {"_group": "Name"}, "_state")
+    groups = groups.groupBy(F.col("member_id").alias("_g")).agg(listed(F.col("_group")).alias("groups"))
+    out = t["ABPerson"].join(held, F.col("ROWID") == F.col("_v"), "left").join(groups, F.col("ROWID") == F.col("_g"), "left")
+    name = F.concat_ws(" ", "First", "Last")
+    return out.select(F.col("ROWID").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "phones", "emails", "groups", F.coalesce("unlabelled", F.lit(0)).alias("unlabelled"))
+
+
+def calendar(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Events with calendar, place, guests, alarms and how many days are left out of their recurrence."""
+    out = lookup(t["CalendarItem"], "calendar_id", t["Calendar"], "ROWID", {"calendar": "title"}, "calendar_state")
+    out = lookup(out, "location_id", t["Location"], "ROWID", {"location": "title"}, "location_state")
+    people = lookup(t["Participant"], "identity_id", t["Identity"], "ROWID", {"_who": "display_name"}, "_state")
+    people = people.groupBy(F.col("owner_id").alias("_p")).agg(listed(F.col("_who")).alias("attendees"), F.count_if(F.col("_state") != "found").alias("unresolved"))
+    alarms = t["Alarm"].groupBy(F.col("calendaritem_owner_id").alias("_a")).agg(F.array_join(F.array_sort(F.collect_set("trigger_interval")), ",").alias("alarms"))
+    rules = t["Recurrence"].groupBy(F.col("owner_id").alias("_r")).agg(F.min("frequency").alias("frequency"))
+    but = t["ExceptionDate"].groupBy(F.col("owner_id").alias("_x")).agg(F.count_distinct("date").alias("left_out"))
+    for child, key in ((people, "_p"), (alarms, "_a"), (rules, "_r"), (but, "_x")):
+        out = out.join(child, F.col("ROWID") == F.col(key), "left")
+    time = lambda c: T.cocoa_us(F.col(c).cast("double"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(
+        F.col("ROWID").alias("rowid"), time("start_date").alias("ts"), time("end_date").alias("end_ts"), F.col("summary").alias("title"), (F.col("all_day") == 1).alias("all_day"),
+        "calendar", "calendar_state", "location", "location_state", "attendees", count("unresolved"), "alarms", "frequency", count("left_out"),
+    )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import android, browsers, ios
+from . import android, browsers, chats, ios
 
 Tables = Mapping[str, DataFrame]
 
@@ -34,6 +34,18 @@ PARSERS = {
         Parser("android.contacts", "1", ("contact",), {"raw_contacts": ("_id", "display_name", "deleted"), "data": ("raw_contact_id", "mimetype_id", "data1"), "mimetypes": ("_id", "mimetype")}, android.contacts),
         Parser("android.calendar", "1", ("calendar_event",), {"Events": ("_id", "calendar_id", "dtstart"), "Calendars": ("_id",), "Attendees": ("event_id",), "Reminders": ("event_id", "minutes")}, android.calendar),
         Parser("ios.sms", "1", ("message",), {"message": ("ROWID", "handle_id", "date", "is_from_me"), "handle": ("ROWID", "id"), "chat_message_join": ("chat_id", "message_id")}, ios.messages),
+        Parser("chromium.searches", "1", ("web_search",), {"keyword_search_terms": ("keyword_id", "url_id", "term"), "urls": ("id", "url", "last_visit_time")}, browsers.chromium_searches),
+        Parser("ios.calls", "1", ("call",), {"ZCALLRECORD": ("Z_PK", "ZDATE", "ZDURATION", "ZORIGINATED", "ZANSWERED", "ZCALLTYPE", "ZADDRESS")}, ios.calls),
+        Parser("ios.addressbook", "1", ("contact",), {"ABPerson": ("ROWID", "First", "Last"), "ABMultiValue": ("record_id", "property", "label", "value"), "ABMultiValueLabel": ("ROWID", "value"), "ABGroupMembers": ("group_id", "member_id"), "ABGroup": ("ROWID", "Name")}, ios.contacts),
+        Parser("ios.calendar", "1", ("calendar_event",), {"CalendarItem": ("ROWID", "start_date", "end_date", "calendar_id", "location_id"), "Calendar": ("ROWID", "title"), "Location": ("ROWID", "title"), "Participant": ("owner_id", "identity_id"), "Identity": ("ROWID", "display_name"), "Alarm": ("calendaritem_owner_id", "trigger_interval"), "Recurrence": ("owner_id", "frequency"), "ExceptionDate": ("owner_id", "date")}, ios.calendar),
+        Parser("android.whatsapp.msgstore", "1", ("message",), {"message": ("_id", "chat_row_id", "from_me", "timestamp", "sender_jid_row_id"), "chat": ("_id", "jid_row_id", "subject"), "jid": ("_id", "raw_string"), "message_media": ("message_row_id", "file_path"), "message_quoted": ("message_row_id", "key_id"), "message_revoked": ("message_row_id",), "message_add_on": ("parent_message_row_id", "reaction"), "deleted_chat_job": ("_id", "chat_row_id", "deleted_message_row_id", "deleted_starred_message_row_id")}, chats.whatsapp_messages),
+        Parser("android.whatsapp.calls", "1", ("call",), {"call_log": ("_id", "jid_row_id", "from_me", "timestamp", "duration", "call_result", "video_call"), "call_log_participant_v2": ("call_log_row_id", "jid_row_id"), "jid": ("_id", "raw_string")}, chats.whatsapp_calls),
+        Parser("android.whatsapp.contacts", "1", ("contact",), {"wa_contacts": ("_id", "jid", "number", "display_name", "wa_name", "is_whatsapp_user")}, chats.whatsapp_contacts),
+        Parser("ios.whatsapp.chats", "1", ("message",), {"ZWAMESSAGE": ("Z_PK", "ZCHATSESSION", "ZISFROMME", "ZMESSAGEDATE", "ZTEXT", "ZGROUPMEMBER", "ZMEDIAITEM"), "ZWACHATSESSION": ("Z_PK", "ZCONTACTJID", "ZPARTNERNAME"), "ZWAGROUPMEMBER": ("Z_PK", "ZMEMBERJID"), "ZWAMEDIAITEM": ("Z_PK", "ZMEDIALOCALPATH")}, chats.ios_whatsapp_messages),
+        Parser("ios.whatsapp.calls", "1", ("call",), {"ZWACDCALLEVENT": ("Z_PK", "ZDATE", "ZDURATION", "ZOUTCOME", "Z1CALLEVENTS"), "ZWAAGGREGATECALLEVENT": ("Z_PK", "ZINCOMING", "ZVIDEO")}, chats.ios_whatsapp_calls),
+        Parser("ios.whatsapp.contacts", "1", ("contact",), {"ZWAADDRESSBOOKCONTACT": ("Z_PK", "ZWHATSAPPID", "ZFULLNAME", "ZPHONENUMBER")}, chats.ios_whatsapp_contacts),
+        Parser("android.telegram", "1", ("message",), {"messages": ("mid", "uid", "out", "date", "message"), "users": ("uid", "name", "phone"), "chats": ("uid", "name"), "enc_chats": ("uid", "user")}, chats.telegram_messages),
+        Parser("android.telegram.contacts", "1", ("contact",), {"contacts": ("uid", "mutual"), "users": ("uid", "name", "phone")}, chats.telegram_contacts),
     )
 }
 

@@ -26,8 +26,11 @@ def chain_breaks(log: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """side and row of what only one of them has, repeats counted."""
-    return stored.exceptAll(recomputed).withColumn("side", F.lit("stored")).unionByName(recomputed.exceptAll(stored).withColumn("side", F.lit("recomputed")))
+    """side and row of what only one of them has, repeats counted: one aggregate of signed counts."""
+    both = stored.withColumn("_n", F.lit(1)).unionByName(recomputed.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*stored.columns).agg(F.sum("_n").alias("_n")).where("_n != 0")
+    side = F.when(F.col("_n") > 0, "stored").otherwise("recomputed")
+    return left.select(*stored.columns, side.alias("side"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n"))).alias("_k")).drop("_k")
 
 
 def overlaps(batches: DataFrame, key: str) -> DataFrame:

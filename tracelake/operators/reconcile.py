@@ -49,7 +49,13 @@ def outside(ranges: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return ranges.join(sizes, key, "left").where(bad).select(*ranges.columns)
 
 
-def hash_chain(log: DataFrame, key: str, seq: str, entry: str, previous: str) -> DataFrame:
-    """Entries of a log whose stored previous hash isn't the hash of the entry before (empty for the first)."""
-    before = F.lag(F.sha2(F.concat_ws("|", F.col(previous), F.col(entry)), 256), 1, "").over(Window.partitionBy(key).orderBy(seq))
-    return log.withColumn("_want", before).where(~F.col(previous).eqNullSafe(F.col("_want"))).drop("_want")
+def audit_chain(log: DataFrame, key: str, seq: str, previous: str, digest: str, fields: list[str]) -> DataFrame:
+    """Entries of a log that break its chain, and how: gap (a number is left out), repeated (a number twice), unlinked (the previous digest
+    isn't that of the entry before; empty for the first) or altered (the digest isn't that of the fields)."""
+    w = Window.partitionBy(key).orderBy(seq)
+    log = log.withColumns({"_seq": F.lag(seq).over(w), "_hash": F.lag(digest, 1, "").over(w)})
+    state = (
+        F.when(F.col(seq) == F.col("_seq"), "repeated").when(F.col(seq) != F.coalesce("_seq", F.lit(0)) + 1, "gap").when(~F.col(previous).eqNullSafe(F.col("_hash")), "unlinked")
+        .when(~F.col(digest).eqNullSafe(F.sha2(F.concat_ws("|", *fields), 256)), "altered")
+    )
+    return log.withColumn("state", state).where("state IS NOT NULL").drop("_seq", "_hash")

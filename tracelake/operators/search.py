@@ -1,136 +1,273 @@
-"""Full-text search: normalised postings, a closed grammar, phrases, prefixes, substrings, relevance, term hits, snippets."""
+"""Full-text search over a stored postings index: terms, phrases, prefixes, substrings, relevance, term hits, snippets.
+
+A query is given as data: groups of items, any of which groups must match; a row matches a group if it has all its
+positive items and none of its negative ones. Postings answer it in one pass, as a set of ids that joins any list, count
+or statistic of the records (``matching``).
+"""
 
 from __future__ import annotations
 
-import re
-import unicodedata
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+from tracelake.functions.fold import VERSION, fold, folded, normalise, normalised, tokens, trigrams, words
+
 WEIGHTS = {"summary": 2.0, "body": 1.0}
-MAX_QUERY, MAX_TERMS, MIN_PREFIX, MIN_SUBSTRING = 4096, 64, 2, 3
+COLUMNS = tuple(WEIGHTS)
+#: Limits of a query: bytes, items, bytes of a term, letters of a prefix, characters of a substring, literal terms, ids of each.
+MAX_QUERY, MAX_ITEMS, MAX_TERM, MIN_PREFIX, MIN_SUBSTRING, MAX_LITERALS, MAX_IDS, MAX_RANK = 4096, 64, 256, 2, 3, 1000, 100_000, 1000
+K1, B = 1.2, 0.75
 
 
 class InvalidQuery(ValueError):
-    """A query outside the grammar."""
+    """A query outside the limits."""
+
+
+def quoted(text: str, most: int = 32) -> str:
+    """A text for a message: at most so many characters, all but printable ASCII escaped."""
+    shown = "".join(c if " " <= c <= "~" and c not in "\"\\" else c.encode("unicode_escape").decode() if c not in "\"\\" else "\\" + c for c in text[:most])
+    return f'"{shown}"' + ("..." if len(text) > most else "")
+
+
+@dataclass(frozen=True)
+class Item:
+    """Words next to each other; prefix: the last word is only begun; negative: must be absent."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+    negative: bool = False
 
 
-def normalise(text: str | None) -> str:
-    """Reference normalisation of one string: compatibility forms, case folded, controls and format characters out."""
-    t = unicodedata.normalize("NFKC", (text or "").replace("\0", " ").replace("​", " "))
-    t = unicodedata.normalize("NFKC", t.casefold())
-    t = "".join(" " if unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp") else "" if unicodedata.category(c) == "Cf" else c for c in t)
-    return " ".join(t.split())
+def item(text: str, prefix: bool = False, negative: bool = False) -> Item:
+    """An item of a text's words, normalised as the index is."""
+    if len(text.encode()) > MAX_TERM:
+        raise InvalidQuery(f"a term of more than {MAX_TERM} bytes: {quoted(text)}")
+    found = words(text)
+    if not found:
+        raise InvalidQuery(f"no word in {quoted(text)}")
+    if prefix and len(found[-1]) < MIN_PREFIX:
+        raise InvalidQuery(f"a prefix of fewer than {MIN_PREFIX} letters: {quoted(text)}")
+    return Item(found, prefix, negative)
 
 
-def folded(text: Column) -> Column:
-    """Lower case without the accents of the Latin letters above; stays in generated code."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+def checked(groups: Sequence[Sequence[Item]]) -> list[list[Item]]:
+    if not groups or any(all(i.negative for i in g) for g in groups):
+        raise InvalidQuery("every group needs a positive term")
+    if sum(len(g) for g in groups) > MAX_ITEMS:
+        raise InvalidQuery(f"more than {MAX_ITEMS} terms")
+    if sum(len(w.encode()) for g in groups for i in g for w in i.words) > MAX_QUERY:
+        raise InvalidQuery(f"more than {MAX_QUERY} bytes")
+    return [list(g) for g in groups]
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+# The index.
 
 
-def postings(docs: DataFrame, columns: tuple[str, ...] = ("summary", "body")) -> DataFrame:
-    """id, col, pos, term."""
+def postings(docs: DataFrame, columns: Sequence[str] = COLUMNS, key: str = "id", full: bool = True) -> DataFrame:
+    """id, col, pos, term of every word; full: normalised first (else folded only, without Python)."""
     out = None
     for c in columns:
-        part = docs.select("id", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term"))
+        text = normalised(F.col(c)) if full else F.col(c)
+        part = docs.where(F.col(c).isNotNull()).select(F.col(key).alias("id"), F.lit(c).alias("col"), text.alias("_t")).select("id", "col", F.posexplode(tokens(F.col("_t"))).alias("pos", "term"))
         out = part if out is None else out.union(part)
     return out
 
 
-@dataclass(frozen=True)
-class Item:
-    words: tuple[str, ...]
-    prefix: bool = False
-    negative: bool = False
+def trigram_postings(docs: DataFrame, columns: Sequence[str] = COLUMNS, key: str = "id") -> DataFrame:
+    """id, col, gram: the different trigrams of every text."""
+    out = None
+    for c in columns:
+        part = docs.where(F.col(c).isNotNull()).select(F.col(key).alias("id"), F.lit(c).alias("col"), F.explode(F.array_distinct(trigrams(F.col(c)))).alias("gram"))
+        out = part if out is None else out.union(part)
+    return out
 
 
-def fold(s: str) -> str:
-    return s.lower().translate(str.maketrans(ACCENTED, PLAIN))
-
-
-def parse(query: str) -> list[list[Item]]:
-    """Groups of items: OR between groups, AND inside; - negates; "..." is a phrase; x* a prefix."""
-    if len(query.encode()) > MAX_QUERY:
-        raise InvalidQuery("too long")
-    groups: list[list[Item]] = [[]]
-    for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        raw = m.group(2) if m.group(2) is not None else m.group(3)
-        if m.group(2) is None and not m.group(1) and raw == "OR":
-            groups.append([])
-            continue
-        if m.group(2) is None and not m.group(1) and raw == "AND":
-            continue
-        words = tuple(re.findall(r"[^\W_]+", fold(raw)))
-        if not words:
-            raise InvalidQuery("no word")
-        prefix = m.group(2) is None and raw.endswith("*")
-        if prefix and len(words[-1]) < MIN_PREFIX:
-            raise InvalidQuery("short prefix")
-        groups[-1].append(Item(words, prefix, bool(m.group(1))))
-    if any(not any(not i.negative for i in g) for g in groups):
-        raise InvalidQuery("every group needs a positive term")
-    if sum(len(g) for g in groups) > MAX_TERMS:
-        raise InvalidQuery("too many terms")
-    return groups
+def build_index(recs: DataFrame, path: str, chunk_rows: int = 1_000_000, only: Sequence[int] | None = None) -> None:
+    """Writes the postings of records under path, by chunks of ids, each sorted by term; a chunk written again replaces itself."""
+    part = postings(recs).withColumn("chunk", F.floor((F.col("id") - 1) / chunk_rows))
+    part = part if only is None else part.where(F.col("chunk").isin(*only))
+    part.repartition("chunk").sortWithinPartitions("chunk", "term", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/postings")
+    spark = recs.sparkSession
+    spark.createDataFrame([(VERSION, chunk_rows)], "version string, chunk_rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/postings").drop("chunk")
 
-def has(item: Item, column: str) -> Column:
-    """Whether a column has the words next to each other; on its joined tokens, without a join."""
-    ws = tokens(F.col(column))
-    text = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
-    needle = " " + " ".join(item.words) + ("" if item.prefix else " ")
-    return F.contains(text, F.lit(needle))
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-def matching(docs: DataFrame, query: str, columns: tuple[str, ...] = ("summary", "body")) -> DataFrame:
-    """The rows of docs that match."""
+
+def missing_chunks(recs: DataFrame, path: str, chunk_rows: int = 1_000_000) -> DataFrame:
+    """chunk: those with words that the index lacks."""
+    spark = recs.sparkSession
+    want = recs.where(" OR ".join(f"{c} RLIKE '[\\\\p{{L}}\\\\p{{N}}]'" for c in COLUMNS)).select(F.floor((F.col("id") - 1) / chunk_rows).alias("chunk")).distinct()
+    if not _exists(spark, f"{path}/postings"):
+        return want
+    return want.join(spark.read.parquet(f"{path}/postings").select(F.col("chunk").cast("long").alias("chunk")).distinct(), "chunk", "left_anti")
+
+
+def index_state(recs: DataFrame, path: str) -> str:
+    """unbuilt, stale (other rules), building (chunks are missing) or current."""
+    spark = recs.sparkSession
+    if not _exists(spark, f"{path}/state"):
+        return "building" if _exists(spark, f"{path}/postings") else "unbuilt"
+    state = spark.read.parquet(f"{path}/state").first()
+    if state["version"] != VERSION:
+        return "stale"
+    return "current" if missing_chunks(recs, path, state["chunk_rows"]).isEmpty() else "building"
+
+
+def reindex(recs: DataFrame, path: str, chunk_rows: int = 1_000_000) -> list[int]:
+    """Builds what is missing, all if the rules have changed; gives the chunks written. Can be stopped and called again."""
+    if index_state(recs, path) == "stale":
+        build_index(recs, path, chunk_rows)
+        return sorted(r["chunk"] for r in recs.select(F.floor((F.col("id") - 1) / chunk_rows).alias("chunk")).distinct().collect())
+    todo = sorted(r["chunk"] for r in missing_chunks(recs, path, chunk_rows).collect())  # numbers of chunks, a millionth of the rows
+    if todo:
+        build_index(recs, path, chunk_rows, todo)
+    return todo
+
+
+def docs_per_column(index: DataFrame) -> DataFrame:
+    """col, docs, terms: how many records have words in each column, and how many words."""
+    return index.groupBy("col", "id").agg(F.count("*").alias("k")).groupBy("col").agg(F.count("*").alias("docs"), F.sum("k").alias("terms"))
+
+
+def postings_digest(index: DataFrame, key: str, batch_rows: int) -> DataFrame:
+    """batch_no, n, digest: a keyed sum over each batch's postings, the same in any order."""
+    mac = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), "id", "col", "pos", "term")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return index.groupBy(F.floor((F.col("id") - 1) / batch_rows).alias("batch_no")).agg(F.count("*").alias("n"), F.sum(mac).cast("decimal(38,0)").alias("digest"))
+
+
+def index_proof(index: DataFrame, recs: DataFrame, key: str, batch_rows: int, full: bool = True) -> DataFrame:
+    """batch_no, state: equal, differs, missing (records have words, the index hasn't) or extra."""
+    one = postings_digest(index, key, batch_rows).withColumnRenamed("digest", "_i").drop("n")
+    two = postings_digest(postings(recs, full=full), key, batch_rows).withColumnRenamed("digest", "_r").drop("n")
+    state = F.when(F.col("_i").isNull(), "missing").when(F.col("_r").isNull(), "extra").when(F.col("_i") == F.col("_r"), "equal").otherwise("differs")
+    return one.join(two, "batch_no", "full").select("batch_no", state.alias("state"))
+
+
+# Queries.
+
+
+def _hits(index: DataFrame, items: Sequence[Item], columns: Sequence[str]) -> DataFrame:
+    """id, col, item: where each item is. A word's place less its place in the item is where the item begins."""
+    term, found, wanted = F.col("term"), [], F.lit(False)
+    for n, i in enumerate(items):
+        for k, w in enumerate(i.words):
+            is_it = F.startswith(term, F.lit(w)) if i.prefix and k == len(i.words) - 1 else term == w
+            wanted = wanted | is_it
+            found.append(F.when(is_it, F.struct(F.lit(n).alias("item"), F.lit(k).alias("k"))))
+    some = index.where(F.col("col").isin(*columns) & wanted).select("id", "col", "pos", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    sizes = F.element_at(F.array(*[F.lit(len(i.words)) for i in items]), F.col("item") + 1)
+    at = some.select("id", "col", "f.item", "f.k", (F.col("pos") - F.col("f.k")).alias("at"))
+    return at.groupBy("id", "col", "item", "at").agg(F.count_distinct("k").alias("n")).where(F.col("n") == sizes)
+
+
+def match_ids(index: DataFrame, groups: Sequence[Sequence[Item]], columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """The ids that match, by one pass over the postings of the query's words."""
+    groups = checked(groups)
+    items = list(dict.fromkeys(Item(i.words, i.prefix) for g in groups for i in g))
+    number = {i: n for n, i in enumerate(items)}
+    has = _hits(index, items, columns).groupBy("id").agg(F.collect_set("item").alias("has"))
     any_group = F.lit(False)
-    for g in parse(query):
+    for g in groups:
         all_items = F.lit(True)
         for i in g:
-            hit = F.lit(False)
-            for c in columns:
-                hit = hit | has(i, c)
+            hit = F.array_contains("has", number[Item(i.words, i.prefix)])
             all_items = all_items & (~hit if i.negative else hit)
         any_group = any_group | all_items
-    return docs.where(any_group)
+    return has.where(any_group).select("id")
 
 
-def substring(docs: DataFrame, needle: str, columns: tuple[str, ...] = ("summary", "body")) -> DataFrame:
-    if len(fold(needle)) < MIN_SUBSTRING:
-        raise InvalidQuery("short needle")
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.contains(folded(F.col(c)), F.lit(fold(needle)))
-    return docs.where(hit)
+def matching(recs: DataFrame, index: DataFrame, groups: Sequence[Sequence[Item]], columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """The records that match; goes before any list, count or statistic."""
+    return recs.join(match_ids(index, groups, columns), "id", "left_semi")
 
 
-def term_hits(docs: DataFrame, terms: list[str], column: str = "body") -> DataFrame:
-    """term, n: documents with each literal term; zeros stay."""
-    wanted = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    found = docs.select("id", F.explode(F.array_distinct(F.filter(tokens(F.col(column)), lambda t: t.isin(*terms)))).alias("term"))
-    return wanted.join(found.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def substring(docs: DataFrame, needle: str, columns: Sequence[str] = COLUMNS, grams: DataFrame | None = None) -> DataFrame:
+    """The rows that hold a text; with a trigram index only rows with all its trigrams are looked at."""
+    wanted = fold(needle)
+    if len(wanted) < MIN_SUBSTRING:
+        raise InvalidQuery(f"fewer than {MIN_SUBSTRING} characters: {quoted(needle)}")
+    if grams is not None:
+        parts = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
+        likely = grams.where(F.col("gram").isin(*parts) & F.col("col").isin(*columns)).groupBy("id", "col").agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(parts))
+        docs = docs.join(likely, "id", "left_semi")
+    return docs.where(_contains(wanted, columns))
 
 
-def ranked(docs: DataFrame, term: str, k: int, column: str = "body") -> DataFrame:
-    """id, score: the k best by BM25 (k1 1.2, b 0.75) for one term, ties by id; smaller is better."""
-    sized = docs.select("id", F.size(tokens(F.col(column))).alias("len"), F.size(F.filter(tokens(F.col(column)), lambda t: t == term)).alias("tf"))
-    total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), F.sum((F.col("tf") > 0).cast("int")).alias("df")).first()
-    n, avg, df = total["n"], total["avg"] or 1.0, total["df"] or 0
-    idf = F.log(F.lit(1.0 + (n - df + 0.5) / (df + 0.5)))
-    score = -idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(avg)))
-    return sized.where("tf > 0").select("id", score.alias("score")).orderBy("score", "id").limit(k)
+def _contains(wanted: str, columns: Sequence[str]) -> Column:
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.contains(folded(F.col(c)), F.lit(wanted))
+    return hit
+
+
+def scan(docs: DataFrame, needle: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """One row: scanned, found and found in each column, of a search without an index by a text of any length."""
+    wanted = fold(needle)
+    each = {c: F.contains(folded(F.col(c)), F.lit(wanted)) for c in columns}
+    count = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    return docs.agg(F.count("*").alias("scanned"), count(_contains(wanted, columns)).alias("found"), *[count(x).alias(f"found_{c}") for c, x in each.items()])
+
+
+def term_hits(index: DataFrame, terms: Sequence[str], ids: int = 0, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """term, n (records with the term) and the first ids of these, ascending; terms without any stay."""
+    if len(terms) > MAX_LITERALS or ids > MAX_IDS:
+        raise InvalidQuery(f"more than {MAX_LITERALS} terms or {MAX_IDS} ids")
+    wanted = index.sparkSession.createDataFrame([(t, " ".join(words(t))) for t in dict.fromkeys(terms)], "term string, _word string")
+    found = index.where(F.col("term").isin(*{" ".join(words(t)) for t in terms}) & F.col("col").isin(*columns)).select(F.col("term").alias("_word"), "id").distinct()
+    counted = found.groupBy("_word").agg(F.count("*").alias("n"))
+    out = wanted.join(counted, "_word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if ids:
+        rank = F.row_number().over(Window.partitionBy("_word").orderBy("id"))
+        first = found.withColumn("_r", rank).where(F.col("_r") <= ids).groupBy("_word").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        out = out.join(first, "_word", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    return out.drop("_word")
+
+
+def ranked(index: DataFrame, terms: Sequence[str], k: int, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """id, score of the k best records that have all terms, by BM25 over all weighted columns; smaller is better, ties by id."""
+    if not 0 < k <= MAX_RANK:
+        raise InvalidQuery(f"a limit outside 1 to {MAX_RANK}")
+    wanted = [w for t in dict.fromkeys(terms) for w in item(t).words]
+    weight = F.element_at(F.create_map(*[F.lit(x) for c, v in weights.items() for x in (c, v)]), F.col("col"))
+    counts = index.where(F.col("col").isin(*weights)).groupBy("id").agg(
+        F.count("*").alias("len"), *[F.sum(F.when(F.col("term") == w, weight).otherwise(0.0)).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    )
+    total = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    # One row, joined to those with all terms; the plan stays one job.
+    some = counts.where(" AND ".join(f"tf{i} > 0" for i in range(len(wanted)))).withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    return some.select("id", score.alias("score")).orderBy("score", "id").limit(k)
 
 
 def snippet(text: Column, needle: str, width: int = 120) -> Column:
-    """width code points that begin a quarter before the first hit."""
-    at = F.instr(folded(text), F.lit(fold(needle)))
+    """struct(text, at): width code points that begin a quarter before the first hit, and where in them hits begin (from 0); null without one."""
+    if not 20 <= width <= 400:
+        raise InvalidQuery("a width outside 20 to 400")
+    wanted = fold(needle)
+    t = F.coalesce(text, F.lit(""))
+    # Folding keeps the number of characters as long as no mark is dropped; texts with marks are searched in lower case alone.
+    flat = F.when(F.length(folded(t)) == F.length(t), folded(t)).otherwise(F.lower(t))
+    at = F.instr(flat, F.lit(wanted))
     start = F.greatest(F.lit(1), at - width // 4)
-    return F.when(at > 0, F.substring(text, start, F.lit(width)))
+    window = F.substring(flat, start, F.lit(width))
+    pieces = F.split(window, F.lit("\\Q" + wanted.replace("\\E", "\\E\\\\E\\Q") + "\\E"), -1)
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + len(wanted)).cast("int").alias("at"), F.concat(a["out"], F.array((a["at"] + F.length(p)).cast("int"))).alias("out"))
+    begun = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+    return F.when(at > 0, F.struct(F.substring(t, start, F.lit(width)).alias("text"), begun.alias("at")))
+
+
+__all__ = ["Item", "InvalidQuery", "build_index", "item", "matching", "match_ids", "normalise", "postings", "ranked", "snippet", "substring", "term_hits"]

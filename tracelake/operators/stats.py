@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def key_of(by: str) -> Column:
@@ -32,3 +32,24 @@ def overview(recs: DataFrame) -> DataFrame:
 def overview_and_types(recs: DataFrame) -> DataFrame:
     """The overview (type null) and the rows of each type, by one rollup."""
     return recs.rollup("type").agg(F.count("*").alias("n"), F.sum(F.col("ts").isNull().cast("bigint")).alias("untimed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def capped(groups: DataFrame, most: int) -> DataFrame:
+    """The first groups by key (null first), and whether there are more: one sort of so many and one more."""
+    first = groups.orderBy(F.col("key").asc_nulls_first()).limit(most + 1)
+    rank = F.row_number().over(Window.orderBy(F.col("key").asc_nulls_first()))  # over most + 1 rows
+    return first.withColumns({"_rank": rank, "more": F.count("*").over(Window.partitionBy()) > most}).where(F.col("_rank") <= most).drop("_rank")
+
+
+def whole_overview(recs: DataFrame, hidden: DataFrame, runs: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The overview with superseded records, gaps (rows of gaps) and runs by outcome as a map; hidden has (ingest_id, artifact_id).
+
+    Hidden pairs are few: records are counted by pair first, and only these counts meet them.
+    """
+    by_pair = recs.groupBy("ingest_id", "artifact_id").agg(F.count("*").alias("n"))
+    superseded = by_pair.join(hidden, ["ingest_id", "artifact_id"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("superseded"))
+    outcomes = runs.groupBy("outcome").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"))
+    out = overview(recs)
+    for one in (superseded, gaps.agg(F.count("*").alias("gaps")), outcomes):
+        out = out.join(one, F.lit(True))  # rows of single aggregates
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.sources.records import parsers, runs
@@ -23,5 +23,6 @@ def superseded_pairs(coverage: DataFrame) -> DataFrame:
 def superseded_by(coverage: DataFrame) -> DataFrame:
     """ingest_id, artifact_id, by: the first later complete run."""
     at = covered_runs(coverage)
-    later = at.where("outcome = 'complete'").select("parser_name", "artifact_id", F.col("end_seq").alias("n_seq"), F.col("ingest_id").alias("n_id"))
-    return at.join(later, ["parser_name", "artifact_id"]).where("n_seq > end_seq").groupBy("ingest_id", "artifact_id").agg(F.min_by("n_id", "n_seq").alias("by"))
+    after = Window.partitionBy("parser_name", "artifact_id").orderBy("end_seq").rowsBetween(1, Window.unboundedFollowing)
+    by = F.min(F.when(F.col("outcome") == "complete", F.struct("end_seq", "ingest_id"))).over(after)
+    return at.withColumn("_by", by).where("_by IS NOT NULL").select("ingest_id", "artifact_id", F.col("_by.ingest_id").alias("by"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tracelake.functions import values as V
-from tracelake.operators import filters, integrity, intervals, listing, search, stats, supersede
+from tracelake.operators import filters, integrity, intervals, listing, stats, supersede
 from tracelake.operators.filters import Filter
-from tracelake.plans import mapped
+from tracelake.plans import apps, mapped, searched, verified
 from tracelake.sources import records as R
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,38 +75,6 @@ register("q_overview", lambda s, d: stats.overview(R.records(s, d)), WITH + "SEL
 register("q_overview_types", lambda s, d: stats.overview_and_types(R.records(s, d)), WITH + "SELECT type, count(*) AS n, count(*) FILTER (WHERE ts IS NULL) AS untimed, min(ts) AS first_ts, max(ts) AS last_ts FROM records GROUP BY ROLLUP (type)")
 register("q_runs_by_outcome", lambda s, d: R.records(s, d).select("ingest_id").distinct().join(R.runs(s), "ingest_id").groupBy("outcome").agg(F.count("*").alias("n")), WITH + "SELECT outcome, count(*) AS n FROM (SELECT DISTINCT ingest_id FROM records) JOIN runs USING (ingest_id) GROUP BY outcome")
 
-# Full-text search over conversation records.
-TOKENS = "regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+')"
-TEXTS = WITH.removesuffix(" ") + ", x AS (SELECT *, ' ' || array_to_string(" + TOKENS.format(c="summary") + ", ' ') || ' ' AS s, ' ' || array_to_string(" + TOKENS.format(c="body") + ", ' ') || ' ' AS b FROM records WHERE type = 'message') "
-texts = lambda s, d: filters.apply(R.records(s, d), Filter(types=("message",)))
-
-
-def _search(name: str, query: str, where: str, columns: tuple[str, ...] = ("summary", "body")) -> None:
-    register(name, lambda s, d: search.matching(texts(s, d), query, columns).select("id", "summary"), TEXTS + f"SELECT id, summary FROM x WHERE {where}")
-
-
-def _any(needle: str) -> str:
-    return f"(contains(s, '{needle}') OR contains(b, '{needle}'))"
-
-
-_search("q_search_word", "the", _any(" the "))
-_search("q_search_and_not", "the AND of -that", f"{_any(' the ')} AND {_any(' of ')} AND NOT {_any(' that ')}")
-_search("q_search_or", "than OR whed OR user", f"{_any(' than ')} OR {_any(' whed ')} OR {_any(' user ')}")
-_search("q_search_phrase", '"of the"', _any(" of the "))
-_search("q_search_prefix", "assis*", _any(" assis"))
-_search("q_search_column", "assistant", "contains(s, ' assistant ')", ("summary",))
-register("q_search_substring", lambda s, d: search.substring(texts(s, d), "HATI").select("id"), WITH + "SELECT id FROM records WHERE type = 'message' AND (contains(strip_accents(lower(coalesce(summary, ''))), 'hati') OR contains(strip_accents(lower(coalesce(body, ''))), 'hati'))")
-TERMS = ["the", "of", "zebra", "licensed"]
-register("q_term_hits", lambda s, d: search.term_hits(filters.apply(R.records(s, d), Filter(types=("note",))), TERMS), WITH + "SELECT t.term, count(r.id) AS n FROM (VALUES " + ", ".join(f"('{t}')" for t in TERMS) + ") t(term) LEFT JOIN (SELECT id, unnest(list_distinct(" + TOKENS.format(c="body") + ")) AS term FROM records WHERE type = 'note') r ON r.term = t.term GROUP BY t.term")
-register(
-    "q_search_rank", lambda s, d: search.ranked(texts(s, d), "the", 50).select("id", F.round("score", 6).alias("score")),
-    WITH.removesuffix(" ") + ", y AS (SELECT id, " + TOKENS.format(c="body") + " AS w FROM records WHERE type = 'message'), z AS (SELECT id, len(w) AS l, len(list_filter(w, lambda q: q = 'the')) AS tf FROM y), "
-    "g AS (SELECT count(*) AS n, avg(l) AS a, count(*) FILTER (WHERE tf > 0) AS df FROM z) "
-    "SELECT id, round(-ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)), 6) AS score FROM z, g WHERE tf > 0 ORDER BY -ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a)), id LIMIT 50",
-)
-register("q_postings", lambda s, d: search.postings(texts(s, d)).groupBy("col", "term").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"), F.min("pos").cast("bigint").alias("first_pos")), WITH.removesuffix(" ") + ", y AS (SELECT id, 'summary' AS col, " + TOKENS.format(c="summary") + " AS w FROM records WHERE type = 'message' UNION ALL SELECT id, 'body', " + TOKENS.format(c="body") + " FROM records WHERE type = 'message'), z AS (SELECT id, col, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM y) SELECT col, term, count(*) AS n, count(DISTINCT id) AS docs, min(pos)::BIGINT AS first_pos FROM z GROUP BY col, term")
-register("q_snippet", lambda s, d: texts(s, d).select("id", search.snippet(F.col("body"), "the", 60).alias("snippet")).where("snippet IS NOT NULL"), WITH.removesuffix(" ") + ", y AS (SELECT id, body, strpos(strip_accents(lower(body)), 'the') AS p FROM records WHERE type = 'message') SELECT id, substr(body, greatest(1, p - 15), 60) AS snippet FROM y WHERE p > 0")
-
 # Times, addresses, identifiers and enumerations.
 numbers = lambda s, d: s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS k", "unix_seconds(cast(o_orderdate AS timestamp)) AS sec", "o_custkey AS c")
 NUMBERS = "SELECT o_orderkey AS k, (epoch_us(o_orderdate) // 1000000)::BIGINT AS sec, o_custkey AS c FROM orders"
@@ -184,19 +152,6 @@ def relation_live(s: SparkSession, d: str) -> DataFrame:
 register("q_relation_live", relation_live, "SELECT CASE WHEN l IS NULL THEN 'recovered-only' WHEN o IS NULL THEN 'live-only' WHEN v IS NOT DISTINCT FROM w THEN 'equal' ELSE 'differs' END AS relation, count(*) AS n FROM (SELECT o_orderkey AS k, o_orderstatus AS v, 1 AS l FROM orders WHERE o_orderkey % 3 <> 0) FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS w, 1 AS o FROM orders WHERE o_orderkey % 5 <> 0) USING (k) GROUP BY 1")
 
 
-def chain_walk(s: SparkSession, d: str) -> DataFrame:
-    """Depth and root of each node of a parent forest, by doubling: k -> k / 3 while it divides."""
-    up = s.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS k", "CASE WHEN p_partkey % 3 = 0 THEN p_partkey div 3 END AS parent")
-    out = up.select("k", F.coalesce("parent", "k").alias("at"), F.col("parent").isNotNull().cast("bigint").alias("depth"))
-    for _ in range(6):  # 2^6 steps are the depth cap
-        far = out.select(F.col("k").alias("_k"), F.col("at").alias("_at"), F.col("depth").alias("_d"))
-        out = out.join(far, out["at"] == far["_k"]).select("k", F.col("_at").alias("at"), (F.col("depth") + F.col("_d")).alias("depth"))
-    return out.select("k", F.col("at").alias("root"), "depth")
-
-
-register("q_chain_walk", chain_walk, "WITH RECURSIVE w AS (SELECT p_partkey AS k, p_partkey AS root, 0::BIGINT AS depth FROM part UNION ALL SELECT k, root // 3, depth + 1 FROM w WHERE root % 3 = 0), m AS (SELECT k, max(depth) AS depth FROM w GROUP BY k) SELECT w.k, w.root, w.depth FROM w JOIN m ON w.k = m.k AND w.depth = m.depth")
-
-
 def entropy(s: SparkSession, d: str) -> DataFrame:
     """Shannon entropy of each page's bytes, from a histogram by hexadecimal pairs."""
     pairs = F.regexp_extract_all(F.hex(F.col("html").cast("binary")), F.lit("..")  , F.lit(0))
@@ -210,8 +165,10 @@ register("q_entropy", entropy, "WITH h AS (SELECT page_id, unnest(regexp_extract
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return Q | mapped.Q
+    apps.register()
+    return Q | mapped.Q | searched.Q | verified.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | mapped.SQL
+    apps.register()
+    return SQL | mapped.SQL | searched.SQL | verified.SQL
