@@ -51,3 +51,37 @@ def chromium_searches(t: Mapping[str, DataFrame]) -> DataFrame:
     """Search terms with the page that they led to; its last visit is their time."""
     out = lookup(t["keyword_search_terms"], "url_id", t["urls"], "id", {"url": "url", "_last": "last_visit_time"}, "url_state")
     return out.select(F.col("keyword_id").alias("rowid"), V.webkit_us(F.col("_last")).alias("ts"), "term", "url", "url_state")
+
+
+#: How a download was judged, why it was interrupted, and the browsers of app packages.
+DANGERS = (
+    "not_dangerous", "dangerous_file", "dangerous_url", "dangerous_content", "maybe_dangerous_content", "uncommon_content", "user_validated", "dangerous_host", "potentially_unwanted", "allowlisted_by_policy",
+    "async_scanning", "blocked_password_protected", "blocked_too_large", "sensitive_content_warning", "sensitive_content_block", "deep_scanned_safe", "deep_scanned_opened_dangerous", "prompt_for_scanning",
+    "blocked_unsupported_filetype", "dangerous_account_compromise", "deep_scanned_failed", "prompt_for_local_password_scanning", "async_local_password_scanning", "blocked_scan_failed", "forced_save_to_gdrive", "forced_save_to_onedrive",
+)
+INTERRUPTS = {
+    0: "none", 1: "file_failed", 2: "file_access_denied", 3: "file_no_space", 5: "file_name_too_long", 6: "file_too_large", 7: "file_virus_infected", 10: "file_transient_error", 11: "file_blocked",
+    12: "file_security_check_failed", 13: "file_too_short", 14: "file_hash_mismatch", 15: "file_same_as_source", 20: "network_failed", 21: "network_timeout", 22: "network_disconnected", 23: "network_server_down",
+    24: "network_invalid_request", 30: "server_failed", 31: "server_no_range", 33: "server_bad_content", 34: "server_unauthorized", 35: "server_cert_problem", 36: "server_forbidden", 37: "server_unreachable",
+    38: "server_content_length_mismatch", 39: "server_cross_origin_redirect", 40: "user_canceled", 41: "user_shutdown", 50: "crash", 51: "local_download_blocked",
+}
+PACKAGES = {"com.android.chrome": "chrome", "com.chrome.beta": "chrome", "com.chrome.dev": "chrome", "com.chrome.canary": "chrome", "org.chromium.chrome": "chromium", "com.brave.browser": "brave", "com.brave.browser_beta": "brave", "com.brave.browser_nightly": "brave"}
+
+
+def danger_name(v: Column) -> Column:
+    return V.named(v, dict(enumerate(DANGERS)))
+
+
+def interrupt_name(v: Column) -> Column:
+    return V.named(v, INTERRUPTS)
+
+
+def label(path: Column) -> Column:
+    """struct(browser, profile, package) of a history's path: /package/app_chrome/profile/History, or app_webview."""
+    part = lambda n: F.regexp_extract(path, r"(?:^|.*/)([^/]*)/(app_chrome|app_webview)(?:/([^/]*)/History$)?", n)
+    package = part(1)
+    browser = F.lit("unknown-chromium")
+    for name, known in PACKAGES.items():
+        browser = F.when(package == name, known).otherwise(browser)
+    kind = part(2)
+    return F.struct(F.when(kind == "app_webview", "webview").when(kind == "app_chrome", browser).otherwise("unknown-chromium").alias("browser"), part(3).alias("profile"), package.alias("package"))

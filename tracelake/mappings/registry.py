@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.payloads import Field, violation
+
 from . import android, browsers, chats, ios
 
 Tables = Mapping[str, DataFrame]
@@ -65,3 +69,52 @@ def records(parser: Parser, tables: Tables) -> DataFrame:
     out = parser.run(tables)
     rest = [c for c in out.columns if c not in ("rowid", "ts")]
     return out.select(F.lit(parser.name).alias("parser"), F.lit(parser.emits[0]).alias("type"), "rowid", "ts", F.to_json(F.struct(*rest)).alias("payload"))
+
+
+def parser_hash(parser: Parser) -> str:
+    """A digest of what a parser is called, needs and emits: another one is another parser."""
+    what = [parser.name, parser.version, sorted(parser.emits), sorted((t, sorted(c)) for t, c in parser.needs.items())]
+    return hashlib.sha256(json.dumps(what).encode()).hexdigest()
+
+
+#: What payloads of each type of record must have.
+TYPES: dict[str, tuple[Field, ...]] = {}
+
+
+def register_type(name: str, fields: tuple[Field, ...]) -> None:
+    """Adds a type; a second one of that name is an error."""
+    if name in TYPES:
+        raise ValueError(f"{name}: registered twice")
+    TYPES[name] = fields
+
+
+register_type("message", (Field("direction", values=("in", "out", "draft", "unknown"), required=True),))
+register_type("call", (Field("direction", values=("in", "out", "unknown"), required=True), Field("outcome")))
+for _name in ("contact", "web_visit", "web_search", "download", "calendar_event"):
+    register_type(_name, ())
+
+
+def rejected(recs: DataFrame) -> DataFrame:
+    """Records (type, payload) whose payload breaks its type's schema, with how; an unknown type breaks it too."""
+    wrong = F.lit("unknown type")
+    for name, fields in TYPES.items():
+        wrong = F.when(F.col("type") == name, violation(F.col("payload"), fields)).otherwise(wrong)
+    return recs.withColumn("wrong", wrong).where("wrong IS NOT NULL")
+
+
+#: Paths of databases.
+NAMERS = {
+    r"/(?:app_chrome|app_webview)/[^/]+/History$": "chromium.history", r"/Safari/History\.db$": "safari.history", r"/com\.android\.providers\.telephony/databases/mmssms\.db$": "android.sms",
+    r"/com\.android\.providers\.contacts/databases/calllog\.db$": "android.calllog", r"/com\.android\.providers\.contacts/databases/contacts2\.db$": "android.contacts",
+    r"/com\.android\.providers\.calendar/databases/calendar\.db$": "android.calendar", r"/SMS/sms\.db$": "ios.sms", r"/CallHistory\.storedata$": "ios.calls", r"/AddressBook\.sqlitedb$": "ios.addressbook",
+    r"/Calendar\.sqlitedb$": "ios.calendar", r"/com\.whatsapp/databases/msgstore\.db$": "android.whatsapp.msgstore", r"/com\.whatsapp/databases/wa\.db$": "android.whatsapp.contacts",
+    r"/ChatStorage\.sqlite$": "ios.whatsapp.chats", r"/CallHistory\.sqlite$": "ios.whatsapp.calls", r"/ContactsV2\.sqlite$": "ios.whatsapp.contacts", r"/org\.telegram\.messenger/files/cache4\.db$": "android.telegram",
+}
+
+
+def named(paths: DataFrame, path: str) -> DataFrame:
+    """paths with the parser that reads a file of that name; null if none does: names are those of the apps' databases."""
+    out = F.lit(None).cast("string")
+    for pattern, parser in NAMERS.items():
+        out = F.when(F.col(path).rlike(pattern), parser).otherwise(out)
+    return paths.withColumn("parser", out)
