@@ -160,3 +160,73 @@ def pseudonym(m, key, forms):
         return m
     body = d[0] + feistel(d[1:-1], key, "card")
     return refill(m, body + str(-luhn(body + "0") % 10))
+
+
+def alnum_words(text):
+    out, run = [], []
+    for c in [*(text or "").lower(), " "]:
+        if c.isalnum():
+            run.append(c)
+        elif run:
+            out.append("".join(run))
+            run = []
+    return out
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+    return row[-1]
+
+
+def contaminated(texts, items, d):
+    """For each text the passages that match within twice their length, and those that match within any window's surroundings.
+
+    d is the operator's module: its thresholds, and its hash of words, by which ties between telling words are broken.
+    """
+    import math
+
+    import numpy as np
+
+    table = d.word_table()
+    hashed = {}
+
+    def of(words):
+        for w in set(words) - hashed.keys():
+            hashed[w] = tuple(int(x[0]) for x in d.bins_of([w], table)[:2])
+        return [hashed[w] for w in words]
+
+    docs = [alnum_words(t) for t in texts]
+    freq = {}
+    for w in docs:
+        for b in {b for _, b in of(w)}:
+            freq[b] = freq.get(b, 0) + 1
+    weight = lambda b: np.float32(max(math.log((1 + len(texts)) / (1 + max(freq.get(b, 0), 1))), d.FLOOR))
+    passages = []
+    for item in items:
+        p = alnum_words(item)
+        if len(p) >= d.MIN_WORDS:
+            first = sorted(zip(of(p), p, strict=True), key=lambda x: (-weight(x[0][1]), x[0][0]))[: max(d.TELLING, len(p) // d.TELLING)]
+            passages.append((p, {w for _, w in first}))
+        else:
+            passages.append((p, set()))
+    out = []
+    for reach in (lambda n: 2 * n, lambda n: d.SCALES[-1] + 2 * n):
+        sets = []
+        for w in docs:
+            held, hit = set(w), set()
+            for j, (p, telling) in enumerate(passages):
+                if not telling or len(telling & held) < d.MIN_ANSWER * len(telling):
+                    continue
+                for s in range(len(w)):
+                    if w[s] in telling or reach(1) != 2:
+                        near = w[s : s + reach(len(p))]
+                        if len(telling.intersection(near)) >= d.MIN_ANSWER * len(telling) and lcs(p, near) >= d.MIN_LCS * len(p):
+                            hit.add(j)
+                            break
+            sets.append(hit)
+        out.append(sets)
+    return out
