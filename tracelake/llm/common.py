@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -77,6 +77,21 @@ def row_keys(docs: DataFrame, doc_id: str, text: str, name: str, to: str = "_doc
     return stage_table(ranked.withColumn(to, F.monotonically_increasing_id()), name), True
 
 
+def sums_before(df: DataFrame, order: dict[str, Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with the sums (new name: of what) over all rows before each one in the ascending order of some values (name: value).
+
+    Rows are dealt over tasks by range and summed there; one task sees the totals of the ranges alone.
+    """
+    ranges = stage_table(df.withColumns(order).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    # One row for each range.
+    ends = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("_range").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_all_{n}").over(ends), F.lit(0)).alias(f"_all_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.join(F.broadcast(totals), "_range").withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_all_{n}") for n, c in sums.items()})
+    return out.select(*df.columns, *sums)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of queries that are over: it does so when the driver collects its garbage."""
     gc.collect()
