@@ -39,14 +39,18 @@ class Mapping:
     fields: tuple[tuple[str, str], ...] = ()
 
 
+#: Names of roles in layouts that say "from".
+ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
 MAPPINGS = (
     Mapping('{"messages":[{"role":"","content":""}]}', array="$.messages"),
+    Mapping('{"messages":[]}', array="$.messages"),
     Mapping('{"conversations":[{"from":"","value":""}]}', array="$.conversations", role="from", text="value"),
+    Mapping('{"conversations":[]}', array="$.conversations", role="from", text="value"),
     Mapping('{"prompt":"","completion":""}', fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
     Mapping('{"instruction":"","output":""}', fields=(("user", "$.instruction"), ("assistant", "$.output"))),
     Mapping('{"system":"","instruction":"","output":""}', fields=(("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
 )
-ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def fingerprint(record: Column) -> Column:
@@ -66,7 +70,9 @@ def _turns(record: Column, m: Mapping) -> Column:
     v = F.try_parse_json(record)
     if m.array:
         found = F.try_variant_get(v, m.array, f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-        return F.transform(found, lambda x: F.struct(F.coalesce(x[m.role], F.lit("")).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
+        names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
+        role = lambda r: F.coalesce(F.try_element_at(names, r), r) if m.role == "from" else r
+        return F.transform(found, lambda x: F.struct(F.coalesce(role(x[m.role]), F.lit("")).alias("role"), F.coalesce(x[m.text], F.lit("")).alias("text")))
     return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")).alias("text")) for role, path in m.fields])
 
 
