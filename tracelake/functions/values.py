@@ -113,3 +113,39 @@ def confidence(method: Column, basis: Column) -> Column:
 
 def band(c: Column) -> Column:
     return F.when(c >= 70, "high").when(c >= 40, "medium").when(c.isNotNull(), "low")
+
+
+#: Classes of addresses by server.
+JID_CLASSES = {"s.whatsapp.net": "user", "g.us": "group", "broadcast": "broadcast", "lid": "lid", "newsletter": "newsletter"}
+
+
+def jid(j: Column) -> Column:
+    """struct(state, user, agent, device, server, class) of user[.agent][:device]@server; an agent only before a device.
+
+    state: ok, no-server, empty-user, empty-server or bad-suffix (a device above 65535, an agent above 255, or no number).
+    """
+    raw, server = F.regexp_extract(j, "(?s)^(.*)@([^@]*)$", 1), F.regexp_extract(j, "(?s)^(.*)@([^@]*)$", 2)
+    has_device = F.contains(raw, F.lit(":"))
+    device_text = F.substring_index(raw, ":", -1)
+    front = F.when(has_device, F.substring(raw, F.lit(1), F.length(raw) - F.length(device_text) - 1)).otherwise(raw)
+    has_agent = has_device & F.contains(front, F.lit("."))
+    agent_text = F.substring_index(front, ".", -1)
+    user = F.when(has_agent, F.substring(front, F.lit(1), F.length(front) - F.length(agent_text) - 1)).otherwise(front)
+    number = lambda t, most: F.when(t.rlike("^[0-9]{1,9}$") & (t.try_cast("int") <= most), t.try_cast("int"))
+    device, agent = number(device_text, 65_535), number(agent_text, 255)
+    state = (
+        F.when(~F.contains(j, F.lit("@")), "no-server").when(raw == "", "empty-user").when(server == "", "empty-server")
+        .when((has_device & device.isNull()) | (has_agent & agent.isNull()), "bad-suffix").when(user == "", "empty-user").when(j.isNotNull(), "ok")
+    )
+    kind = F.lit("other")
+    for name, value in JID_CLASSES.items():
+        kind = F.when(server == name, value).otherwise(kind)
+    kind = F.when((server == "broadcast") & (user == "status"), "status").otherwise(kind)
+    ok = lambda c: F.when(state == "ok", c)
+    return F.struct(state.alias("state"), ok(user).alias("user"), ok(F.when(has_agent, agent)).alias("agent"), ok(F.when(has_device, device)).alias("device"), ok(server).alias("server"), ok(kind).alias("class"))
+
+
+def cocoa_auto(v: Column) -> Column:
+    """struct(us, unit, class): the time, the unit that its size tells (also where it is out of range), and valid, sentinel or invalid."""
+    us = cocoa_auto_us(v)
+    return F.struct(us.alias("us"), F.when(F.abs(v) >= 100_000_000_000, "ns").when(v.isNotNull(), "s").alias("unit"), time_class(v, us).alias("class"))

@@ -28,3 +28,9 @@ def joined_text(order: list[str], text: Column, separator: str) -> Column:
 def listed(text: Column) -> Column:
     """Aggregate: the distinct texts in order, by commas."""
     return F.array_join(F.array_sort(F.collect_set(text)), ",")
+
+
+def diagnostics(rows: DataFrame, states: list[str]) -> DataFrame:
+    """join, state, n: how the joins of a mapping came out, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(s.removesuffix("_state")).alias("join"), F.col(s).alias("state")) for s in states]))
+    return rows.select(each.alias("_j")).groupBy("_j.join", "_j.state").agg(F.count("*").alias("n"))

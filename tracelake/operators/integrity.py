@@ -37,3 +37,9 @@ def overlaps(batches: DataFrame, key: str) -> DataFrame:
     """Batches (key, first_id, last_id) that begin before an earlier one ends."""
     before = F.max("last_id").over(Window.partitionBy(key).orderBy("first_id", "last_id").rowsBetween(Window.unboundedPreceding, -1))
     return batches.withColumn("_before", before).where("_before >= first_id").drop("_before")
+
+
+def rollup(batches: DataFrame, key: str) -> DataFrame:
+    """key, batches, digest over the digests of a key's batches (key, batch_no, digest) in order; a key's batches are a few thousand at most."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch_no", "digest"))), lambda x: x["digest"]), "")
+    return batches.groupBy(key).agg(F.count("*").alias("batches"), F.sha2(ordered, 256).alias("digest"))

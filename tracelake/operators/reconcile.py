@@ -59,3 +59,18 @@ def audit_chain(log: DataFrame, key: str, seq: str, previous: str, digest: str,
         .when(~F.col(digest).eqNullSafe(F.sha2(F.concat_ws("|", *fields), 256)), "altered")
     )
     return log.withColumn("state", state).where("state IS NOT NULL").drop("_seq", "_hash")
+
+
+def orphans(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
+    """Rows whose key no known row has; a null key is an orphan too."""
+    return rows.join(known.select(F.col(known_key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left_anti")
+
+
+def located(refs: DataFrame, files: DataFrame, path: str, source: str) -> DataFrame:
+    """refs with state and files of the files that they name: found, ambiguous (several in the same source), other-source (elsewhere
+    only) or unresolved. Files are counted by path and source first, so no reference is multiplied."""
+    by = files.groupBy(F.col(path).alias("_path"), F.col(source).alias("_source")).agg(F.count("*").alias("_k"))
+    anywhere = by.groupBy(F.col("_path").alias("_any")).agg(F.sum("_k").alias("files"))
+    out = refs.join(anywhere, F.col(path) == F.col("_any"), "left").join(by, (F.col(path) == F.col("_path")) & (F.col(source) == F.col("_source")), "left")
+    state = F.when(F.col("_k") == 1, "found").when(F.col("_k") > 1, "ambiguous").when(F.col("files").isNotNull(), "other-source").otherwise("unresolved")
+    return out.select(*refs.columns, state.alias("state"), F.coalesce("files", F.lit(0)).alias("files"))

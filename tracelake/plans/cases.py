@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import payloads
+from tracelake.functions import cells, payloads
+from tracelake.functions import values as V
 from tracelake.mappings import browsers, registry
-from tracelake.operators import intervals, versions
+from tracelake.mappings.joins import diagnostics
+from tracelake.operators import integrity, intervals, reconcile, supersede, versions
 from tracelake.plans import apps  # noqa: F401  (adds the app tables)
 from tracelake.plans.mapped import SQL as MAPPED_SQL
 from tracelake.plans.mapped import app_table, case
@@ -110,3 +112,49 @@ both(
     "q_local_names", lambda s, d: read(s, d, "part").select("p_partkey", payloads.local_name(F.concat(F.when(F.col("p_partkey") % 3 == 0, "con.").otherwise("a:b"), F.col("p_name"))).alias("name"), payloads.logical_path(F.concat(F.lit("/x/./"), F.col("p_brand"), F.when(F.col("p_partkey") % 4 == 0, "/../y").otherwise("//y/"))).alias("path")),
     "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '_con.' ELSE 'a_b' END || p_name AS name, CASE WHEN p_partkey % 4 <> 0 THEN '/x/' || p_brand || '/y' END AS path FROM part",
 )
+
+# Whole rows, joins' outcomes, identifiers, mixed cells.
+both(
+    "q_whole_rows", lambda s, d: records.whole(records.records(s, d).where("type IN ('account', 'calendar_event')"), supersede.superseded_pairs(records.coverage(s, records.records(s, d)))),
+    RECORDS + """ SELECT id, type, 1 AS payload_v, artifact_id, source_path, 'sqlite:table=' || type || ';rowid=' || id AS locator, (id - 1) % 65536 * 64 AS src_offset, 64 AS src_length, ts, CASE WHEN type = 'calendar_event' THEN ts + 3600000000 END AS ts_end, CASE WHEN ts IS NOT NULL THEN 'utc' END AS ts_basis, CASE WHEN ts IS NOT NULL THEN 0 END AS tz_offset_min,
+deleted, recovered, CASE WHEN recovered THEN 'freelist' END AS recovery_method, confidence, parser_name, parser_version, sha256(concat_ws('/', parser_name, parser_version)) AS parser_hash, summary, ingest_id, EXISTS (SELECT 1 FROM superseded x WHERE x.ingest_id = rp.ingest_id AND x.artifact_id = rp.artifact_id) AS superseded
+FROM rp WHERE type IN ('account', 'calendar_event')""",
+)
+both(
+    "q_join_diagnostics", lambda s, d: diagnostics(registry.PARSERS["ios.calendar"].run({n: app_table(s, d, n) for n in registry.PARSERS["ios.calendar"].needs}), ["calendar_state", "location_state"]),
+    f"WITH c AS ({MAPPED_SQL['q_map_ios_calendar']}) SELECT 'calendar' AS \"join\", calendar_state AS state, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'location', location_state, count(*) FROM c GROUP BY 2",
+)
+REFS, HELD = "o_orderkey AS id, concat('/a/', cast(o_custkey % 500 AS string)) AS path, o_orderkey % 3 AS source", "concat('/a/', cast(l_partkey % 700 AS string)) AS path, l_suppkey % 4 AS source"
+both(
+    "q_located_files", lambda s, d: reconcile.located(read(s, d, "orders", REFS), read(s, d, "lineitem", HELD + ", l_linenumber, l_partkey").where("l_linenumber = 7 AND l_partkey % 3 <> 0").select("path", "source"), "path", "source"),
+    f"WITH f AS (SELECT {HELD} FROM lineitem WHERE l_linenumber = 7 AND l_partkey % 3 <> 0), b AS (SELECT path, source, count(*) AS k FROM f GROUP BY 1, 2), a AS (SELECT path, sum(k)::BIGINT AS files FROM b GROUP BY 1), r AS (SELECT {REFS} FROM orders) SELECT r.*, CASE WHEN k = 1 THEN 'found' WHEN k > 1 THEN 'ambiguous' WHEN files IS NOT NULL THEN 'other-source' ELSE 'unresolved' END AS state, coalesce(files, 0) AS files FROM r LEFT JOIN a ON a.path = r.path LEFT JOIN b ON b.path = r.path AND b.source = r.source",
+)
+both(
+    "q_orphans", lambda s, d: reconcile.orphans(read(s, d, "lineitem", "CASE WHEN l_linenumber = 4 THEN NULL ELSE l_orderkey END AS k, l_linenumber"), "k", read(s, d, "orders").where("o_orderstatus <> 'F'"), "o_orderkey"),
+    "SELECT CASE WHEN l_linenumber = 4 THEN NULL ELSE l_orderkey END AS k, l_linenumber FROM lineitem WHERE l_linenumber = 4 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')",
+)
+both(
+    "q_ingest_rollup", lambda s, d: integrity.rollup(integrity.batch_digest(records.records(s, d).where("type = 'account'"), ["id", "type"], 500).withColumn("part", F.col("batch_no") % 3), "part"),
+    RECORDS + ", g AS (SELECT id, (id - 1) // 500 AS batch_no, sha256('1:' || strlen(id::VARCHAR) || ':' || id || '1:' || strlen(type) || ':' || type) AS x FROM records WHERE type = 'account'), b AS (SELECT batch_no, sha256(string_agg(x, '' ORDER BY id, x)) AS d FROM g GROUP BY 1) SELECT batch_no % 3 AS part, count(*) AS batches, sha256(string_agg(d, '' ORDER BY batch_no)) AS digest FROM b GROUP BY 1",
+)
+JIDS = "c_custkey AS k, CASE c_custkey % 9 WHEN 0 THEN concat('u', cast(c_custkey AS string), '@s.whatsapp.net') WHEN 1 THEN concat('u', cast(c_custkey AS string), '.3:7@lid') WHEN 2 THEN 'nobody' WHEN 3 THEN '@g.us' WHEN 4 THEN 'a@' WHEN 5 THEN 'a:70000@g.us' WHEN 6 THEN 'status@broadcast' WHEN 7 THEN 'a@b@newsletter' ELSE 'a.300:1@x' END AS j"
+both(
+    "q_jids", lambda s, d: read(s, d, "customer", JIDS).select("k", V.jid(F.col("j")).alias("x")).select("k", "x.state", "x.user", F.col("x.agent").cast("bigint").alias("agent"), F.col("x.device").cast("bigint").alias("device"), "x.server", "x.class"),
+    """SELECT c_custkey AS k, ['ok', 'ok', 'no-server', 'empty-user', 'empty-server', 'bad-suffix', 'ok', 'ok', 'bad-suffix'][c_custkey % 9 + 1] AS state, CASE c_custkey % 9 WHEN 0 THEN 'u' || c_custkey WHEN 1 THEN 'u' || c_custkey WHEN 6 THEN 'status' WHEN 7 THEN 'a@b' END AS "user", CASE c_custkey % 9 WHEN 1 THEN 3 END AS agent, CASE c_custkey % 9 WHEN 1 THEN 7 END AS device,
+CASE c_custkey % 9 WHEN 0 THEN 's.whatsapp.net' WHEN 1 THEN 'lid' WHEN 6 THEN 'broadcast' WHEN 7 THEN 'newsletter' END AS server, CASE c_custkey % 9 WHEN 0 THEN 'user' WHEN 1 THEN 'lid' WHEN 6 THEN 'status' WHEN 7 THEN 'newsletter' END AS "class" FROM customer""",
+)
+COCOA = "o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 9223372036854775807 WHEN 2 THEN o_custkey + 1 WHEN 3 THEN (o_custkey + 1) * 100000000000 ELSE 99999999999 END AS v"
+both(
+    "q_cocoa_units", lambda s, d: read(s, d, "orders", COCOA).select("k", V.cocoa_auto(F.col("v")).alias("x")).select("k", "x.*"),
+    f"SELECT k, CASE k % 5 WHEN 2 THEN v * 1000000 + 978307200000000 WHEN 3 THEN CASE WHEN v // 1000 + 978307200000000 < 4102444800000000 THEN v // 1000 + 978307200000000 END END AS us, CASE WHEN k % 5 IN (1, 3) THEN 'ns' WHEN k % 5 = 4 THEN 's' ELSE 's' END AS unit, CASE WHEN k % 5 IN (0, 1) THEN 'sentinel' WHEN k % 5 = 2 OR (k % 5 = 3 AND v // 1000 + 978307200000000 < 4102444800000000) THEN 'valid' ELSE 'invalid' END AS \"class\" FROM (SELECT {COCOA} FROM orders)",
+)
+both(
+    "q_mixed_extremes",
+    lambda s, d: read(s, d, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey").agg(*[f(cells.order_key(_mixed())).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]).select("l_orderkey", F.col("lo.kind").cast("bigint").alias("lo_kind"), F.col("lo.near").alias("lo"), F.col("hi.kind").cast("bigint").alias("hi_kind"), F.decode("hi.t", "UTF-8").alias("hi")),
+    "WITH c AS (SELECT l_orderkey, [1, 1, 2, 0][l_linenumber] AS kind, CASE l_linenumber WHEN 1 THEN l_partkey::DOUBLE WHEN 2 THEN l_extendedprice::DOUBLE END AS x, CASE l_linenumber WHEN 3 THEN l_returnflag END AS t FROM lineitem WHERE l_linenumber <= 4) SELECT l_orderkey, min(kind)::BIGINT AS lo_kind, CASE WHEN min(kind) = 1 THEN min(x) END AS lo, max(kind)::BIGINT AS hi_kind, CASE WHEN max(kind) = 2 THEN max(t) END AS hi FROM c GROUP BY 1",
+)
+
+
+def _mixed() -> Column:
+    n = F.col("l_linenumber")
+    return cells.cell(F.when(n == 1, F.col("l_partkey")), F.when(n == 2, F.col("l_extendedprice")), F.when(n == 3, F.col("l_returnflag")))

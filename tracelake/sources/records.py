@@ -89,3 +89,22 @@ def sql_records() -> str:
         "WHERE EXISTS (SELECT 1 FROM runs n JOIN parsers q ON q.parser_id = n.parser_id JOIN coverage d ON d.ingest_id = n.ingest_id "
         "WHERE n.outcome = 'complete' AND q.parser_name = p.parser_name AND d.artifact_id = c.artifact_id AND n.end_seq > o.end_seq))"
     )
+
+
+#: The columns of a record's whole row, in order.
+WHOLE = ("id", "type", "payload_v", "artifact_id", "source_path", "locator", "src_offset", "src_length", "ts", "ts_end", "ts_basis", "tz_offset_min", "deleted", "recovered", "recovery_method", "confidence", "parser_name", "parser_version", "parser_hash", "summary", "ingest_id", "superseded")
+
+
+def whole(recs: DataFrame, hidden: DataFrame) -> DataFrame:
+    """All columns of records: with the parser and its hash, where the row lies in its artifact, and whether a later run supersedes it.
+
+    Where a row lies is derived from its id here, as the tables at hand don't say.
+    """
+    at = F.struct(((F.col("id") - 1) % 65_536 * 64).alias("o"), F.lit(64).cast("bigint").alias("n"))
+    out = with_parser(recs).join(hidden.withColumn("_hidden", F.lit(True)), ["ingest_id", "artifact_id"], "left")
+    timed = F.col("ts").isNotNull()
+    return out.withColumns({
+        "payload_v": F.lit(1).cast("bigint"), "locator": F.concat(F.lit("sqlite:table="), F.col("type"), F.lit(";rowid="), F.col("id").cast("string")), "src_offset": at["o"], "src_length": at["n"],
+        "ts_end": F.when(timed & (F.col("type") == "calendar_event"), F.col("ts") + 3_600_000_000), "ts_basis": F.when(timed, "utc"), "tz_offset_min": F.when(timed, 0).cast("bigint"),
+        "recovery_method": F.when(F.col("recovered"), "freelist"), "parser_hash": F.sha2(F.concat_ws("/", "parser_name", "parser_version"), 256), "superseded": F.coalesce("_hidden", F.lit(False)),
+    }).select(*WHOLE)
