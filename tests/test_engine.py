@@ -37,6 +37,18 @@ def test_runs(spark):
     assert [(r["start"], r["stop"]) for r in intervals.complement(merged, "k").collect()] == [(7, 10)]
 
 
+def test_range_join_against_all_pairs(spark):
+    import random
+
+    rnd = random.Random(8)
+    size = lambda: rnd.choice([1, 3, 200, 5_000, 400_000, 1 << 40])
+    ranges = [(i % 2, i, a := rnd.randrange(1 << 20), a + size()) for i in range(60)]
+    extents = [(i % 2, rnd.randrange(1 << 20), size(), i * 1000) for i in range(60)]
+    got = intervals.translate(spark.createDataFrame(ranges, "k int, id int, start bigint, stop bigint"), spark.createDataFrame(extents, "k int, at bigint, size bigint, target bigint"), "k", 64)
+    want = [(i, t + max(a, p) - p, min(b, p + n) - max(a, p)) for k, i, a, b in ranges for j, p, n, t in extents if j == k and max(a, p) < min(b, p + n)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_times(spark):
     df = spark.createDataFrame([(0,), (-1,), (86_400_000,), (4_102_444_800_000,)], "v bigint")
     assert [r[0] for r in df.select(V.unix_us(df["v"], "ms")).collect()] == [None, None, 86_400_000_000, None]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,14 +21,42 @@ def complement(merged: DataFrame, key: str) -> DataFrame:
     return merged.select(key, F.col("stop").alias("start"), nxt.alias("stop")).where("stop IS NOT NULL")
 
 
+#: Each level of cells is so many times as wide as the one below.
+FACTOR, LEVELS = 64, 10
+
+
+def _level(size: Column, cell: int) -> Column:
+    """The first level whose cells are as wide as a range."""
+    out = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        out = F.when(size <= min(cell * FACTOR**k, (1 << 63) - 1), k).otherwise(out)
+    return out
+
+
+def _whole(at: Column) -> Column:
+    """The cell of a byte, exact for all offsets from 0."""
+    return F.call_function("div", at, F.col("_width"))
+
+
+def _cells(side: DataFrame, lo: str, hi: str, first: Column, last: Column, cell: int) -> DataFrame:
+    """side with each of its levels from first to last and the cells that it touches there: two at most."""
+    widths = F.array(*[F.lit(min(cell * FACTOR**k, 1 << 62)).cast("bigint") for k in range(LEVELS)])
+    levels = side.where(first <= last).withColumn("_at", F.explode(F.sequence(first, last))).withColumn("_width", F.element_at(widths, F.col("_at") + 1))
+    return levels.withColumn("_cell", F.explode(F.sequence(_whole(F.col(lo)), _whole(F.col(hi) - 1))))
+
+
 def translate(ranges: DataFrame, extents: DataFrame, key: str, cell: int) -> DataFrame:
     """ranges (key, id, start, stop) through extents (key, at, size, target): id, target_start, length of each piece.
 
-    A range join by cells of a fixed width: both sides are laid on the cells they touch, and meet by equality.
+    A range join by cells in levels: every side lies in two cells at most of the level of its own size, and meets smaller
+    ones of the other side there, which are laid on the levels above their own. So a range of a terabyte is a few rows.
     """
-    over = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell)))
-    r = ranges.where("stop > start").withColumn("_cell", over("start", "stop"))
-    e = extents.where("size > 0").withColumn("_end", F.col("at") + F.col("size")).withColumn("_cell", over("at", "_end"))
+    r = ranges.where("stop > start").withColumn("_own", _level(F.col("stop") - F.col("start"), cell))
+    e = extents.where("size > 0").withColumns({"_end": F.col("at") + F.col("size"), "_own_e": _level(F.col("size"), cell)})
+    top, own, own_e = F.lit(LEVELS - 1), F.col("_own"), F.col("_own_e")
+    met = _cells(r, "start", "stop", own, own, cell).join(_cells(e, "at", "_end", own_e, top, cell).drop("_width"), [key, "_at", "_cell"]).unionByName(
+        _cells(r, "start", "stop", own + 1, top, cell).join(_cells(e, "at", "_end", own_e, own_e, cell).drop("_width"), [key, "_at", "_cell"])
+    )
     lo, hi = F.greatest("start", "at"), F.least("stop", "_end")
-    first_cell = F.floor(lo / cell) == F.col("_cell")  # a pair that shares several cells counts in the first
-    return r.join(e, [key, "_cell"]).where((lo < hi) & first_cell).select("id", (F.col("target") + lo - F.col("at")).alias("target_start"), (hi - lo).alias("length"))
+    first_cell = _whole(lo) == F.col("_cell")  # a pair that shares two cells counts in the first
+    return met.where((lo < hi) & first_cell).select("id", (F.col("target") + lo - F.col("at")).alias("target_start"), (hi - lo).alias("length"))

@@ -11,7 +11,7 @@ from tracelake.functions import cells, payloads
 from tracelake.functions import values as V
 from tracelake.mappings import browsers, registry
 from tracelake.mappings.joins import diagnostics
-from tracelake.operators import integrity, intervals, reconcile, supersede, versions
+from tracelake.operators import filters, integrity, intervals, listing, reconcile, supersede, versions
 from tracelake.plans import apps  # noqa: F401  (adds the app tables)
 from tracelake.plans.mapped import SQL as MAPPED_SQL
 from tracelake.plans.mapped import app_table, case
@@ -158,3 +158,19 @@ both(
 def _mixed() -> Column:
     n = F.col("l_linenumber")
     return cells.cell(F.when(n == 1, F.col("l_partkey")), F.when(n == 2, F.col("l_extendedprice")), F.when(n == 3, F.col("l_returnflag")))
+
+
+# Filters and anti joins that keep some rows and leave out others.
+ODD = "translate(source_path, '-u', '_%')"
+both(
+    "q_filter_prefix_of_wildcards", lambda s, d: filters.apply(records.records(s, d).withColumn("source_path", F.expr(ODD)), filters.Filter(path_prefix="/data/p%rchase/1")).select("id", "source_path"),
+    RECORDS + f" SELECT id, {ODD} AS source_path FROM records WHERE starts_with({ODD}, '/data/p%rchase/1')",
+)
+both(
+    "q_visitless_pages", lambda s, d: reconcile.orphans(app_table(s, d, "urls"), "id", app_table(s, d, "visits").where("id % 7 = 0"), "url").select("id", "url"),
+    MAPPED_SQL["q_map_chromium_visits"].split(", u AS (SELECT", 1)[0] + " SELECT id, url FROM a_urls WHERE id NOT IN (SELECT url FROM a_visits WHERE id % 7 = 0)",
+)
+both(
+    "q_list_newest_of_many", lambda s, d: listing.page(filters.apply(records.records(s, d), filters.Filter(types=("event", "account", "web_visit"), artifact_ids=("a1", "a2"), min_confidence=50)), 150, True),
+    RECORDS + f" SELECT {', '.join(listing.LIST_COLUMNS)} FROM records WHERE type IN ('event', 'account', 'web_visit') AND artifact_id IN ('a1', 'a2') AND confidence >= 50 ORDER BY ts DESC NULLS FIRST, id DESC LIMIT 150",
+)
