@@ -9,9 +9,10 @@
 * The token-group matrix has each group's union of prefix shingles. Where two groups share too few shingles of their
   unions, or their sizes don't fit, no member of one can link to a member of the other. Only groups that qualify are
   opened: their members' whole sets meet once for each pair of groups, and links come from one matrix product.
-* First each group is opened with itself and with the smallest group that qualifies, its representative. Pairs of groups
-  whose members are all in one component then need no opening, as a further link would join nothing; the others are opened. So
-  a family of F near copies opens about F / ``GROUP`` pairs, not their square.
+* First each group is opened with itself and with one representative, the smallest group that has some of its shingles. Groups
+  whose members all lie in one component by then act as one, with the union of their shingles: a further link
+  inside would join nothing. Only pairs of such units that qualify are looked at group by group, and opened. So a family of F
+  near copies opens about F / ``GROUP`` pairs, not their square, and doesn't list the others either.
 * Components are taken over all links.
 
 Bitmaps of fixed size thin what the tasks send; exact joins follow. Defined cases: texts without words, and null texts,
@@ -284,11 +285,14 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
     # The matrix: the groups by the shingles in their unions, and the range of their members' sizes there.
     matrix = lists.join(members.select("doc", "g"), "doc").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
     matrix = stage_table(matrix, "jaccard-matrix")
-    x, y = (matrix.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "least", "most", "k")]) for i in (1, 2))
-    fits = (F.col("most1") * 100 >= F.col("least2") * pct) & (F.col("most2") * 100 >= F.col("least1") * pct)
-    bound = x.join(y, "token").where(((F.col("g1") < F.col("g2")) | ((F.col("g1") == F.col("g2")) & (F.col("k1") > 1))) & fits)
-    opened = bound.groupBy("g1", "g2").agg(F.count("*").alias("k"), F.min(F.least("least1", "least2")).alias("least")).where(F.col("k") >= _shared(F.col("least"), pct))
-    opened = stage_table(opened.select("g1", "g2"), "jaccard-opened")
+
+    def fits(one: str, two: str) -> Column:
+        """Whether sizes of two sides, in least and most with these endings, can link."""
+        return (F.col(f"most{one}") * 100 >= F.col(f"least{two}") * pct) & (F.col(f"most{two}") * 100 >= F.col(f"least{one}") * pct)
+
+    def enough(rows: DataFrame, keys: list[str], least: Column) -> DataFrame:
+        """The keys that share shingles enough to hold a link; a row is a shared shingle."""
+        return rows.groupBy(*keys).agg(F.count("*").alias("_k"), F.min(least).alias("_least")).where(F.col("_k") >= _shared(F.col("_least"), pct)).drop("_least")
 
     def links(pairs: DataFrame) -> DataFrame:
         sides = pairs.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("g"))
@@ -296,15 +300,23 @@ def linked(sets: Sets, classes: DataFrame) -> DataFrame:
         held = sets.whole(bitmap_of(_hashed(wanted))).join(members.select("doc", "g"), "doc")
         return stage_table(verified(sides.join(held, "g").select("g1", "g2", "g", "doc", "tokens"), pct), "jaccard-links")
 
-    least = opened.where("g1 != g2").groupBy("g2").agg(F.min("g1").alias("g1")).select("g1", "g2")
-    first = stage_table(opened.where("g1 = g2").union(least), "jaccard-first")
+    smaller = F.least("least1", "least2")
+    lead = matrix.groupBy("token").agg(F.min("g").alias("g1"), F.min_by("least", "g").alias("least1"), F.min_by("most", "g").alias("most1"))
+    two = matrix.select("token", *[F.col(c).alias(f"{c}2") for c in ("g", "least", "most")])
+    led = enough(two.join(lead, "token").where((F.col("g1") < F.col("g2")) & fits("1", "2")), ["g1", "g2"], smaller)
+    own = enough(matrix.where("k > 1"), ["g"], F.col("least")).select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    first = stage_table(own.union(led.groupBy("g2").agg(F.max_by("g1", "_k").alias("g1")).select("g1", "g2")), "jaccard-first")
     found = links(first)
-    # What each group's members are in so far: one component where lo and hi agree.
+    # What each group's members are in so far: a unit of groups of one component, or a group of several.
     named = members.join(connected_components(found, "jaccard-so-far"), F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc"))
-    state = stage_table(named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "jaccard-state")
-    one, two = (state.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "lo", "hi")]) for i in (1, 2))
-    apart = "lo1 != hi1 OR lo2 != hi2 OR lo1 != lo2"
-    rest = stage_table(opened.join(first, ["g1", "g2"], "left_anti").join(one, "g1").join(two, "g2").where(apart).select("g1", "g2"), "jaccard-rest")
+    units = named.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("g", F.when(F.col("lo") == F.col("hi"), F.xxhash64(F.lit("all"), "lo")).otherwise(F.xxhash64(F.lit("one"), "g")).alias("u"))
+    placed = stage_table(matrix.join(units, "g").select("token", "g", "u", "least", "most"), "jaccard-units")
+    unions = placed.groupBy("token", "u").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    one, two = (unions.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("u", "least", "most")]) for i in (1, 2))
+    met = stage_table(enough(one.join(two, "token").where((F.col("u1") < F.col("u2")) & fits("1", "2")), ["u1", "u2"], smaller).drop("_k"), "jaccard-met")
+    one, two = (placed.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("u", "g", "least", "most")]) for i in (1, 2))
+    rest = enough(met.join(one, "u1").join(two, ["u2", "token"]).where(fits("1", "2")), ["g1", "g2"], smaller).select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"))
+    rest = stage_table(rest.join(first, ["g1", "g2"], "left_anti"), "jaccard-rest")
     return connected_components(found.union(links(rest)), "jaccard-components")
 
 
