@@ -68,7 +68,7 @@ def orphans(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> Data
 
 def located(refs: DataFrame, files: DataFrame, path: str, source: str) -> DataFrame:
     """refs with state and files of the files that they name: found, ambiguous (several in the same source), other-source (elsewhere
-    only) or unresolved. Files are counted by path and source first, so no reference is multiplied."""
+    only) or unresolved. Files are counted by path and source first, so no row of refs is multiplied."""
     by = files.groupBy(F.col(path).alias("_path"), F.col(source).alias("_source")).agg(F.count("*").alias("_k"))
     anywhere = by.groupBy(F.col("_path").alias("_any")).agg(F.sum("_k").alias("files"))
     out = refs.join(anywhere, F.col(path) == F.col("_any"), "left").join(by, (F.col(path) == F.col("_path")) & (F.col(source) == F.col("_source")), "left")
