@@ -1,5 +1,7 @@
 """Main text of pages that are marked up badly, oddly or hostilely."""
 
+import html
+import re
 import time
 
 import pytest
@@ -19,6 +21,8 @@ LONG = "One sentence of the article, with commas, and so on, for a while yet."
         ("<article><p>a <b and c then more words here, ok</p></article>", "a <b and c then more words here, ok"),
         (f'<div id="wrap"><section><p>{LONG}</p><p>{LONG}</p></section><section><p>Less, here.</p><p>{LONG}</p></section><ul><li>item</li></ul><p>End.</p></div>', f"{LONG}\n{LONG}\nLess, here.\n{LONG}\nitem\nEnd."),
         (f'<div class="menu"><p>{LONG}</p></div>', LONG),
+        (f'<div id=sideBar2><p>{LONG} x</p></div><div role="complementary">Aside, here.</div><div class="advertising-slot">Buy.</div><div class="postBody"><p>{LONG}</p></div>', LONG),
+        (f'<main role="main"><p>{LONG}</p><ol id="postComments"><li>First!</li></ol></main>', LONG),
         (f'<body><div class="ad">Buy, buy, buy this thing today, please do.</div><div><p>{LONG}</p></div><article class="comment"><p>{LONG} No.</p></article></body>', LONG),
         ("<p>1 < 2 &amp; 3 &gt; 2, &#8364;</p><!-- no --><![CDATA[x]]>", "1 < 2 & 3 > 2, €\nx"),
         ("<!-- never closed <p>text</p>", ""),
@@ -36,3 +40,15 @@ def test_time_grows_with_length_alone(piece):
     began = time.perf_counter()
     main_text(piece * (1_000_000 // len(piece)))
     assert time.perf_counter() - began < 6
+
+
+def test_given_pages(spark):
+    """Every page at hand has one article of headings and paragraphs: its text by two substitutions."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    for page in pages:
+        want = []
+        for block in re.split(r"</?(?:p|h1)>", page.split("<article>")[1].split("</article>")[0]):
+            text = html.unescape(re.sub("<[^>]+>", " " if "<br" in block else "", block))
+            want += [x] if (x := re.sub(r"\s+", " ", text).strip()) else []
+        assert main_text(page) == "\n".join(want)
+    assert len(pages) > 1000

@@ -35,6 +35,9 @@ NEVER = {"nav", "footer", "aside", "form", "button", "header", "menu", "dialog",
 #: Parts of class names, ids and roles of what isn't the article; "no-sidebar" and the like say something else.
 COMMENTS = {"comment", "comments", "disqus", "replies", "reply", "respond", "ad", "ads", "advert", "advertisement", "promo", "related", "sponsor", "sponsored"}
 UNLIKELY = COMMENTS | {"banner", "breadcrumb", "breadcrumbs", "cookie", "cookies", "consent", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "share", "sharing", "sidebar", "signup", "social", "subscribe", "tags", "toolbar", "widget"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
+BEGUN = ("advert", "promo", "sponsor", "navig")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 STATES = {"no", "not", "has", "with", "without", "is"}
 TEXT_LIKE = {"p", "ul", "ol", "dl", "table", "pre", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6"}
 LIKELY_ROOT = {"article", "main"}
@@ -117,10 +120,12 @@ def _unlikely(attrs: str, words: set[str]) -> bool:
         name = name.lower()
         if name == "hidden":
             return True
-        if name in ("class", "id", "role", "aria-label"):
-            for token in value.strip("\"'").lower().split():
-                parts = set(token.replace("_", "-").split("-"))
-                if parts & words and not parts & STATES:
+        if name == "role" and words is UNLIKELY and value.strip("\"'").lower() in ROLES:
+            return True
+        if name in ("class", "id", "aria-label"):
+            for token in value.strip("\"'").split():
+                parts = {p.strip("0123456789") for p in f"{token}-{CAMEL.sub('-', token)}".lower().replace("_", "-").split("-")}
+                if not parts & STATES and (parts & words or any(p.startswith(BEGUN) for p in parts)):
                     return True
     return False
 
