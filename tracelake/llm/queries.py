@@ -125,6 +125,19 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"), size=4, pct=85)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS gram FROM g UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS pos FROM d UNION SELECT r.doc_id, links.y FROM r JOIN links ON links.x = r.pos)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(pos) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
@@ -141,6 +154,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 200) AS s FROM d, LATERAL (SELECT unnest(range(1, n - 98)) AS i)),
+l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l),
+t AS (SELECT doc_id, i, sum(CASE WHEN b >= i - 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM t GROUP BY 1, 2),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER p, 1) AS from_, lead(a) OVER p IS NULL AS last FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY a)),
+k AS (SELECT d.doc_id, string_agg(substr(h, 2 * from_ - 1, 2 * (a - from_)) || CASE WHEN last THEN substr(h, 2 * z - 1) ELSE '' END, '' ORDER BY a) AS kept, sum(z - a)::BIGINT AS gone, count(*) AS spans FROM g JOIN d ON d.doc_id = g.doc_id GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -164,4 +189,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op6_mixing": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op10_suffix_dedup": OP10_SQL}
