@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, jaccard_join, mixing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
+from . import chat, decontaminate, html_extract, jaccard_join, mixing, packing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
 from .common import WORD, table
 
 
@@ -166,6 +166,14 @@ k AS (SELECT d.doc_id, string_agg(substr(h, 2 * from_ - 1, 2 * (a - from_)) || C
 SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -184,6 +192,7 @@ def queries() -> dict:
         "op8_html_extraction": op8_html_extraction,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_best_fit_packing": op13_best_fit_packing,
         "pipeline": pipeline,
     }
 
