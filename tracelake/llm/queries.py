@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hard_negatives, html_extract, jaccard_join, mixing, packing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
+from . import chat, collocations, decontaminate, hard_negatives, html_extract, jaccard_join, mixing, packing, pii, quality_knn, quality_rules, suffix_dedup, toxicity
 from .common import WORD, table
 
 
@@ -166,6 +166,26 @@ k AS (SELECT d.doc_id, string_agg(substr(h, 2 * from_ - 1, 2 * (a - from_)) || C
 SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, range(1, 5) x(k), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS cut, ws FROM f WHERE k > 1),
+s AS (SELECT c.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS phrase, max(f) AS f FROM f, range(2, 4) y(m), LATERAL (SELECT unnest(range(1, k - m + 2)) AS j) WHERE k > m GROUP BY 1, 2)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 80 * a QUALIFY rank <= 2000"""
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
@@ -207,6 +227,7 @@ def queries() -> dict:
         "op8_html_extraction": op8_html_extraction,
         "op9_decontamination": op9_decontamination,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_collocations": op11_collocations,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_best_fit_packing": op13_best_fit_packing,
         "pipeline": pipeline,
@@ -214,4 +235,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op6_mixing": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op10_suffix_dedup": OP10_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op6_mixing": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op10_suffix_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL}
