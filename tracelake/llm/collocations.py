@@ -145,17 +145,20 @@ def index_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_
             types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["shard", "lang", "n", "words", "starts", "counts", "bwt"])
 
+        def add(of: str, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            held.setdefault(of, Shard()).add(b"".join(parts))
+            if sum(s.size for s in held.values()) >= shard_words:
+                yield flush(max(held, key=lambda k: held[k].size))
+
         for b in batches:
             waiting: dict[str, list[bytes]] = {}
             for of, t in zip(b.column(0).to_pylist(), b.column(1)):
                 for part in slices(t.as_py() or b""):
                     waiting.setdefault(of, []).append(part)
                     if sum(map(len, waiting[of])) >= _SLICE:
-                        held.setdefault(of, Shard()).add(b"".join(waiting.pop(of)))
-                        if sum(s.size for s in held.values()) >= shard_words:
-                            yield flush(max(held, key=lambda k: held[k].size))
+                        yield from add(of, waiting.pop(of))
             for of, parts in waiting.items():
-                held.setdefault(of, Shard()).add(b"".join(parts))
+                yield from add(of, parts)
         for of in list(held):
             yield flush(of)
 
