@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import chat
@@ -36,3 +37,20 @@ def test_other_layouts_show_as_null(spark):
 
 def test_values_of_other_types_keep_their_layout(spark):
     assert turns(spark, ['{"prompt":1.5,"completion":true}']) == [[("user", "1.5"), ("assistant", "true")]]
+
+
+def test_strings_beyond_the_parsers_limits(spark):
+    """Two turns of 25 million characters with escapes and marks, and many turns that are long together."""
+    long = 'a "q" \\ </s>[INST] \n é \U0001f600 ' * 1_000_000
+    many = [{"role": "user" if i % 2 else "assistant", "content": f"{i} " * 900} for i in range(3000)]
+    records = [{"prompt": long, "completion": long + "x"}, {"messages": many}, {"prompt": long, "completion": "b", "more": 1}, {"conversations": [{"from": "human", "value": "short"}, {"from": "gpt", "value": long}]}]
+    assert len(long) >= 25_000_000 and len(json.dumps(many)) > chat.LONG_RECORD
+    got = turns(spark, [json.dumps(r, ensure_ascii=i == 3) for i, r in enumerate(records)])
+    assert got == [[("user", long), ("assistant", long + "x")], [(t["role"], t["content"]) for t in many], None, [("user", "short"), ("assistant", long)]]
+
+
+def test_records_are_taken_apart_and_no_text_is_mistaken(spark):
+    short, mark, found = chat.take_apart('{"a": "' + "\\\"" * 150 + '", "long:1": [1.50, "b"]}')
+    assert found == ['"' * 150] and json.loads(short) == {"a": mark + "1", "long:1": [1.5, "b"]} and "1.50" in short
+    with pytest.raises(ValueError):
+        chat.take_apart("[" + "1," * 7_000_000 + "1]")

@@ -10,13 +10,20 @@ mask lists the spans of assistant texts in the formatted string.
 
 Defined cases: null roles and texts count as empty; turns sort by (turn, role, text), null turns first, and repeated
 rows stay; an empty table gives an empty result; other columns of records pass through, but for those named like a result
-(``RESULTS``), which give way; pack_conversations reads no others.
+(``RESULTS``), which give way; pack_conversations reads no others. JSON parsers refuse strings of 20 million characters and
+values beyond a size, so the long strings of a record of more than ``LONG_RECORD`` characters are taken out before it is parsed
+and put back into its turns; texts are bounded by Spark's own strings alone (2 GB). What is left of such a record without its long
+strings must be below ``LONG_SHAPE`` characters, else an error is raised.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +35,9 @@ TURNS = "array<struct<role:string,text:string>>"
 RESULTS = ("_layout", "_turns", "_formatted", "_loss")
 
 
+LONG_RECORD, LONG_STRING, LONG_SHAPE = 4_000_000, 200, 12_000_000
+
+
 @dataclass(frozen=True)
 class Mapping:
     """A layout by example, and where its turns are: an array of (role, text) paths, or single (role, path) fields."""
@@ -76,14 +86,50 @@ def _turns(record: Column, m: Mapping) -> Column:
     return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")).alias("text")) for role, path in m.fields])
 
 
+def take_apart(record: str) -> tuple[str, str, list[str]]:
+    """A JSON record with a mark and a number in place of each long string; the mark; those strings."""
+    mark, found = f"long:{hashlib.sha256(record.encode('utf-8', 'surrogatepass')).hexdigest()}:", []
+
+    def one(m: re.Match) -> str:
+        if m.end() - m.start() <= LONG_STRING:
+            return m.group()
+        found.append(json.loads(m.group(), strict=False))
+        return f'"{mark}{len(found)}"'
+
+    short = re.sub(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', one, record, flags=re.DOTALL)
+    if len(short) > LONG_SHAPE:
+        raise ValueError(f"a record has {len(short)} characters beside its long strings")
+    return short, mark, found
+
+
+def _apart(record: Column) -> Column:
+    """struct(short, mark, longs) of long records, null for the others."""
+
+    @F.pandas_udf("struct<short: string, mark: string, longs: array<string>>")
+    def run(records: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None, None) if r is None else take_apart(r) for r in records], columns=["short", "mark", "longs"])
+
+    return run(F.when(F.length(record) > LONG_RECORD, record))
+
+
+def _put_back(turns: Column, apart: Column) -> Column:
+    def whole(x: Column) -> Column:
+        number = F.substring(x, F.length(apart["mark"]) + 1, F.length(x)).cast("int")
+        return F.when(F.startswith(x, apart["mark"]), F.element_at(apart["longs"], number)).otherwise(x)
+
+    return F.when(apart["mark"].isNull(), turns).otherwise(F.transform(turns, lambda t: F.struct(whole(t["role"]).alias("role"), whole(t["text"]).alias("text"))))
+
+
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """Adds ``_layout`` (the fingerprint) and ``_turns``."""
     known = fingerprints(records.sparkSession)
-    out = records.withColumn("_layout", fingerprint(F.col(record)))
+    apart, short = free_name("_apart", records), free_name("_short", records)
+    out = records.withColumn(apart, _apart(F.col(record))).withColumn(short, F.coalesce(F.col(apart)["short"], F.col(record)))
+    out = out.withColumn("_layout", fingerprint(F.col(short)))
     turns = F.lit(None).cast(TURNS)
     for f, m in known.items():
-        turns = F.when(F.col("_layout") == f, _turns(F.col(record), m).cast(TURNS)).otherwise(turns)
-    return out.withColumn("_turns", turns)
+        turns = F.when(F.col("_layout") == f, _turns(F.col(short), m).cast(TURNS)).otherwise(turns)
+    return out.withColumn("_turns", _put_back(turns, F.col(apart)).cast(TURNS)).drop(apart, short)
 
 
 def escape(text: Column) -> Column:
