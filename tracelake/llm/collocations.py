@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, stage_table
+from .common import drop_tables, small_batches, stage_table
 
 DEPTH = 4
 #: A-Z to a-z, tabs to spaces, and what ends a piece to a byte that UTF-8 doesn't have.
@@ -70,16 +70,13 @@ class Shard:
 
 def transform(s: np.ndarray) -> np.ndarray:
     """The Burrows-Wheeler transform of s, taken as a ring, in the order of the next DEPTH symbols."""
-    width = int(s.max()) + 1
-    key = s.astype(np.int64)
-    for step in (1, 2):
-        if width * width >= 1 << 62:
-            raise ValueError("too many words in a shard")
-        key = key * width + np.roll(key, -step)
-        if step == 1:  # pairs by rank, so that pairs of pairs fit too
-            values, key = np.unique(key, return_inverse=True)
-            width = len(values)
-    return np.roll(s, 1)[np.argsort(key, kind="stable")]
+    key = s.astype(np.int64) * (int(s.max()) + 1)
+    key += np.roll(s, -1)
+    # Pairs by rank, so that pairs of pairs fit too: a shard has fewer than 2 ** 31 positions.
+    values, key = np.unique(key, return_inverse=True)
+    key *= len(values)
+    key += np.roll(key // len(values), -2)
+    return np.roll(s, 1)[np.argsort(key)]
 
 
 class Index:
@@ -126,7 +123,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def index_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words: int = 3_000_000) -> DataFrame:
+def index_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words: int = 2_000_000) -> DataFrame:
     """shard, lang, n (words), words, starts, counts (of each word), bwt: an FM-index for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +188,9 @@ def _extension(depth: int):
     return run
 
 
-def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, inside_pct: int = 80, shard_words: int = 3_000_000) -> DataFrame:
+def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, inside_pct: int = 80, shard_words: int = 2_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases."""
+    small_batches(docs.sparkSession)
     shards = stage_table(index_shards(docs, text, lang, shard_words), "fm-shards")
     place = F.shiftleft("shard", 32)
     words = shards.select(place.alias("_base"), "lang", F.explode(F.arrays_zip("words", "starts", "counts")).alias("w")).select((F.col("_base") + F.col("w.starts")).alias("at"), F.col("w.counts").alias("c"), "lang", F.col("w.words").alias("word"))
