@@ -25,11 +25,26 @@ def order_key(c: Column) -> Column:
     return F.struct(kind.alias("kind"), near.alias("near"), rest.alias("rest"), c["t"].cast("binary").alias("t"), c["b"].alias("b"))
 
 
-def equality_key(c: Column) -> Column:
-    """Equal cells have equal keys: a real that is an integer equals it. Null and NaN equal nothing and have no key."""
-    whole = (F.abs(c["r"]) < F.lit(float(1 << 53))) & (F.floor(c["r"]) == c["r"])
+def nothing(c: Column) -> Column:
+    """Null and NaN, which equal nothing."""
+    return c["i"].isNull() & c["t"].isNull() & c["b"].isNull() & (c["r"].isNull() | F.isnan(c["r"]))
+
+
+def equality_key(c: Column, collation: str = "binary") -> Column:
+    """Equal cells have equal keys: a real that is an integer equals it. Null and NaN equal nothing and have no key.
+
+    Texts compare by collation: nocase folds ASCII letters and looks at what follows a NUL by its length alone; rtrim leaves
+    spaces at the end out.
+    """
+    whole = (c["r"] >= F.lit(-float(1 << 63))) & (c["r"] < F.lit(float(1 << 63))) & (F.floor(c["r"]) == c["r"])
     number = F.coalesce(c["i"].cast("string"), F.when(whole, c["r"].cast("bigint").cast("string")), F.when(~F.isnan(c["r"]), c["r"].cast("string")))
-    return F.coalesce(F.sha2(F.concat(F.lit("n"), number), 256), F.sha2(F.concat(F.lit("t"), c["t"]), 256), F.sha2(F.concat(F.lit("b"), F.hex(c["b"])), 256))
+    text = c["t"]
+    if collation == "nocase":
+        folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        text = F.concat(F.octet_length(text).cast("string"), F.lit(":"), F.substring_index(folded, "\0", 1), F.when(F.contains(text, F.lit("\0")), "\0").otherwise(""))
+    elif collation == "rtrim":
+        text = F.rtrim(text)
+    return F.coalesce(F.sha2(F.concat(F.lit("n"), number), 256), F.sha2(F.concat(F.lit("t"), text), 256), F.sha2(F.concat(F.lit("b"), F.hex(c["b"])), 256))
 
 
 def as_number(t: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import values as V
 
-from .joins import joined_text, listed, lookup
+from .joins import carried, children, is_unknown, joined_text, listed, lookup
 
 #: Boxes and address types of MMS, attendee states.
 MMS_BOXES = {1: "in", 2: "out", 3: "draft", 4: "out"}
@@ -19,34 +19,37 @@ ATTENDEES = {0: "none", 1: "accepted", 2: "declined", 3: "invited", 4: "tentativ
 
 def thread_members(threads: DataFrame, addresses: DataFrame) -> DataFrame:
     """thread, members, unresolved: the addresses behind a thread's ids; ids without an address are counted, not dropped."""
-    ids = threads.select(F.col("_id").alias("thread"), F.explode(F.split(F.trim("recipient_ids"), " +")).alias("_rid"))
+    ids = threads.where(~is_unknown(threads, "_id", "recipient_ids")).select(F.col("_id").alias("thread"), F.explode(F.split(F.trim("recipient_ids"), " +")).alias("_rid"))
     found = lookup(ids.withColumn("_rid", F.expr("try_cast(_rid AS bigint)")), "_rid", addresses, "_id", {"address": "address"}, "_state")
     return found.groupBy("thread").agg(listed(F.col("address")).alias("members"), F.sum((F.col("_state") != "found").cast("bigint")).alias("unresolved"))
 
 
 def sms(t: Mapping[str, DataFrame]) -> DataFrame:
-    members = thread_members(t["threads"], t["canonical_addresses"])
-    out = t["sms"].join(members, F.col("thread_id") == F.col("thread"), "left")
-    state = F.when(F.col("thread_id").isNull(), "none").when(F.col("thread").isNull(), "unresolved").when(F.col("unresolved") > 0, "partial").otherwise("found")
-    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("date"), "ms").alias("ts"), V.named(F.col("type"), V.SMS_DIRECTIONS).alias("direction"), F.col("type").alias("raw_type"), "address", "members", state.alias("thread_state"), "body")
+    threads = t["threads"]
+    members = thread_members(threads, t["canonical_addresses"])
+    # A thread whose id or members can't be read may be that of any message that finds none.
+    lost = threads.agg(F.count_if(is_unknown(threads, "_id", "recipient_ids"))).scalar() if carried(threads) else None
+    out = lookup(t["sms"], "thread_id", members, "thread", {"members": "members", "_bad": "unresolved"}, "thread_state", lost)
+    state = F.when((F.col("thread_state") == "found") & (F.col("_bad") > 0), "partial").otherwise(F.col("thread_state"))
+    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("date"), "ms").alias("ts"), V.named(F.col("type"), V.SMS_DIRECTIONS).alias("direction"), F.col("type").alias("raw_type"), "address", "members", state.alias("thread_state"), "body", *carried(out))
 
 
 def mms(t: Mapping[str, DataFrame]) -> DataFrame:
     """Messages with their addresses by role, their text parts in order, and how many other parts they have."""
     role = V.named(F.col("type"), MMS_ADDRESSES)
     of = lambda r: listed(F.when(role == r, F.col("address")))
-    people = t["addr"].groupBy(F.col("msg_id").alias("_a")).agg(of("from").alias("sender"), of("to").alias("receivers"), of("cc").alias("copies"))
+    out = children(t["pdu"], "_id", t["addr"], "msg_id", "addr", {"sender": of("from"), "receivers": of("to"), "copies": of("cc")}, ("address", "type"))
     text, layout = F.col("ct") == "text/plain", F.col("ct") == "application/smil"
-    parts = t["part"].groupBy(F.col("mid").alias("_p")).agg(joined_text(["seq", "_id"], F.when(text, F.col("text")), "\n").alias("body"), F.sum((~text & ~layout).cast("bigint")).alias("attachments"))
-    out = t["pdu"].join(people, F.col("_id") == F.col("_a"), "left").join(parts, F.col("_id") == F.col("_p"), "left")
-    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("date"), "s").alias("ts"), V.named(F.col("msg_box"), MMS_BOXES).alias("direction"), F.col("msg_box").alias("raw_box"), "sender", "receivers", "copies", "body", F.coalesce("attachments", F.lit(0)).cast("bigint").alias("attachments"))
+    body = joined_text(["seq", "_id"], F.when(text, F.col("text")), "\n")
+    out = children(out, "_id", t["part"], "mid", "part", {"body": body, "attachments": F.sum((~text & ~layout).cast("bigint"))}, ("ct", "text", "seq"), ("attachments",))
+    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("date"), "s").alias("ts"), V.named(F.col("msg_box"), MMS_BOXES).alias("direction"), F.col("msg_box").alias("raw_box"), "sender", "receivers", "copies", "body", "attachments", *carried(out))
 
 
 def calls(t: Mapping[str, DataFrame]) -> DataFrame:
     ts = V.unix_us(F.col("date"), "ms")
     direction = F.when(F.col("type") == 2, "out").when(F.col("type").isin(1, 3, 4, 5, 6, 7), "in").otherwise("unknown")
     end = F.when(F.col("duration") >= 0, ts + F.col("duration") * 1_000_000)
-    return t["calls"].select(F.col("_id").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), V.call_outcome(F.col("type"), F.col("duration")).alias("outcome"), F.col("type").alias("raw_type"), "number")
+    return t["calls"].select(F.col("_id").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), V.call_outcome(F.col("type"), F.col("duration")).alias("outcome"), F.col("type").alias("raw_type"), "number", *carried(t["calls"]))
 
 
 def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -54,16 +57,15 @@ def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
     rows = lookup(t["data"], "mimetype_id", t["mimetypes"], "_id", {"mimetype": "mimetype"}, "_state")
     kind = F.substring_index("mimetype", "/", -1)
     of = lambda k: listed(F.when(kind == k, F.col("data1")))
-    held = rows.groupBy(F.col("raw_contact_id").alias("_c")).agg(of("phone_v2").alias("phones"), of("email_v2").alias("emails"), F.sum((F.col("_state") != "found").cast("bigint")).alias("unknown"))
-    out = t["raw_contacts"].join(held, F.col("_id") == F.col("_c"), "left")
-    return out.select(F.col("_id").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), F.col("display_name").alias("name"), (F.col("deleted") == 1).alias("deleted"), "phones", "emails", F.coalesce("unknown", F.lit(0)).cast("bigint").alias("unknown"))
+    held = {"phones": of("phone_v2"), "emails": of("email_v2"), "unknown": F.sum((F.col("_state") != "found").cast("bigint"))}
+    out = children(t["raw_contacts"], "_id", rows, "raw_contact_id", "data", held, ("mimetype_id", "data1"), ("unknown",))
+    return out.select(F.col("_id").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), F.col("display_name").alias("name"), (F.col("deleted") == 1).alias("deleted"), "phones", "emails", "unknown", *carried(out))
 
 
 def calendar(t: Mapping[str, DataFrame]) -> DataFrame:
     """Events with their calendar, attendees by state and reminders in order; each child table is aggregated by event first."""
     state = V.named(F.col("attendeeStatus"), ATTENDEES)
-    guests = t["Attendees"].groupBy(F.col("event_id").alias("_g")).agg(listed(F.concat_ws("=", "attendeeEmail", state)).alias("attendees"))
-    alarms = t["Reminders"].groupBy(F.col("event_id").alias("_r")).agg(F.array_join(F.array_sort(F.collect_set("minutes")), ",").alias("reminders"))
     out = lookup(t["Events"], "calendar_id", t["Calendars"], "_id", {"calendar": "calendar_displayName"}, "calendar_state")
-    out = out.join(guests, F.col("_id") == F.col("_g"), "left").join(alarms, F.col("_id") == F.col("_r"), "left")
-    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("dtstart"), "ms").alias("ts"), V.unix_us(F.col("dtend"), "ms").alias("end_ts"), "title", "calendar", "calendar_state", (F.col("deleted") == 1).alias("deleted"), "attendees", "reminders")
+    out = children(out, "_id", t["Attendees"], "event_id", "Attendees", {"attendees": listed(F.concat_ws("=", "attendeeEmail", state))}, ("attendeeEmail", "attendeeStatus"))
+    out = children(out, "_id", t["Reminders"], "event_id", "Reminders", {"reminders": F.array_join(F.array_sort(F.collect_set("minutes")), ",")}, ("minutes",))
+    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("dtstart"), "ms").alias("ts"), V.unix_us(F.col("dtend"), "ms").alias("end_ts"), "title", "calendar", "calendar_state", (F.col("deleted") == 1).alias("deleted"), "attendees", "reminders", *carried(out))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import values as V
 
-from .joins import lookup
+from .joins import absent, carried, children, lookup
 
 #: Bits of a page transition, and states of a download.
 QUALIFIERS = {0x00800000: "blocked", 0x01000000: "forward_back", 0x02000000: "from_address_bar", 0x04000000: "home_page", 0x08000000: "from_api", 0x10000000: "chain_start", 0x20000000: "chain_end", 0x40000000: "client_redirect", 0x80000000: "server_redirect"}
@@ -21,36 +21,36 @@ def qualifiers(transition: Column) -> Column:
 
 
 def chromium_visits(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Visits with their URL, and URLs that no visit names (by an anti join)."""
-    visits = lookup(t["visits"].withColumnRenamed("url", "url_id"), "url_id", t["urls"], "id", {"url": "url", "title": "title"}, "url_state")
-    seen = visits.select(F.lit("visit").alias("kind"), F.col("id").alias("rowid"), V.webkit_us(F.col("visit_time")).alias("ts"), "url", "title", "url_state", V.transition_core(F.col("transition")).alias("core"), qualifiers(F.col("transition")).alias("qualifiers"))
-    idle = t["urls"].join(t["visits"].select(F.col("url").alias("_u")), F.col("id") == F.col("_u"), "left_anti")
-    return seen.unionByName(idle.select(F.lit("url").alias("kind"), F.col("id").alias("rowid"), V.webkit_us(F.col("last_visit_time")).alias("ts"), "url", "title", F.lit("found").alias("url_state")), allowMissingColumns=True)
+    """Visits with their URL, and URLs that no visit names (by an anti join); where visits' URLs are unknown, these may have visits."""
+    visits = lookup(t["visits"].withColumnRenamed("url", "url_id"), "url_id", t["urls"], "id", {"url": "url", "title": "title"}, "url_state", cell="url")
+    seen = visits.select(F.lit("visit").alias("kind"), F.col("id").alias("rowid"), V.webkit_us(F.col("visit_time")).alias("ts"), "url", "title", "url_state", V.transition_core(F.col("transition")).alias("core"), qualifiers(F.col("transition")).alias("qualifiers"), *carried(visits))
+    idle = absent(t["urls"], "id", t["visits"], "url", "visits")
+    return seen.unionByName(idle.select(F.lit("url").alias("kind"), F.col("id").alias("rowid"), V.webkit_us(F.col("last_visit_time")).alias("ts"), "url", "title", F.lit("found").alias("url_state"), *carried(idle)), allowMissingColumns=True)
 
 
 def chromium_downloads(t: Mapping[str, DataFrame]) -> DataFrame:
     """Downloads with the first and the last URL of their chain and its length; of hops with the same index, the URLs' order decides."""
-    chain = t["downloads_url_chains"].groupBy(F.col("id").alias("_id")).agg(F.min_by("url", F.struct("chain_index", "url")).alias("first_url"), F.max_by("url", F.struct("chain_index", "url")).alias("last_url"), F.count("*").alias("hops"))
-    out = t["downloads"].join(chain, F.col("id") == F.col("_id"), "left")
-    return out.select(F.col("id").alias("rowid"), V.webkit_us(F.col("start_time")).alias("ts"), V.named(F.col("state"), DOWNLOADS).alias("state"), F.col("state").alias("raw_state"), "target_path", "first_url", "last_url", F.coalesce("hops", F.lit(0)).cast("bigint").alias("hops"))
+    hop = F.struct("chain_index", "url")
+    out = children(t["downloads"], "id", t["downloads_url_chains"], "id", "downloads_url_chains", {"first_url": F.min_by("url", hop), "last_url": F.max_by("url", hop), "hops": F.count("*")}, ("chain_index", "url"), ("hops",))
+    return out.select(F.col("id").alias("rowid"), V.webkit_us(F.col("start_time")).alias("ts"), V.named(F.col("state"), DOWNLOADS).alias("state"), F.col("state").alias("raw_state"), "target_path", "first_url", "last_url", "hops", *carried(out))
 
 
 def safari_history(t: Mapping[str, DataFrame]) -> DataFrame:
     """Visits with their item, items without a visit, and tombstones as deleted ranges."""
     us = lambda c: V.plausible((F.col(c) * 1_000_000).cast("bigint") + V.COCOA * 1_000_000)
-    visits = lookup(t["history_visits"].select("id", "history_item", "visit_time", "title"), "history_item", t["history_items"], "id", {"url": "url"}, "item_state")
-    out = visits.select(F.lit("visit").alias("kind"), F.col("id").alias("rowid"), us("visit_time").alias("ts"), F.lit(None).cast("bigint").alias("end_ts"), "url", "title", "item_state", F.lit(False).alias("deleted"))
-    idle = t["history_items"].join(t["history_visits"].select(F.col("history_item").alias("_i")), F.col("id") == F.col("_i"), "left_anti")
-    out = out.unionByName(idle.select(F.lit("item").alias("kind"), F.col("id").alias("rowid"), "url", F.lit("found").alias("item_state"), F.lit(False).alias("deleted")), allowMissingColumns=True)
+    visits = lookup(t["history_visits"].select("id", "history_item", "visit_time", "title", *carried(t["history_visits"])), "history_item", t["history_items"], "id", {"url": "url"}, "item_state")
+    out = visits.select(F.lit("visit").alias("kind"), F.col("id").alias("rowid"), us("visit_time").alias("ts"), F.lit(None).cast("bigint").alias("end_ts"), "url", "title", "item_state", F.lit(False).alias("deleted"), *carried(visits))
+    idle = absent(t["history_items"], "id", t["history_visits"], "history_item", "history_visits")
+    out = out.unionByName(idle.select(F.lit("item").alias("kind"), F.col("id").alias("rowid"), "url", F.lit("found").alias("item_state"), F.lit(False).alias("deleted"), *carried(idle)), allowMissingColumns=True)
     if "history_tombstones" in t:  # absent in older schemas
-        out = out.unionByName(t["history_tombstones"].select(F.lit("tombstone").alias("kind"), F.col("id").alias("rowid"), us("start_time").alias("ts"), us("end_time").alias("end_ts"), "url", F.lit(True).alias("deleted")), allowMissingColumns=True)
+        out = out.unionByName(t["history_tombstones"].select(F.lit("tombstone").alias("kind"), F.col("id").alias("rowid"), us("start_time").alias("ts"), us("end_time").alias("end_ts"), "url", F.lit(True).alias("deleted"), *carried(t["history_tombstones"])), allowMissingColumns=True)
     return out
 
 
 def chromium_searches(t: Mapping[str, DataFrame]) -> DataFrame:
     """Search terms with the page that they led to; its last visit is their time."""
     out = lookup(t["keyword_search_terms"], "url_id", t["urls"], "id", {"url": "url", "_last": "last_visit_time"}, "url_state")
-    return out.select(F.col("keyword_id").alias("rowid"), V.webkit_us(F.col("_last")).alias("ts"), "term", "url", "url_state")
+    return out.select(F.col("keyword_id").alias("rowid"), V.webkit_us(F.col("_last")).alias("ts"), "term", "url", "url_state", *carried(out))
 
 
 #: How a download was judged, why it was interrupted, and the browsers of app packages.

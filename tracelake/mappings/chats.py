@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import texts as T
 from tracelake.functions import values as V
 
-from .joins import listed, lookup
+from .joins import carried, children, listed, lookup, marked
 
 #: Results of calls.
 CALL_RESULTS = {2: "rejected", 4: "missed", 5: "answered", 3: "unavailable"}
@@ -35,36 +35,33 @@ def whatsapp_messages(t: Mapping[str, DataFrame]) -> DataFrame:
     chats = lookup(t["chat"], "jid_row_id", t["jid"], "_id", {"_chat": "raw_string"}, "_s")
     out = lookup(t["message"], "chat_row_id", chats, "_id", {"chat": "_chat", "subject": "subject"}, "chat_state")
     out = lookup(out, "sender_jid_row_id", t["jid"], "_id", {"sender": "raw_string"}, "sender_state")
-    media = t["message_media"].groupBy(F.col("message_row_id").alias("_m")).agg(listed(F.col("file_path")).alias("media"))
-    quoted = t["message_quoted"].groupBy(F.col("message_row_id").alias("_q")).agg(F.min("key_id").alias("quotes"))
-    revoked = t["message_revoked"].select(F.col("message_row_id").alias("_v")).distinct()
-    reactions = t["message_add_on"].groupBy(F.col("parent_message_row_id").alias("_r")).agg(listed(F.col("reaction")).alias("reactions"))
-    for child, key in ((media, "_m"), (quoted, "_q"), (revoked, "_v"), (reactions, "_r")):
-        out = out.join(child, F.col("_id") == F.col(key), "left")
+    out = children(out, "_id", t["message_media"], "message_row_id", "message_media", {"media": listed(F.col("file_path"))}, ("file_path",))
+    out = children(out, "_id", t["message_quoted"], "message_row_id", "message_quoted", {"quotes": F.min("key_id")}, ("key_id",))
+    out = marked(out, "_id", t["message_revoked"], "message_row_id", "message_revoked", "revoked")
+    out = children(out, "_id", t["message_add_on"], "parent_message_row_id", "message_add_on", {"reactions": listed(F.col("reaction"))}, ("reaction",))
     out = out.join(purge_bounds(t["deleted_chat_job"]).withColumnRenamed("chat", "_job"), F.col("chat_row_id") == F.col("_job"), "left")
     bound = F.when(F.col("starred") == 1, F.col("purged_starred_to")).otherwise(F.col("purged_to"))
     covered = F.coalesce(F.col("_id") <= bound, F.lit(False))
     return out.select(
         F.col("_id").alias("rowid"), V.unix_us(F.col("timestamp"), "ms").alias("ts"), _direction("from_me").alias("direction"), "chat", "subject", "chat_state", "sender", "sender_state",
-        F.col("text_data").alias("body"), "media", "quotes", "reactions", F.col("_v").isNotNull().alias("revoked"), covered.alias("purged"),
+        F.col("text_data").alias("body"), "media", "quotes", "reactions", "revoked", covered.alias("purged"), *carried(out),
     )
 
 
 def whatsapp_calls(t: Mapping[str, DataFrame]) -> DataFrame:
     out = lookup(t["call_log"], "jid_row_id", t["jid"], "_id", {"address": "raw_string"}, "address_state")
     people = lookup(t["call_log_participant_v2"], "jid_row_id", t["jid"], "_id", {"_who": "raw_string"}, "_s")
-    people = people.groupBy(F.col("call_log_row_id").alias("_p")).agg(listed(F.col("_who")).alias("participants"))
     ts = V.unix_us(F.col("timestamp"), "ms")
     end = F.when(F.col("duration") >= 0, ts + F.col("duration") * 1_000_000)
-    out = out.join(people, F.col("_id") == F.col("_p"), "left")
-    return out.select(F.col("_id").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), _direction("from_me").alias("direction"), V.named(F.col("call_result"), CALL_RESULTS).alias("outcome"), (F.col("video_call") == 1).alias("video"), "address", "address_state", "participants")
+    out = children(out, "_id", people, "call_log_row_id", "call_log_participant_v2", {"participants": listed(F.col("_who"))}, ("jid_row_id", "_who"))
+    return out.select(F.col("_id").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), _direction("from_me").alias("direction"), V.named(F.col("call_result"), CALL_RESULTS).alias("outcome"), (F.col("video_call") == 1).alias("video"), "address", "address_state", "participants", *carried(out))
 
 
 def whatsapp_contacts(t: Mapping[str, DataFrame]) -> DataFrame:
     """Contacts with the parts of their address; the name shown is the user's own, else the contact's."""
     j = V.jid_parts(F.col("jid"))
     name = F.coalesce(F.nullif("display_name", F.lit("")), F.nullif("wa_name", F.lit("")))
-    return t["wa_contacts"].select(F.col("_id").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "number", j["user"].alias("user"), j["server"].alias("server"), (F.col("is_whatsapp_user") == 1).alias("uses_app"))
+    return t["wa_contacts"].select(F.col("_id").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "number", j["user"].alias("user"), j["server"].alias("server"), (F.col("is_whatsapp_user") == 1).alias("uses_app"), *carried(t["wa_contacts"]))
 
 
 def ios_whatsapp_messages(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -74,7 +71,7 @@ def ios_whatsapp_messages(t: Mapping[str, DataFrame]) -> DataFrame:
     out = lookup(out, "ZGROUPMEMBER", t["ZWAGROUPMEMBER"], "Z_PK", {"member": "ZMEMBERJID"}, "member_state")
     out = lookup(out, "ZMEDIAITEM", t["ZWAMEDIAITEM"], "Z_PK", {"media": "ZMEDIALOCALPATH"}, "media_state")
     sender = F.when(F.col("ZISFROMME") == 0, F.coalesce("member", "chat"))
-    return out.select(F.col("Z_PK").alias("rowid"), T.cocoa_us(F.col("ZMESSAGEDATE").cast("double")).alias("ts"), _direction("ZISFROMME").alias("direction"), "chat", "partner", "chat_state", sender.alias("sender"), "member_state", "media", "media_state", F.col("ZTEXT").alias("body"))
+    return out.select(F.col("Z_PK").alias("rowid"), T.cocoa_us(F.col("ZMESSAGEDATE").cast("double")).alias("ts"), _direction("ZISFROMME").alias("direction"), "chat", "partner", "chat_state", sender.alias("sender"), "member_state", "media", "media_state", F.col("ZTEXT").alias("body"), *carried(out))
 
 
 def ios_whatsapp_calls(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -87,7 +84,7 @@ def ios_whatsapp_calls(t: Mapping[str, DataFrame]) -> DataFrame:
     direction = F.when(state != "aggregate", "unknown").when(F.col("_in") == 1, "in").when(F.col("_in") == 0, "out").otherwise("unknown")
     ts = T.cocoa_us(F.col("ZDATE").cast("double"))
     end = F.when(F.col("ZDURATION") >= 0, ts + (F.col("ZDURATION") * 1_000_000).cast("bigint"))
-    return out.select(F.col("Z_PK").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), state.alias("direction_state"), (F.col("_video") == 1).alias("video"), F.col("ZOUTCOME").alias("raw_outcome"))
+    return out.select(F.col("Z_PK").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), state.alias("direction_state"), (F.col("_video") == 1).alias("video"), F.col("ZOUTCOME").alias("raw_outcome"), *carried(out))
 
 
 def call_aggregates(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -103,7 +100,7 @@ def call_aggregates(t: Mapping[str, DataFrame]) -> DataFrame:
 
 def ios_whatsapp_contacts(t: Mapping[str, DataFrame]) -> DataFrame:
     j = V.jid_parts(F.col("ZWHATSAPPID"))
-    return t["ZWAADDRESSBOOKCONTACT"].select(F.col("Z_PK").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), F.col("ZFULLNAME").alias("name"), F.col("ZPHONENUMBER").alias("number"), j["user"].alias("user"), j["server"].alias("server"))
+    return t["ZWAADDRESSBOOKCONTACT"].select(F.col("Z_PK").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), F.col("ZFULLNAME").alias("name"), F.col("ZPHONENUMBER").alias("number"), j["user"].alias("user"), j["server"].alias("server"), *carried(t["ZWAADDRESSBOOKCONTACT"]))
 
 
 def telegram_messages(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -116,9 +113,9 @@ def telegram_messages(t: Mapping[str, DataFrame]) -> DataFrame:
     out = lookup(out, "_u", t["users"], "uid", {"_un": "name"}, "_us")
     out = lookup(out, "_c", t["chats"], "uid", {"_cn": "name"}, "_cs")
     state = F.when(F.col("_kind") == "chat", F.col("_cs")).when((F.col("_kind") == "secret") & (F.col("_es") != "found"), F.col("_es")).otherwise(F.col("_us"))
-    return out.select(F.col("mid").alias("rowid"), V.unix_us(F.col("date"), "s").alias("ts"), _direction("out").alias("direction"), F.col("_kind").alias("dialog_kind"), F.coalesce("_un", "_cn").alias("dialog"), state.alias("dialog_state"), F.col("message").alias("body"))
+    return out.select(F.col("mid").alias("rowid"), V.unix_us(F.col("date"), "s").alias("ts"), _direction("out").alias("direction"), F.col("_kind").alias("dialog_kind"), F.coalesce("_un", "_cn").alias("dialog"), state.alias("dialog_state"), F.col("message").alias("body"), *carried(out))
 
 
 def telegram_contacts(t: Mapping[str, DataFrame]) -> DataFrame:
     out = lookup(t["contacts"], "uid", t["users"], "uid", {"name": "name", "phone": "phone"}, "user_state")
-    return out.select(F.col("uid").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), "name", "phone", (F.col("mutual") == 1).alias("mutual"), "user_state")
+    return out.select(F.col("uid").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), "name", "phone", (F.col("mutual") == 1).alias("mutual"), "user_state", *carried(out))

@@ -10,31 +10,34 @@ from pyspark.sql import functions as F
 from tracelake.functions import texts as T
 from tracelake.functions import values as V
 
-from .joins import listed, lookup
+from .joins import SHORT, UNDECIDED, carried, children, listed, lookup, marked
 
 
 def messages(t: Mapping[str, DataFrame]) -> DataFrame:
     """Messages with their handle, the members of their chats, their attachments, and whether they are marked deleted."""
     out = lookup(t["message"], "handle_id", t["handle"], "ROWID", {"address": "id"}, "handle_state")
     if "chat_handle_join" in t:
-        people = t["chat_handle_join"].select(F.col("chat_id").alias("_chat"), "handle_id")
-        people = lookup(people, "handle_id", t["handle"], "ROWID", {"_member": "id"}, "_state").groupBy("_chat").agg(listed(F.col("_member")).alias("members"))
-        chats = t["chat_message_join"].join(people, F.col("chat_id") == F.col("_chat"))
-        chats = chats.groupBy(F.col("message_id").alias("_m")).agg(F.min_by("members", "chat_id").alias("members"), F.count_distinct("chat_id").alias("chats"))
-        out = out.join(chats, F.col("ROWID") == F.col("_m"), "left").drop("_m")
+        links, people = t["chat_message_join"], t["chat_handle_join"].withColumnRenamed("chat_id", "_chat")
+        people = lookup(people, "handle_id", t["handle"], "ROWID", {"_member": "id"}, "_state")
+        chats = children(links, "chat_id", people, "_chat", "chat_handle_join", {"_people": listed(F.col("_member"))}, ("handle_id", "_member"))
+        # The members of a message's chat aren't known where the chat's aren't; a chat without any member is no chat here.
+        told = F.col("_people").isNotNull()
+        if UNDECIDED in chats.columns:
+            told = told | F.array_contains(UNDECIDED, "chat_handle_join") | F.array_contains(SHORT, "chat_handle_join")
+        held = chats.where(told)
+        out = children(out, "ROWID", held, "message_id", "chat_message_join", {"members": F.min_by("_people", "chat_id"), "chats": F.count_distinct("chat_id")}, ("chat_id",), ("chats",))
     else:
-        out = out.withColumns({"members": F.lit(None).cast("string"), "chats": F.lit(None).cast("bigint")})
+        out = out.withColumns({"members": F.lit(None).cast("string"), "chats": F.lit(0).cast("bigint")})
     if "message_attachment_join" in t:
-        files = t["message_attachment_join"].groupBy(F.col("message_id").alias("_f")).agg(F.count_distinct("attachment_id").alias("attachments"))
-        out = out.join(files, F.col("ROWID") == F.col("_f"), "left").drop("_f")
+        out = children(out, "ROWID", t["message_attachment_join"], "message_id", "message_attachment_join", {"attachments": F.count_distinct("attachment_id")}, ("attachment_id",), ("attachments",))
     else:
-        out = out.withColumn("attachments", F.lit(None).cast("bigint"))
-    gone = F.lit(False)
+        out = out.withColumn("attachments", F.lit(0).cast("bigint"))
     if "chat_recoverable_message_join" in t:  # newer schemas
-        marked = t["chat_recoverable_message_join"].select(F.col("message_id").alias("_d")).distinct()
-        out, gone = out.join(marked, F.col("ROWID") == F.col("_d"), "left"), F.col("_d").isNotNull()
+        out = marked(out, "ROWID", t["chat_recoverable_message_join"], "message_id", "chat_recoverable_message_join", "_gone")
+    else:
+        out = out.withColumn("_gone", F.lit(False))
     direction = F.when(F.col("is_from_me") == 1, "out").when(F.col("is_from_me") == 0, "in").otherwise("unknown")
-    return out.select(F.col("ROWID").alias("rowid"), V.cocoa_auto_us(F.col("date")).alias("ts"), direction.alias("direction"), "address", "handle_state", "members", F.coalesce("chats", F.lit(0)).cast("bigint").alias("chats"), F.coalesce("attachments", F.lit(0)).cast("bigint").alias("attachments"), gone.alias("deleted"))
+    return out.select(F.col("ROWID").alias("rowid"), V.cocoa_auto_us(F.col("date")).alias("ts"), direction.alias("direction"), "address", "handle_state", "members", "chats", "attachments", F.col("_gone").alias("deleted"), *carried(out))
 
 
 #: Kinds of calls, properties of contact values.
@@ -50,7 +53,7 @@ def calls(t: Mapping[str, DataFrame]) -> DataFrame:
     ts = T.cocoa_us(F.col("ZDATE").cast("double"))
     end = F.when(F.col("ZDURATION") >= 0, ts + (F.col("ZDURATION") * 1_000_000).cast("bigint"))
     kind = V.named(F.col("ZCALLTYPE"), CALL_KINDS)
-    return t["ZCALLRECORD"].select(F.col("Z_PK").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), outcome.alias("outcome"), kind.alias("kind"), F.col("ZADDRESS").alias("address"))
+    return t["ZCALLRECORD"].select(F.col("Z_PK").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), outcome.alias("outcome"), kind.alias("kind"), F.col("ZADDRESS").alias("address"), *carried(t["ZCALLRECORD"]))
 
 
 def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -58,12 +61,12 @@ def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
     values = lookup(t["ABMultiValue"], "label", t["ABMultiValueLabel"], "ROWID", {"_label": "value"}, "_state")
     shown = F.concat_ws("=", T.unwrap_label(F.coalesce("_label", F.lit(""))), "value")
     of = lambda kind: listed(F.when(F.col("property") == kind, shown))
-    held = values.groupBy(F.col("record_id").alias("_v")).agg(of(PHONE).alias("phones"), of(EMAIL).alias("emails"), F.count_if(F.col("_state") == "unresolved").alias("unlabelled"))
+    held = {"phones": of(PHONE), "emails": of(EMAIL), "unlabelled": F.count_if(F.col("_state") == "unresolved")}
     groups = lookup(t["ABGroupMembers"], "group_id", t["ABGroup"], "ROWID", {"_group": "Name"}, "_state")
-    groups = groups.groupBy(F.col("member_id").alias("_g")).agg(listed(F.col("_group")).alias("groups"))
-    out = t["ABPerson"].join(held, F.col("ROWID") == F.col("_v"), "left").join(groups, F.col("ROWID") == F.col("_g"), "left")
+    out = children(t["ABPerson"], "ROWID", values, "record_id", "ABMultiValue", held, ("property", "label", "value"), ("unlabelled",))
+    out = children(out, "ROWID", groups, "member_id", "ABGroupMembers", {"groups": listed(F.col("_group"))}, ("group_id",))
     name = F.concat_ws(" ", "First", "Last")
-    return out.select(F.col("ROWID").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "phones", "emails", "groups", F.coalesce("unlabelled", F.lit(0)).alias("unlabelled"))
+    return out.select(F.col("ROWID").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "phones", "emails", "groups", "unlabelled", *carried(out))
 
 
 def calendar(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -71,15 +74,13 @@ def calendar(t: Mapping[str, DataFrame]) -> DataFrame:
     out = lookup(t["CalendarItem"], "calendar_id", t["Calendar"], "ROWID", {"calendar": "title"}, "calendar_state")
     out = lookup(out, "location_id", t["Location"], "ROWID", {"location": "title"}, "location_state")
     people = lookup(t["Participant"], "identity_id", t["Identity"], "ROWID", {"_who": "display_name"}, "_state")
-    people = people.groupBy(F.col("owner_id").alias("_p")).agg(listed(F.col("_who")).alias("attendees"), F.count_if(F.col("_state") != "found").alias("unresolved"))
-    alarms = t["Alarm"].groupBy(F.col("calendaritem_owner_id").alias("_a")).agg(F.array_join(F.array_sort(F.collect_set("trigger_interval")), ",").alias("alarms"))
-    rules = t["Recurrence"].groupBy(F.col("owner_id").alias("_r")).agg(F.min("frequency").alias("frequency"))
-    but = t["ExceptionDate"].groupBy(F.col("owner_id").alias("_x")).agg(F.count_distinct("date").alias("left_out"))
-    for child, key in ((people, "_p"), (alarms, "_a"), (rules, "_r"), (but, "_x")):
-        out = out.join(child, F.col("ROWID") == F.col(key), "left")
+    listing = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    out = children(out, "ROWID", people, "owner_id", "Participant", {"attendees": listed(F.col("_who")), "unresolved": F.count_if(F.col("_state") != "found")}, ("identity_id",), ("unresolved",))
+    out = children(out, "ROWID", t["Alarm"], "calendaritem_owner_id", "Alarm", {"alarms": listing("trigger_interval")}, ("trigger_interval",))
+    out = children(out, "ROWID", t["Recurrence"], "owner_id", "Recurrence", {"frequency": F.min("frequency")}, ("frequency",))
+    out = children(out, "ROWID", t["ExceptionDate"], "owner_id", "ExceptionDate", {"left_out": F.count_distinct("date")}, ("date",), ("left_out",))
     time = lambda c: T.cocoa_us(F.col(c).cast("double"))
-    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return out.select(
         F.col("ROWID").alias("rowid"), time("start_date").alias("ts"), time("end_date").alias("end_ts"), F.col("summary").alias("title"), (F.col("all_day") == 1).alias("all_day"),
-        "calendar", "calendar_state", "location", "location_state", "attendees", count("unresolved"), "alarms", "frequency", count("left_out"),
+        "calendar", "calendar_state", "location", "location_state", "attendees", "unresolved", "alarms", "frequency", "left_out", *carried(out),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.payloads import Field, violation
 
 from . import android, browsers, chats, ios
+from .joins import carried, unknowns
 
 Tables = Mapping[str, DataFrame]
 
@@ -63,12 +64,12 @@ def probe(parser: Parser, tables: Tables) -> str:
 
 
 def records(parser: Parser, tables: Tables) -> DataFrame:
-    """parser, type, rowid, ts and the mapping's other columns as JSON."""
+    """parser, type, rowid, ts and the mapping's other columns as JSON, with what isn't known: unread cells and joins that nobody can decide."""
     if (state := probe(parser, tables)) != "applicable":
         raise ValueError(f"{parser.name}: {state}")
     out = parser.run(tables)
-    rest = [c for c in out.columns if c not in ("rowid", "ts")]
-    return out.select(F.lit(parser.name).alias("parser"), F.lit(parser.emits[0]).alias("type"), "rowid", "ts", F.to_json(F.struct(*rest)).alias("payload"))
+    rest = [c for c in out.columns if c not in ("rowid", "ts", *carried(out))]
+    return out.select(F.lit(parser.name).alias("parser"), F.lit(parser.emits[0]).alias("type"), "rowid", "ts", F.to_json(F.struct(*rest, *unknowns(out))).alias("payload"))
 
 
 def parser_hash(parser: Parser) -> str:
