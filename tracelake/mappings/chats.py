@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import texts as T
 from tracelake.functions import values as V
 
+from . import identity
 from .joins import carried, children, listed, lookup, marked
 
 #: Results of calls.
@@ -31,7 +32,11 @@ def purge_bounds(jobs: DataFrame) -> DataFrame:
 
 
 def whatsapp_messages(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Messages with chat and sender, media, what they quote, reactions, whether revoked, and whether a delete job covers them."""
+    """Messages with chat and sender, media, what they quote, reactions, whether revoked, and whether a delete job covers them.
+
+    With their tables, which not every version has: what the app itself says in a chat, places, cards, and what the aliases among
+    chat and sender stand for.
+    """
     chats = lookup(t["chat"], "jid_row_id", t["jid"], "_id", {"_chat": "raw_string"}, "_s")
     out = lookup(t["message"], "chat_row_id", chats, "_id", {"chat": "_chat", "subject": "subject"}, "chat_state")
     out = lookup(out, "sender_jid_row_id", t["jid"], "_id", {"sender": "raw_string"}, "sender_state")
@@ -41,10 +46,37 @@ def whatsapp_messages(t: Mapping[str, DataFrame]) -> DataFrame:
     out = children(out, "_id", t["message_add_on"], "parent_message_row_id", "message_add_on", {"reactions": listed(F.col("reaction"))}, ("reaction",))
     out = out.join(purge_bounds(t["deleted_chat_job"]).withColumnRenamed("chat", "_job"), F.col("chat_row_id") == F.col("_job"), "left")
     bound = F.when(F.col("starred") == 1, F.col("purged_starred_to")).otherwise(F.col("purged_to"))
-    covered = F.coalesce(F.col("_id") <= bound, F.lit(False))
+    out = out.withColumn("_covered", F.coalesce(F.col("_id") <= bound, F.lit(False)))
+    covered, more = F.col("_covered"), []
+    if "message_system" in t:
+        out = children(out, "_id", t["message_system"], "message_row_id", "message_system", {"system_action": F.min("action_type")}, ("action_type",))
+        more.append("system_action")
+    if "message_location" in t:
+        place = F.struct("latitude", "longitude")
+        out = children(out, "_id", t["message_location"], "message_row_id", "message_location", {"location": F.min(place)}, ("latitude", "longitude"))
+        more.append("location")
+    if "message_vcard" in t:
+        out = children(out, "_id", t["message_vcard"], "message_row_id", "message_vcard", {"cards": F.count("*")}, (), ("cards",))
+        more.append("cards")
+    if identity.SOURCE in t:
+        out = identity.resolved(identity.resolved(out, "chat", t, "_chat_alias"), "sender", t, "_sender_alias")
+        out = identity.stated(out, ["_chat_alias", "_sender_alias"])
+        more += ["lid_map", "lid_unmapped", "lid_unresolved", "lid_ambiguous", "lid_undecided"]
     return out.select(
         F.col("_id").alias("rowid"), V.unix_us(F.col("timestamp"), "ms").alias("ts"), _direction("from_me").alias("direction"), "chat", "subject", "chat_state", "sender", "sender_state",
-        F.col("text_data").alias("body"), "media", "quotes", "reactions", "revoked", covered.alias("purged"), *carried(out),
+        F.col("text_data").alias("body"), "media", "quotes", "reactions", "revoked", covered.alias("purged"), *more, *carried(out),
+    )
+
+
+def whatsapp_legacy_messages(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Messages of the older schema: chats are addresses, and what is quoted is a table of its own. Status 6 is a message of the app."""
+    out = lookup(t["messages"], "key_remote_jid", t["chat_list"], "key_remote_jid", {"subject": "subject"}, "chat_state")
+    out = lookup(out, "quoted_row_id", t["messages_quotes"], "_id", {"quotes": "data"}, "quote_state") if "quoted_row_id" in out.columns else out.withColumns({"quotes": F.lit(None).cast("string"), "quote_state": F.lit("none")})
+    status = F.col("status") if "status" in out.columns else F.lit(None).cast("int")
+    sender = F.when(F.col("key_from_me") == 0, F.coalesce(F.nullif("remote_resource", F.lit("")) if "remote_resource" in out.columns else F.lit(None), F.col("key_remote_jid")))
+    return out.select(
+        F.col("_id").alias("rowid"), V.unix_us(F.col("timestamp"), "ms").alias("ts"), _direction("key_from_me").alias("direction"), F.col("key_remote_jid").alias("chat"), "subject", "chat_state", sender.alias("sender"),
+        F.col("data").alias("body"), "quotes", "quote_state", F.coalesce(status == 6, F.lit(False)).alias("system"), *carried(out),
     )
 
 
@@ -53,8 +85,16 @@ def whatsapp_calls(t: Mapping[str, DataFrame]) -> DataFrame:
     people = lookup(t["call_log_participant_v2"], "jid_row_id", t["jid"], "_id", {"_who": "raw_string"}, "_s")
     ts = V.unix_us(F.col("timestamp"), "ms")
     end = F.when(F.col("duration") >= 0, ts + F.col("duration") * 1_000_000)
-    out = children(out, "_id", people, "call_log_row_id", "call_log_participant_v2", {"participants": listed(F.col("_who"))}, ("jid_row_id", "_who"))
-    return out.select(F.col("_id").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), _direction("from_me").alias("direction"), V.named(F.col("call_result"), CALL_RESULTS).alias("outcome"), (F.col("video_call") == 1).alias("video"), "address", "address_state", "participants", *carried(out))
+    more = []
+    if identity.SOURCE in t:
+        people = identity.resolved(people, "_who", t, "_alias")
+        more = ["lid_map", "lid_unmapped", "lid_unresolved", "lid_ambiguous", "lid_undecided"]
+    who = {"participants": listed(F.col("_who"))} | ({"_aliases_of": F.collect_set("_alias")} if more else {})
+    out = children(out, "_id", people, "call_log_row_id", "call_log_participant_v2", who, ("jid_row_id", "_who"))
+    if more:
+        out = identity.resolved(out, "address", t, "_own_alias")
+        out = identity.stated(out.withColumn("_aliases_of", F.coalesce("_aliases_of", F.array().cast(out.schema["_aliases_of"].dataType))), ["_own_alias", "_aliases_of"])
+    return out.select(F.col("_id").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), _direction("from_me").alias("direction"), V.named(F.col("call_result"), CALL_RESULTS).alias("outcome"), (F.col("video_call") == 1).alias("video"), "address", "address_state", "participants", *more, *carried(out))
 
 
 def whatsapp_contacts(t: Mapping[str, DataFrame]) -> DataFrame:

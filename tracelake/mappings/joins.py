@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN, JOINED, UNDECIDED, SHORT = "_unknown", "_joined_unknown", "_undecided", "_short"
+#: Goes along as well: the facts of a recovered row.
+FACTS = "_facts"
 _EMPTY = {UNKNOWN: "map<string,string>", JOINED: "map<string,string>", UNDECIDED: "array<string>", SHORT: "array<string>"}
 
 
 def carried(rows: DataFrame) -> list[str]:
     """The bookkeeping columns that rows have: for the select of a mapping."""
-    return [c for c in _EMPTY if c in rows.columns]
+    return [c for c in (*_EMPTY, FACTS) if c in rows.columns]
 
 
 def _books(rows: DataFrame) -> DataFrame:

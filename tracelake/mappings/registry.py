@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.payloads import Field, violation
 
 from . import android, browsers, chats, ios
-from .joins import carried, unknowns
+from .joins import FACTS, carried, unknowns
 
 Tables = Mapping[str, DataFrame]
 
@@ -44,6 +45,7 @@ PARSERS = {
         Parser("ios.addressbook", "1", ("contact",), {"ABPerson": ("ROWID", "First", "Last"), "ABMultiValue": ("record_id", "property", "label", "value"), "ABMultiValueLabel": ("ROWID", "value"), "ABGroupMembers": ("group_id", "member_id"), "ABGroup": ("ROWID", "Name")}, ios.contacts),
         Parser("ios.calendar", "1", ("calendar_event",), {"CalendarItem": ("ROWID", "start_date", "end_date", "calendar_id", "location_id"), "Calendar": ("ROWID", "title"), "Location": ("ROWID", "title"), "Participant": ("owner_id", "identity_id"), "Identity": ("ROWID", "display_name"), "Alarm": ("calendaritem_owner_id", "trigger_interval"), "Recurrence": ("owner_id", "frequency"), "ExceptionDate": ("owner_id", "date")}, ios.calendar),
         Parser("android.whatsapp.msgstore", "1", ("message",), {"message": ("_id", "chat_row_id", "from_me", "timestamp", "sender_jid_row_id"), "chat": ("_id", "jid_row_id", "subject"), "jid": ("_id", "raw_string"), "message_media": ("message_row_id", "file_path"), "message_quoted": ("message_row_id", "key_id"), "message_revoked": ("message_row_id",), "message_add_on": ("parent_message_row_id", "reaction"), "deleted_chat_job": ("_id", "chat_row_id", "deleted_message_row_id", "deleted_starred_message_row_id")}, chats.whatsapp_messages),
+        Parser("android.whatsapp.msgstore.legacy", "1", ("message",), {"messages": ("_id", "key_remote_jid", "key_from_me", "timestamp", "data"), "chat_list": ("key_remote_jid", "subject"), "messages_quotes": ("_id", "data")}, chats.whatsapp_legacy_messages),
         Parser("android.whatsapp.calls", "1", ("call",), {"call_log": ("_id", "jid_row_id", "from_me", "timestamp", "duration", "call_result", "video_call"), "call_log_participant_v2": ("call_log_row_id", "jid_row_id"), "jid": ("_id", "raw_string")}, chats.whatsapp_calls),
         Parser("android.whatsapp.contacts", "1", ("contact",), {"wa_contacts": ("_id", "jid", "number", "display_name", "wa_name", "is_whatsapp_user")}, chats.whatsapp_contacts),
         Parser("ios.whatsapp.chats", "1", ("message",), {"ZWAMESSAGE": ("Z_PK", "ZCHATSESSION", "ZISFROMME", "ZMESSAGEDATE", "ZTEXT", "ZGROUPMEMBER", "ZMEDIAITEM"), "ZWACHATSESSION": ("Z_PK", "ZCONTACTJID", "ZPARTNERNAME"), "ZWAGROUPMEMBER": ("Z_PK", "ZMEMBERJID"), "ZWAMEDIAITEM": ("Z_PK", "ZMEDIALOCALPATH")}, chats.ios_whatsapp_messages),
@@ -63,18 +65,28 @@ def probe(parser: Parser, tables: Tables) -> str:
     return "applicable" if whole else "unsupported-schema"
 
 
-def records(parser: Parser, tables: Tables) -> DataFrame:
-    """parser, type, rowid, ts and the mapping's other columns as JSON, with what isn't known: unread cells and joins that nobody can decide."""
+def records(parser: Parser, tables: Tables, name: str | None = None) -> DataFrame:
+    """parser, type, rowid, ts and the mapping's other columns as JSON, with what isn't known: unread cells and joins that nobody can decide.
+
+    Rows that carry the facts of a recovery give them as ``recovery``.
+    """
     if (state := probe(parser, tables)) != "applicable":
         raise ValueError(f"{parser.name}: {state}")
     out = parser.run(tables)
     rest = [c for c in out.columns if c not in ("rowid", "ts", *carried(out))]
-    return out.select(F.lit(parser.name).alias("parser"), F.lit(parser.emits[0]).alias("type"), "rowid", "ts", F.to_json(F.struct(*rest, *unknowns(out))).alias("payload"))
+    facts = [F.col(FACTS).alias("recovery")] if FACTS in out.columns else []
+    return out.select(F.lit(name or parser.name).alias("parser"), F.lit(parser.emits[0]).alias("type"), "rowid", "ts", F.to_json(F.struct(*rest, *unknowns(out))).alias("payload"), *facts)
+
+
+def claimed(spark: SparkSession) -> DataFrame:
+    """parser, platform, name of the table that each parser drives; what both platforms have (browsers) counts on both."""
+    rows = [(p.name, platform, next(iter(p.needs))) for p in PARSERS.values() for platform in ([p.name.split(".")[0]] if p.name.startswith(("android.", "ios.")) else ["android", "ios"])]
+    return spark.createDataFrame(rows, "parser string, platform string, name string")
 
 
 def parser_hash(parser: Parser) -> str:
-    """A digest of what a parser is called, needs and emits: another one is another parser."""
-    what = [parser.name, parser.version, sorted(parser.emits), sorted((t, sorted(c)) for t, c in parser.needs.items())]
+    """A digest of what a parser is called, needs and emits, and of the code of its mapping: another one is another parser."""
+    what = [parser.name, parser.version, sorted(parser.emits), sorted((t, sorted(c)) for t, c in parser.needs.items()), inspect.getsource(parser.run)]
     return hashlib.sha256(json.dumps(what).encode()).hexdigest()
 
 
@@ -89,10 +101,14 @@ def register_type(name: str, fields: tuple[Field, ...]) -> None:
     TYPES[name] = fields
 
 
-register_type("message", (Field("direction", values=("in", "out", "draft", "unknown"), required=True),))
-register_type("call", (Field("direction", values=("in", "out", "unknown"), required=True), Field("outcome")))
-for _name in ("contact", "web_visit", "web_search", "download", "calendar_event"):
-    register_type(_name, ())
+_DIRECTION = Field("direction", values=("in", "out", "draft", "unknown"), required=True)
+register_type("message", (_DIRECTION, Field("attachments", kind="number")))
+register_type("call", (Field("direction", values=("in", "out", "unknown"), required=True), Field("outcome", values=("answered", "missed", "rejected", "blocked", "voicemail", "cancelled", "unavailable", "unknown")), Field("kind", values=("voice", "video", "audio", "unknown"))))
+register_type("contact", (Field("name"), Field("deleted", kind="bool"), Field("mutual", kind="bool"), Field("uses_app", kind="bool")))
+register_type("web_visit", (Field("kind", values=("visit", "url", "item", "tombstone"), required=True), Field("url"), Field("deleted", kind="bool")))
+register_type("web_search", (Field("term", required=True), Field("url")))
+register_type("download", (Field("state", values=("in_progress", "complete", "cancelled", "interrupted", "unknown"), required=True), Field("hops", kind="number")))
+register_type("calendar_event", (Field("title"), Field("all_day", kind="bool"), Field("deleted", kind="bool"), Field("end_ts", kind="number")))
 
 
 def rejected(recs: DataFrame) -> DataFrame:
