@@ -100,6 +100,17 @@ def fold(text: str) -> str:
     return "".join(c for c in t if not any(lo <= ord(c) <= hi for lo, hi in MARKS))
 
 
+@cache
+def _folded_char(c: str) -> str:
+    """What one character becomes; marks become nothing."""
+    return "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", c).casefold()) if not unicodedata.combining(x))
+
+
+def folded_map(text: str) -> list[tuple[str, int]]:
+    """The folded characters of a text, each with the position of the original that it comes from."""
+    return [(x, i) for i, c in enumerate(text) for x in _folded_char(c)]
+
+
 def tokens(text: Column) -> Column:
     """The words of a text in order: runs of letters, numbers and private characters."""
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))

@@ -7,13 +7,15 @@ or statistic of the records (``matching``).
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.fold import VERSION, fold, folded, normalise, normalised, tokens, trigrams, words
+from tracelake.functions.fold import VERSION, fold, folded, folded_map, normalise, normalised, tokens, trigrams, words
 
 WEIGHTS = {"summary": 2.0, "body": 1.0}
 COLUMNS = tuple(WEIGHTS)
@@ -89,8 +91,17 @@ def build_index(recs: DataFrame, path: str, chunk_rows: int = 1_000_000, only: S
     """Writes the postings of records under path, by chunks of ids, each sorted by term; a chunk written again replaces itself."""
     part = postings(recs).withColumn("chunk", F.floor((F.col("id") - 1) / chunk_rows))
     part = part if only is None else part.where(F.col("chunk").isin(*only))
-    part.repartition("chunk").sortWithinPartitions("chunk", "term", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/postings")
+    # Files hold ranges of terms, so that a chunk is many tasks' work and a query opens only the files and row groups of its terms.
+    part.repartitionByRange("chunk", "term", "id").sortWithinPartitions("chunk", "term", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/postings")
     spark = recs.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    stored = stored if only is None else stored.where(F.col("chunk").isin(*only))
+    # How long each record is in each column, and for each chunk how many records have which columns.
+    lengths = stored.groupBy("chunk", "id").agg(*[F.count_if(F.col("col") == c).alias(f"len_{c}") for c in COLUMNS])
+    lengths.repartitionByRange("chunk", "id").sortWithinPartitions("chunk", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    totals = lengths.groupBy(F.col("chunk"), *[(F.col(f"len_{c}") > 0).alias(f"has_{c}") for c in COLUMNS]).agg(F.count("*").alias("n"), *[F.sum(f"len_{c}").alias(f"all_{c}") for c in COLUMNS])
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
     spark.createDataFrame([(VERSION, chunk_rows)], "version string, chunk_rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
 
@@ -253,6 +264,70 @@ def ranked(index: DataFrame, terms: Sequence[str], k: int, weights: Mapping[str,
     return some.select("id", score.alias("score")).orderBy("score", "id").limit(k)
 
 
+def ranked_stored(spark: SparkSession, path: str, terms: Sequence[str], k: int, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """What ``ranked`` gives, from a stored index: its terms' postings, the lengths of the records that have them all, and the totals."""
+    if not 0 < k <= MAX_RANK:
+        raise InvalidQuery(f"a limit outside 1 to {MAX_RANK}")
+    wanted = [w for t in dict.fromkeys(terms) for w in item(t).words]
+    weight = F.element_at(F.create_map(*[F.lit(x) for c, v in weights.items() for x in (c, v)]), F.col("col"))
+    own = read_index(spark, path).where(F.col("term").isin(*wanted) & F.col("col").isin(*weights))
+    counts = own.groupBy("id").agg(*[F.sum(F.when(F.col("term") == w, weight).otherwise(0.0)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    found = counts.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    size = sum((F.col(f"all_{c}") for c in weights), F.lit(0))
+    holds = F.lit(False)
+    for c in weights:
+        holds = holds | F.col(f"has_{c}")
+    total = spark.read.parquet(f"{path}/totals").where(holds).agg(F.sum("n").alias("n"), (F.sum(size) / F.sum("n")).alias("avg")).join(found)
+    some = counts.where(" AND ".join(f"tf{i} > 0" for i in range(len(wanted))))
+    lengths = spark.read.parquet(f"{path}/lengths").select("id", sum((F.col(f"len_{c}") for c in weights), F.lit(0)).alias("len"))
+    some = some.join(lengths, "id").join(F.broadcast(total))  # one row
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        df, tf = F.col(f"df{i}"), F.col(f"tf{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    return some.select("id", score.alias("score")).orderBy("score", "id").limit(k)
+
+
+def exact_snippet(text: Column, needle: str, width: int = 120) -> Column:
+    """struct(text, spans): width characters of the original that begin a quarter before the first hit, and start and length of the hits that lie in it whole.
+
+    Hits are found in the folded text and carried back by its map of positions: marks, expansions and ligatures count as the
+    characters that stand in the text. Null without a hit.
+    """
+    if not 20 <= width <= 400:
+        raise InvalidQuery("a width outside 20 to 400")
+    wanted = "".join(c for c, _ in folded_map(needle))
+
+    @F.pandas_udf("struct<text: string, spans: array<struct<start: int, length: int>>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut(t, wanted, width) for t in texts], columns=["text", "spans"])
+
+    out = run(text)
+    return F.when(out["text"].isNotNull(), out)
+
+
+def cut(text: str | None, wanted: str, width: int) -> tuple:
+    """What exact_snippet gives for one text."""
+    text = text or ""
+    found = [] if text.isascii() else folded_map(text)
+    flat = text.lower() if text.isascii() else "".join(c for c, _ in found)
+    place = range(len(text)) if text.isascii() else [p for _, p in found]
+    at = flat.find(wanted) if wanted else -1
+    if at < 0:
+        return None, None
+    spans, start = [], max(0, place[at] - width // 4)
+    while at >= 0:
+        a, z = place[at], place[at + len(wanted) - 1] + 1
+        while z < len(text) and unicodedata.combining(text[z]):  # marks belong to the letter before them
+            z += 1
+        if z > start + width:
+            break
+        spans.append((a - start, z - a))
+        at = flat.find(wanted, at + len(wanted))
+    return text[start : start + width], spans
+
+
 def snippet(text: Column, needle: str, width: int = 120) -> Column:
     """struct(text, at): width code points that begin a quarter before the first hit, and where in them hits begin (from 0); null without one."""
     if not 20 <= width <= 400:
@@ -270,4 +345,4 @@ def snippet(text: Column, needle: str, width: int = 120) -> Column:
     return F.when(at > 0, F.struct(F.substring(t, start, F.lit(width)).alias("text"), begun.alias("at")))
 
 
-__all__ = ["Item", "InvalidQuery", "build_index", "item", "matching", "match_ids", "normalise", "postings", "ranked", "snippet", "substring", "term_hits"]
+__all__ = ["Item", "InvalidQuery", "build_index", "item", "matching", "match_ids", "normalise", "postings", "ranked", "ranked_stored", "exact_snippet", "snippet", "substring", "term_hits"]

@@ -49,9 +49,12 @@ APP |= {
     "chats": ("nation", "true", "n_nationkey AS uid, n_name AS name"),
     "enc_chats": ("supplier", "true", "s_suppkey AS uid, s_suppkey * 2 AS user"),
     "contacts": ("supplier", "true", "s_suppkey * 3 AS uid, s_suppkey % 2 AS mutual"),
+    "lg_messages": ("orders", "true", "o_orderkey AS _id, concat('c', cast(o_custkey % 150 AS string)) AS key_remote_jid, o_orderkey % 3 AS key_from_me, US(o_orderdate) // 1000 AS timestamp, o_orderpriority AS data, o_custkey % 7 AS status, CASE WHEN o_orderkey % 4 = 0 THEN concat('r', cast(o_custkey AS string)) ELSE '' END AS remote_resource, CASE WHEN o_orderkey % 6 = 1 THEN o_custkey END AS quoted_row_id"),
+    "lg_chat_list": ("supplier", "true", "concat('c', cast(s_suppkey % 90 AS string)) AS key_remote_jid, s_name AS subject"),
+    "lg_messages_quotes": ("part", "p_partkey % 3 <> 0", "p_partkey AS _id, p_name AS data"),
 }
 #: Parsers whose tables have names that others use too: their app tables begin with this.
-PREFIX = {"android.whatsapp.msgstore": "wa_", "android.whatsapp.calls": "wa_"}
+PREFIX = {"android.whatsapp.msgstore": "wa_", "android.whatsapp.calls": "wa_", "android.whatsapp.msgstore.legacy": "lg_"}
 TS = "CASE WHEN {c} NOT IN (0, -1) THEN ({c} + 978307200) * 1000000 END"
 WAY = "CASE {c} WHEN 1 THEN 'out' WHEN 0 THEN 'in' ELSE 'unknown' END AS direction"
 

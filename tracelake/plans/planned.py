@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import decoding
 from tracelake.functions import values as V
 from tracelake.mappings import recovery, registry
 from tracelake.operators import planning
 
-from .apps import PREFIX
+from . import apps  # noqa: F401  (adds the app tables)
 from .mapped import APP, app_sql, app_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +23,7 @@ APP |= {
     "al_jid_map": ("customer", "c_custkey % 5 IN (1, 3) AND c_custkey % 7 <> 0 OR c_custkey % 45 = 2", "c_custkey - c_custkey % 5 AS lid_row_id, c_custkey + c_custkey % 3 AS jid_row_id"),
     "al_message_system": ("orders", "o_orderkey % 8 = 3", "o_orderkey AS message_row_id, o_custkey % 90 AS action_type"),
     "al_message_vcard": ("lineitem", "l_linenumber = 6", "l_orderkey AS message_row_id"),
-    "lg_messages": ("orders", "true", "o_orderkey AS _id, concat('c', cast(o_custkey % 150 AS string)) AS key_remote_jid, o_orderkey % 3 AS key_from_me, US(o_orderdate) // 1000 AS timestamp, o_orderpriority AS data, o_custkey % 7 AS status, CASE WHEN o_orderkey % 4 = 0 THEN concat('r', cast(o_custkey AS string)) ELSE '' END AS remote_resource, CASE WHEN o_orderkey % 6 = 1 THEN o_custkey END AS quoted_row_id"),
-    "lg_chat_list": ("supplier", "true", "concat('c', cast(s_suppkey % 90 AS string)) AS key_remote_jid, s_name AS subject"),
-    "lg_messages_quotes": ("part", "p_partkey % 3 <> 0", "p_partkey AS _id, p_name AS data"),
 }
-PREFIX["android.whatsapp.msgstore.legacy"] = "lg_"
 
 WHATSAPP = {n: f"wa_{n}" for n in registry.PARSERS["android.whatsapp.msgstore"].needs} | {n: f"al_{n}" for n in ("jid", "jid_map", "message_system", "message_vcard")}
 LIDS = ("mapped", "unmapped", "unresolved", "ambiguous")
@@ -128,3 +125,25 @@ SQL["q_unclaimed_databases"] = f"WITH f AS (SELECT {FILES.replace('string', 'VAR
 TABLES = "l_orderkey AS artifact, CASE l_suppkey % 2 WHEN 0 THEN 'android' ELSE 'ios' END AS platform, CASE l_linenumber WHEN 1 THEN 'SMS' WHEN 2 THEN 'message' WHEN 3 THEN 'Messages' ELSE concat('t', cast(l_linenumber AS string)) END AS name"
 Q["q_table_claims"] = lambda s, d: planning.claims(s.sql(f"SELECT {TABLES} FROM {{l}}", l=s.read.parquet(f"{d}/lineitem.parquet")), registry.claimed(s))
 SQL["q_table_claims"] = f"WITH t AS (SELECT {TABLES.replace('string', 'VARCHAR')} FROM lineitem) SELECT artifact, name, CASE WHEN p IS NULL THEN 'unclaimed' WHEN contains(p, ',') THEN 'ambiguous' ELSE 'claimed' END AS state, p AS parsers FROM (SELECT *, CASE WHEN platform = 'android' THEN CASE name WHEN 'SMS' THEN 'android.sms' WHEN 'message' THEN 'android.whatsapp.msgstore' WHEN 'Messages' THEN 'android.telegram,android.whatsapp.msgstore.legacy' END ELSE CASE name WHEN 'message' THEN 'ios.sms' END END AS p FROM t)"
+
+# Payloads of two versions, of one that nobody knows, and some that are no objects.
+MESSAGES = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END END AS version"
+PAYLOAD = """CASE WHEN o_orderkey % 41 = 0 THEN '[1]' WHEN o_orderkey % 43 = 0 THEN 'broken' WHEN version = 2
+  THEN concat('{"direction":"in","participants":[{"address":"c', cast(o_custkey AS string), '"}],"text":"', o_orderpriority, '","attachment_count":', cast(o_custkey % 4 AS string), ',"read":', CASE WHEN o_custkey % 2 = 0 THEN 'true' ELSE '"maybe"' END, '}')
+  ELSE concat('{"direction":"out","address":"c', cast(o_custkey AS string), '","body":"', o_orderpriority, '","attachments":"', CASE WHEN o_custkey % 10 = 0 THEN 'many' ELSE '3' END, '","more":"', o_orderstatus, '"}') END AS payload"""
+
+
+def decoded_messages(spark: SparkSession, d: str) -> DataFrame:
+    payload = PAYLOAD.replace("{", "{{").replace("}", "}}")
+    rows = spark.sql(f"SELECT *, {payload} FROM (SELECT {MESSAGES} FROM {{o}})", o=spark.read.parquet(f"{d}/orders.parquet"))
+    out = decoding.decoded(rows, "message")
+    return out.select("o_orderkey", *decoding.FIELDS["message"], "state", F.array_join("undecoded", ",").alias("undecoded"), "rest")
+
+
+Q["q_decoded_messages"] = decoded_messages
+SQL["q_decoded_messages"] = f"""WITH m AS (SELECT *, {PAYLOAD.replace('string', 'VARCHAR')} FROM (SELECT {MESSAGES} FROM orders)),
+p AS (SELECT *, CASE WHEN version NOT IN (1, 2) THEN 'unknown-version' WHEN NOT json_valid(payload) OR json_type(payload) <> 'OBJECT' THEN 'not-an-object' ELSE 'ok' END AS state, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM m),
+f AS (SELECT *, CASE WHEN state = 'ok' THEN version END AS v FROM p)
+SELECT o_orderkey, CASE WHEN v IS NOT NULL THEN j->>'$.direction' END AS direction, CASE v WHEN 1 THEN j->>'$.address' WHEN 2 THEN j->>'$.participants[0].address' END AS party, CASE v WHEN 1 THEN j->>'$.body' WHEN 2 THEN j->>'$.text' END AS body,
+  CASE v WHEN 1 THEN TRY_CAST(j->>'$.attachments' AS BIGINT) WHEN 2 THEN TRY_CAST(j->>'$.attachment_count' AS BIGINT) END AS attachments, CASE v WHEN 2 THEN TRY_CAST(j->>'$.read' AS BOOLEAN) END AS read, state,
+  CASE WHEN v = 1 THEN CASE WHEN TRY_CAST(j->>'$.attachments' AS BIGINT) IS NULL THEN 'attachments' ELSE '' END WHEN v = 2 THEN CASE WHEN TRY_CAST(j->>'$.read' AS BOOLEAN) IS NULL THEN 'read' ELSE '' END END AS undecoded, CASE WHEN v = 1 THEN '{{"more":"' || o_orderstatus || '"}}' END AS rest FROM f"""

@@ -11,7 +11,7 @@ from tracelake.operators import filters, listing, search, stats
 from tracelake.operators.filters import Filter
 from tracelake.operators.search import Item, item
 from tracelake.sources import records as R
-from tracelake.sources.staging import new_path
+from tracelake.sources.staging import fingerprint, new_path
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,7 +20,7 @@ FULL = TOKENS.replace("strip_accents(lower(coalesce({c}, '')))", "replace(strip_
 RECORDS = "WITH " + R.sql_records()
 TEXTS = RECORDS + ", x AS (SELECT *, ' ' || array_to_string(" + FULL.format(c="summary") + ", ' ') || ' ' AS s, ' ' || array_to_string(" + FULL.format(c="body") + ", ' ') || ' ' AS b FROM records WHERE type = 'message') "
 POSTINGS = RECORDS + ", y AS (SELECT id, 'summary' AS col, " + FULL.format(c="summary") + " AS w FROM records WHERE type = 'message' UNION ALL SELECT id, 'body', " + FULL.format(c="body") + " FROM records WHERE type = 'message'), p AS (SELECT id, col, unnest(range(len(w)))::INT AS pos, unnest(w) AS term FROM y) "
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple, str] = {}
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -29,12 +29,17 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
 
 def index(spark: SparkSession, d: str) -> DataFrame:
     """The stored postings of the messages in a folder."""
-    key = (spark.sparkContext.applicationId, d)
+    return search.read_index(spark, index_path(spark, d))
+
+
+def index_path(spark: SparkSession, d: str) -> str:
+    """Where the index of a folder is, as its tables are now; built at the first call."""
+    key = (spark.sparkContext.applicationId, d, fingerprint(texts(spark, d)))
     if key not in _BUILT:
         path = new_path(spark, "postings")
         search.build_index(texts(spark, d), path)
         _BUILT[key] = path
-    return search.read_index(spark, _BUILT[key])
+    return _BUILT[key]
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +97,10 @@ Q["q_postings_digest"] = lambda s, d: search.postings_digest(index(s, d), "k", 1
 SQL["q_postings_digest"] = POSTINGS + f"SELECT {DIGEST} FROM p GROUP BY 1"
 Q["q_index_proof"] = lambda s, d: search.index_proof(index(s, d).where("id % 300000 <> 7 AND (id - 1) div 100000 % 5 <> 1"), texts(s, d), "k", 100_000)
 SQL["q_index_proof"] = POSTINGS + f", r AS (SELECT {DIGEST} FROM p GROUP BY 1), i AS (SELECT {DIGEST} FROM p WHERE id % 300000 <> 7 AND (id - 1) // 100000 % 5 <> 1 GROUP BY 1) SELECT batch_no, CASE WHEN i.digest IS NULL THEN 'missing' WHEN i.digest = r.digest THEN 'equal' ELSE 'differs' END AS state FROM r LEFT JOIN i USING (batch_no)"
+Q["q_search_rank_stored"] = lambda s, d: search.ranked_stored(s, index_path(s, d), ["assistant", "with"], 50).select("id", F.round("score", 6).alias("score"))
+SQL["q_search_rank_stored"] = SQL["q_search_rank"]
+Q["q_snippet_exact"] = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", search.exact_snippet(F.col("text"), "Cion", 90).alias("x")).where("x IS NOT NULL").select("doc_id", F.col("x.text").alias("snippet"), F.size("x.spans").cast("bigint").alias("hits"), F.get("x.spans", F.lit(0))["start"].cast("bigint").alias("first_at"))
+SQL["q_snippet_exact"] = "WITH y AS (SELECT doc_id, text, strip_accents(lower(text)) AS f FROM documents), z AS (SELECT *, greatest(1, strpos(f, 'cion') - 22) AS p FROM y WHERE contains(f, 'cion')) SELECT doc_id, substr(text, p, 90) AS snippet, (len(string_split(substr(f, p, 90), 'cion')) - 1)::BIGINT AS hits, (strpos(substr(f, p, 90), 'cion') - 1)::BIGINT AS first_at FROM z"
 Q["q_snippet"] = lambda s, d: texts(s, d).select("id", search.snippet(F.col("body"), "the", 60).alias("x")).where("x IS NOT NULL").select("id", F.col("x.text").alias("snippet"), F.size("x.at").cast("bigint").alias("hits"), F.get("x.at", F.lit(0)).cast("bigint").alias("first_at"))
 SQL["q_snippet"] = RECORDS + ", y AS (SELECT id, body, strip_accents(lower(body)) AS f FROM records WHERE type = 'message'), z AS (SELECT *, greatest(1, strpos(f, 'the') - 15) AS p FROM y WHERE contains(f, 'the')) SELECT id, substr(body, p, 60) AS snippet, (len(string_split(substr(f, p, 60), 'the')) - 1)::BIGINT AS hits, (strpos(substr(f, p, 60), 'the') - 1)::BIGINT AS first_at FROM z"
 

@@ -28,3 +28,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """Name, length and time of each file that df reads: another one is another table."""
+    spark = df.sparkSession
+    conf, out = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for f in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
