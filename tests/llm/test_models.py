@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import quality_knn, queries
+from tracelake.llm import quality_knn, queries, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -26,6 +26,23 @@ def test_toxicity(spark):
     assert accuracy >= 0.98 and auc >= 0.96 and recall >= 0.9 and clean >= 0.99
 
 
+def test_terms_of_any_script_and_number(spark):
+    """More than a thousand planted terms, and terms in Korean and Japanese letters, with and without an edit."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda i: "".join(letters[i // 20**k % 20] + "aeiou"[(i + k) % 5] for k in range(4))
+    bad = [word(i * 67 + 3) for i in range(1200)]
+    rows = []
+    for i in range(2400):
+        mine = [bad[(i // 2 * 20 + k) % len(bad)] for k in range(20)] + ["바보멍청이들", "ばかやろうども"]
+        rows.append((i, " ".join(mine if i % 2 else ["a", "calm", "day", "and", "nothing", "else", "오늘은", "きょうは"]), i % 2))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    terms = {t for t, _, _ in model.lexicon.entries}
+    assert sum(any(b[:k] in terms for k in range(4, len(b) + 1)) for b in bad) == len(bad)
+    texts = [bad[0], "바보멍청이들", "바보멍청이둘", "ばかやろうども", "calm day", "오늘은"]
+    got = [r["_score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).collect()]
+    assert min(got[:4]) > 0.5 > max(got[4:])
+
+
 def test_quality(spark):
     accuracy, auc, _, _ = held_out(spark, "op5_quality_knn", "quality")
     assert accuracy >= 0.99 and auc >= 0.99

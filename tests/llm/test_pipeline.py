@@ -42,8 +42,19 @@ def wanted(spark):
 
 
 def test_run(spark, wanted):
-    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "size", "source_size", "target", "taken").collect())
+    from pathlib import Path
+
+    from tracelake.llm.common import shared_dir
+
+    here = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in here.glob("*")}
+    mix = corpus_pipeline.run(spark, SF)
+    assert {r["doc_id"]: r["text"] for r in mix.collect()} == {i: t for i, t, _ in wanted[-2]}
+    got = sorted(tuple(r) for r in mix.select("doc_id", "size", "source_size", "target", "taken").collect())
     want = wanted[-1]
+    assert len({p.name for p in here.glob("*")} - before) == 1
+    corpus_pipeline.release(mix)
+    assert {p.name for p in here.glob("*")} == before
     assert [(r[0], r[1], r[2], r[4]) for r in got] == [(r[0], r[1], r[2], r[4]) for r in want] and len(got) > 50
     assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want, strict=True))
 

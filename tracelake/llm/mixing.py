@@ -83,9 +83,9 @@ def apportion(parties: DataFrame, name: list[str], weight: str, seats: Column, w
     return base.join(won, on, "left").withColumn(out, F.col("_sure") + F.coalesce(F.col("_won"), F.lit(0))).select(*parties.columns, out)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = 64, shard_tokens: int = 100_000, max_shards: int = 200_000, seed: int = SEED, max_repeats: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each input row."""
-    sized = stage_table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size")), "mix-sizes")
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = 64, shard_tokens: int = 100_000, max_shards: int = 200_000, seed: int = SEED, max_repeats: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row for each input row, and the columns to keep."""
+    sized = stage_table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]), "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), weights, max_repeats)
     # A source's blocks number round(total / block); the block is smaller where the smallest target is small.
     sources = stage_table(sources, "mix-targets")
@@ -116,4 +116,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         return upto(k) * F.col("_block") + F.pmod(x, F.col("_block")) * (upto(k + 1) - upto(k))
 
     out = F.when(F.col("size") > 0, taken(F.col("_end")) - taken(F.col("_end") - F.col("size"))).otherwise(F.lit(0))
-    return laid.select("doc_id", "source", "size", "source_size", "target", out.cast("long").alias("taken"))
+    return laid.select("doc_id", "source", "size", "source_size", "target", out.cast("long").alias("taken"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])

@@ -10,7 +10,7 @@ and their density in windows of words is taken; a logistic model over these few
 Bounds: learning reads at most ``MAX_TRAIN`` labelled documents, the first by
 a hash of their ids, and whole texts of these. A term is learnt if the sample has evidence enough for it (a likelihood
 ratio of ``MIN_EVIDENCE``, beyond what the best of a million chance terms reaches), and it neither begins a better one nor
-begins with one. A model has the best ``MAX_TERMS`` of these, far more than were ever found.
+begins with one; so the terms' number follows from the sample alone. Letters of all scripts make words.
 Scoring reads every whole text. Defined cases: null and empty texts get the score of a text without
 hits; repeated rows score alike; without labels of both kinds the fixed list alone decides; other columns pass through, but for
 one called ``_score``, which gives way.
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from .arrays import chunks, code_points
 from .common import drop_tables, small_batches, stage_table
 
-MAX_TERMS, MAX_TRAIN, MIN_LOG_ODDS, MIN_EVIDENCE, EDIT_LETTERS = 1_000, 12_000, 1.7, 25.0, 5
+MAX_TRAIN, MIN_LOG_ODDS, MIN_EVIDENCE, EDIT_LETTERS = 12_000, 1.7, 25.0, 5
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "imbecile", "dumbass", "retard", "bastard", "bitch", "asshole", "idiota", "estúpido", "imbécil", "connard", "salope", "crétin", "arschloch", "trottel", "hurensohn", "dummkopf", "abschaum")
 REPORTING = {"said", "says", "wrote", "called", "quote", "quoted", "quotes", "cited", "reported", "sagte", "schrieb", "zitat", "dit", "écrit", "cite", "dijo", "escribió", "cita"}
 QUOTES = '"“”„«»‹›'
@@ -127,18 +128,22 @@ def compile_lexicon(entries: list[tuple[str, bool, int]]) -> Lexicon:
     return Lexicon(tuple(entries), classes, np.array([rows[i] for i in range(len(states))], np.int32), np.array(accepts), np.array(fuzzy), np.array(stops), np.array(nearly))
 
 
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter, of any script."""
+    return np.array([chr(i).isalpha() or i in (0x300, 0x301) for i in range(0x110000)])
+
+
 class Reader:
     """Runs texts through a lexicon; one for each task."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        points = [chr(i) for i in range(0x3000)]
-        self.letter = np.array([c.isalpha() or c in "̀́" for c in points] + [False])
-        self.kind = np.zeros(0x3001, np.int32)
-        for c, k in lexicon.classes.items():
-            if ord(c) < 0x3000:
-                self.kind[ord(c)] = k
-        self.quote = np.array([c in QUOTES for c in points] + [False])
+        self.letter = letters()
+        self.kind = np.zeros(len(self.letter), np.int32)
+        self.quote = np.zeros(len(self.letter), bool)
+        self.kind[[ord(c) for c in lexicon.classes]] = list(lexicon.classes.values())
+        self.quote[[ord(c) for c in QUOTES]] = True
 
     def features(self, texts: list[str]) -> np.ndarray:
         return self.read(texts)[0]
@@ -147,8 +152,7 @@ class Reader:
         """The features of texts; and entry and text of every hit with an edit (2 x hits)."""
         lex = self.lexicon
         points, at = code_points([t.lower() for t in texts])
-        small = np.minimum(points, 0x3000)
-        letter = self.letter[small]
+        letter = self.letter[points]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         out = np.zeros((len(texts), len(FEATURES)))
@@ -160,7 +164,7 @@ class Reader:
             return out, none
         entry, is_fuzzy = np.full(len(starts), -1), np.zeros(len(starts), bool)
         alive, state, step = np.arange(len(starts)), np.ones(len(starts), np.int32), 0
-        kind = self.kind[small]
+        kind = self.kind[points]
         while len(alive):
             over = ends[alive] <= starts[alive] + step
             if over.any():
@@ -182,7 +186,7 @@ class Reader:
         if not len(hits):
             return out, none
         docs, what = of_word[hits], entry[hits]
-        quotes = np.concatenate(([0], np.cumsum(self.quote[small])))
+        quotes = np.concatenate(([0], np.cumsum(self.quote[points])))
         lo, hi = np.maximum(starts[hits] - QUOTE_CHARS, at[docs]), np.minimum(ends[hits] + QUOTE_CHARS, at[docs + 1])
         quoted = (quotes[starts[hits]] > quotes[lo]) & (quotes[hi] > quotes[ends[hits]])
         reported = np.array([any(points[starts[w] : ends[w]].tobytes().decode("utf-32-le") in REPORTING for w in range(max(0, h - 3), h)) for h in hits])
@@ -236,7 +240,7 @@ def learn_entries(sample: DataFrame) -> list[tuple[str, bool]]:
     heads: set[str] = set()  # beginnings of the chosen terms
     for r in best.collect():
         t = r["t"]
-        if len(chosen) < MAX_TERMS and len(t) >= 4 and t not in heads and not any(t[:k] in names for k in range(1, len(t) + 1)):
+        if len(t) >= 4 and t not in heads and not any(t[:k] in names for k in range(1, len(t) + 1)):
             chosen.append((t, r["stem"]))
             names.add(t)
             heads.update(t[:k] for k in range(1, len(t) + 1))
