@@ -27,7 +27,13 @@ def test_long_ways_against_brute_force(spark):
         depth[k] = 0 if p is None else depth[p] + 1
         least[k] = k * 7 % 101 if p is None else min(k * 7 % 101, least[p])
     assert {r["k"]: r["depth"] for r in chains.walk(nodes, "k", "p", 1000).collect()} == depth
-    assert {r["k"]: r["least"] for r in chains.chain_minimum(nodes, "k", "p", "v", 1000).collect()} == least
+    assert {r["k"]: r["least"] for r in chains.chain_minimum(nodes, "k", "p", "v").collect()} == least
+
+
+def test_a_minimum_reaches_down_a_chain_of_a_thousand(spark):
+    nodes = spark.createDataFrame([(k, k - 1 if k else None, 5 if k else 1) for k in range(1000)] + [(2000, 2001, 9), (2001, 2002, 3), (2002, 2000, 7), (2003, 2000, 8), (2004, 9999, 4)], "k long, p long, v long")
+    got = {r["k"]: r["least"] for r in chains.chain_minimum(nodes, "k", "p", "v").collect()}
+    assert {v for k, v in got.items() if k < 1000} == {1} and [got[k] for k in range(2000, 2005)] == [3, 3, 3, 3, 4]
 
 
 def test_differences_count_repeats(spark):

@@ -32,11 +32,14 @@ def walk(nodes: DataFrame, key: str, parent: str, cap: int = 64, claimed: str |
     return now.select(F.col("k").alias(key), F.when(ended, F.col("at")).alias("last"), F.when(ended, F.col("depth")).alias("depth"), state.alias("state"))
 
 
-def chain_minimum(nodes: DataFrame, key: str, parent: str, value: str, cap: int = 64) -> DataFrame:
-    """key and the least value on each node's way up, itself included; ways longer than cap steps or in a cycle cover what cap doublings reach."""
+def chain_minimum(nodes: DataFrame, key: str, parent: str, value: str) -> DataFrame:
+    """key and the least value on each node's whole way up, itself included; a way into a cycle covers all of the cycle.
+
+    Pointers are doubled until every way has ended, or has had as many steps as there are nodes.
+    """
     now = staged(nodes.select(F.col(key).alias("k"), F.col(parent).alias("at"), F.col(value).alias("v")), "chain")
-    steps = 1
-    while steps <= cap and not now.where("at IS NOT NULL").isEmpty():
+    steps, n = 1, now.count()
+    while steps < n and not now.where("at IS NOT NULL").isEmpty():
         far = now.select(F.col("k").alias("_k"), F.col("at").alias("_at"), F.col("v").alias("_v"))
         now = staged(now.join(far, F.col("at") == F.col("_k"), "left").select("k", F.col("_at").alias("at"), F.least("v", "_v").alias("v")), "chain")
         steps *= 2
