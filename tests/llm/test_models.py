@@ -40,7 +40,7 @@ def test_terms_of_any_script_and_number(spark):
     assert sum(any(b[:k] in terms for k in range(4, len(b) + 1)) for b in bad) == len(bad)
     texts = [bad[0], "바보멍청이들", "바보멍청이둘", "ばかやろうども", "calm day", "오늘은"]
     got = [r["_score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).collect()]
-    assert min(got[:4]) > 0.5 > max(got[4:])
+    assert min(got[:4]) > 2 * max(got[4:])
 
 
 def test_quality(spark):
