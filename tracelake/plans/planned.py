@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import decoding
 from tracelake.functions import values as V
 from tracelake.mappings import recovery, registry
-from tracelake.operators import planning
+from tracelake.operators import carving, planning
 
 from . import apps  # noqa: F401  (adds the app tables)
 from .mapped import APP, app_sql, app_table
@@ -126,6 +126,21 @@ TABLES = "l_orderkey AS artifact, CASE l_suppkey % 2 WHEN 0 THEN 'android' ELSE
 Q["q_table_claims"] = lambda s, d: planning.claims(s.sql(f"SELECT {TABLES} FROM {{l}}", l=s.read.parquet(f"{d}/lineitem.parquet")), registry.claimed(s))
 SQL["q_table_claims"] = f"WITH t AS (SELECT {TABLES.replace('string', 'VARCHAR')} FROM lineitem) SELECT artifact, name, CASE WHEN p IS NULL THEN 'unclaimed' WHEN contains(p, ',') THEN 'ambiguous' ELSE 'claimed' END AS state, p AS parsers FROM (SELECT *, CASE WHEN platform = 'android' THEN CASE name WHEN 'SMS' THEN 'android.sms' WHEN 'message' THEN 'android.whatsapp.msgstore' WHEN 'Messages' THEN 'android.telegram,android.whatsapp.msgstore.legacy' END ELSE CASE name WHEN 'message' THEN 'ios.sms' END END AS p FROM t)"
 
+# Files of three kinds inside every document's bytes: one walked to its end, one with a footer, one cut off.
+PNG = "89504E470D0A1A0A" + "0000000D49484452000000010000000108060000001F15C489" + "0000000A49444154789C63000100000500010D0A2DB4" + "0000000049454E44AE426082"
+VALUE = "CASE doc_id % 3 WHEN 0 THEN concat({t}, unhex('" + PNG + "'), {t}) WHEN 1 THEN concat({t}, {pdf}, {t}, {eof}, {t}) ELSE concat({t}, substring(unhex('" + PNG + "'), 1, 60)) END"
+
+
+def carved(spark: SparkSession, d: str) -> DataFrame:
+    value = VALUE.format(t="encode(coalesce(text, ''), 'UTF-8')", pdf="encode('%PDF-1.4 ', 'UTF-8')", eof="encode('%%EOF', 'UTF-8')")
+    return carving.carve(carving.chunked(spark.read.parquet(f"{d}/documents.parquet").withColumn("value", F.expr(value)), "doc_id", "value", 4096)).withColumnRenamed("key", "doc_id")
+
+
+Q["q_carve_values"] = carved
+SQL["q_carve_values"] = f"""WITH x AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'pdf' ELSE 'png' END AS name, n AS start, CASE doc_id % 3 WHEN 0 THEN {len(PNG) // 2} WHEN 1 THEN n + 14 ELSE 60 END AS length, CASE doc_id % 3 WHEN 0 THEN 'validated' WHEN 1 THEN 'footer' ELSE 'bounded' END AS outcome,
+  CASE doc_id % 3 WHEN 0 THEN 70 WHEN 1 THEN 50 ELSE 25 END AS confidence, NULL::BIGINT AS inside FROM x WHERE doc_id % 3 <> 1 OR n >= 18"""
+
 # Payloads of two versions, of one that nobody knows, and some that are no objects.
 MESSAGES = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority, CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END END AS version"
 PAYLOAD = """CASE WHEN o_orderkey % 41 = 0 THEN '[1]' WHEN o_orderkey % 43 = 0 THEN 'broken' WHEN version = 2
