@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .texts import summary
+from .texts import duration_seconds, summary
+from .values import plausible
 
 MAX_PAYLOAD, MAX_DEPTH = 1 << 20, 64
 
@@ -129,6 +130,64 @@ def visit_summary(title: Column, url: Column) -> Column:
     return F.concat_ws(" - ", F.nullif(summary(title, 80), F.lit("")), summary(url, 120))
 
 
+def line(text: Column, limit: int = 80) -> Column:
+    """One line of at most limit characters, format characters shown; null for none."""
+    return F.nullif(printable(summary(text, limit)), F.lit(""))
+
+
+def contact_summary(name: Column, phone: Column, email: Column) -> Column:
+    """Name and phone, as far as they are there, else the e-mail address."""
+    both = F.concat_ws(" ", line(name), line(phone, 32))
+    return F.coalesce(F.nullif(both, F.lit("")), line(email), F.lit(""))
+
+
+def search_summary(term: Column, normalized: Column) -> Column:
+    """The query as typed, else its normalised form."""
+    return F.coalesce(line(term), line(normalized), F.lit(""))
+
+
+def download_summary(target: Column, current: Column, url: Column) -> Column:
+    """The file's name: the last part of where it goes, else of where it is; else the URL."""
+    last = lambda p: F.regexp_extract(p, r"(?s)([^/\\]*)$", 1)
+    return F.coalesce(line(last(target)), line(last(current)), line(url), F.lit(""))
+
+
+def calendar_summary(kind: Column, when: Column, title: Column, place: Column, status: Column) -> Column:
+    """calendar, what it is of a series (null: a single event), when, title, @ place, and whether it was cancelled."""
+    at = F.concat(F.lit("@ "), line(place, 64))
+    return F.concat_ws(" ", F.lit("calendar"), kind, when, line(title, 120), at, F.when(status == "cancelled", "[cancelled]"))
+
+
+def event_times(start_ms: Column, end_ms: Column, duration: Column, all_day: Column, zone: Column) -> Column:
+    """When a stored event begins and ends: struct of timing, start_us, start_date, end_us, end_date, basis, end_basis, state, end_state, conflict, zone_state.
+
+    timing: timed (0), all_day (1), else unknown, which has no times. Timed events are UTC; those of whole days are at midnight of no
+    known zone, and have dates; their stored zone is never applied. A stored duration goes before a stored end (conflict: they
+    differ); one that doesn't parse leaves the end undecided. end_state: no-start, none-stored, end-before-start, not-midnight.
+    """
+    timing = F.when(all_day == 0, "timed").when(all_day == 1, "all_day").otherwise("unknown")
+    day = 86_400_000
+    start_ok = (timing != "unknown") & start_ms.isNotNull() & plausible(start_ms * 1000).isNotNull()
+    midnight = lambda ms: F.pmod(ms, F.lit(day)) == 0
+    begins = start_ok & ((timing == "timed") | midnight(start_ms))
+    parsed = duration_seconds(duration)
+    wrong = duration.isNotNull() & (parsed["state"] != "ok")
+    by_duration = F.when(duration.isNotNull() & (parsed["state"] == "ok"), start_ms + parsed["seconds"] * 1000)
+    end = F.when(~wrong, F.coalesce(by_duration, end_ms))
+    end_state = (
+        F.when(timing == "unknown", None).when(~F.coalesce(begins, F.lit(False)), "no-start").when(wrong, None).when(end.isNull(), "none-stored").when(end < start_ms, "end-before-start")
+        .when(plausible(end * 1000).isNull(), "out-of-range").when((timing == "all_day") & ~midnight(end), "not-midnight")
+    )
+    ends = F.coalesce(begins, F.lit(False)) & ~wrong & end.isNotNull() & end_state.isNull()
+    date = lambda ms: F.date_from_unix_date(F.floor(ms / day).cast("int")).cast("string")
+    whole = timing == "all_day"
+    return F.struct(
+        timing.alias("timing"), F.when(begins, start_ms * 1000).alias("start_us"), F.when(begins & whole, date(start_ms)).alias("start_date"), F.when(ends, end * 1000).alias("end_us"), F.when(ends & whole, date(end)).alias("end_date"),
+        F.when(begins, F.when(whole, "local-unknown").otherwise("utc")).alias("basis"), F.when(ends, F.when(by_duration.isNotNull(), "duration").otherwise("dtend")).alias("end_basis"), F.when(start_ok & ~begins, "not-midnight").alias("state"),
+        end_state.alias("end_state"), F.coalesce(begins & by_duration.isNotNull() & (end_ms != by_duration), F.lit(False)).alias("conflict"), F.when(whole & (zone != "UTC"), "not-utc").alias("zone_state"),
+    )
+
+
 def escaped(part: Column) -> Column:
     """A part of a locator: bytes other than letters, digits and -._~/ as percent and two hexadecimal digits."""
     return F.replace(F.replace(F.url_encode(part), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

@@ -63,9 +63,23 @@ def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def calendar(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Events with their calendar, attendees by state and reminders in order; each child table is aggregated by event first."""
+    """Events with their calendar, attendees by state and reminders in order; each child table is aggregated by event first.
+
+    With their tables, which not every version has: alerts, extended properties and the times before conversion.
+    """
     state = V.named(F.col("attendeeStatus"), ATTENDEES)
     out = lookup(t["Events"], "calendar_id", t["Calendars"], "_id", {"calendar": "calendar_displayName"}, "calendar_state")
     out = children(out, "_id", t["Attendees"], "event_id", "Attendees", {"attendees": listed(F.concat_ws("=", "attendeeEmail", state))}, ("attendeeEmail", "attendeeStatus"))
     out = children(out, "_id", t["Reminders"], "event_id", "Reminders", {"reminders": F.array_join(F.array_sort(F.collect_set("minutes")), ",")}, ("minutes",))
-    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("dtstart"), "ms").alias("ts"), V.unix_us(F.col("dtend"), "ms").alias("end_ts"), "title", "calendar", "calendar_state", (F.col("deleted") == 1).alias("deleted"), "attendees", "reminders", *carried(out))
+    more = []
+    if "CalendarAlerts" in t:
+        out = children(out, "_id", t["CalendarAlerts"], "event_id", "CalendarAlerts", {"alerts": F.count("*"), "next_alert": F.min(V.unix_us(F.col("alarmTime"), "ms"))}, ("alarmTime",), ("alerts",))
+        more += ["alerts", "next_alert"]
+    if "ExtendedProperties" in t:
+        pair = F.struct(F.col("name").alias("name"), F.col("value").alias("value"))
+        out = children(out, "_id", t["ExtendedProperties"], "event_id", "ExtendedProperties", {"properties": F.array_sort(F.collect_set(pair))}, ("name", "value"))
+        more.append("properties")
+    if "EventsRawTimes" in t:
+        out = lookup(out, "_id", t["EventsRawTimes"], "event_id", {"raw_start": "dtstart2445", "raw_end": "dtend2445"}, "raw_times_state")
+        more += ["raw_start", "raw_end", "raw_times_state"]
+    return out.select(F.col("_id").alias("rowid"), V.unix_us(F.col("dtstart"), "ms").alias("ts"), V.unix_us(F.col("dtend"), "ms").alias("end_ts"), "title", "calendar", "calendar_state", (F.col("deleted") == 1).alias("deleted"), "attendees", "reminders", *more, *carried(out))

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from tracelake.functions import values as V
 from tracelake.operators import filters, integrity, intervals, listing, stats, supersede
 from tracelake.operators.filters import Filter
-from tracelake.plans import appended, apps, cases, mapped, planned, searched, unknowns, verified
+from tracelake.plans import appended, apps, cases, covered, mapped, planned, searched, unknowns, verified
 from tracelake.sources import records as R
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,9 +166,9 @@ register("q_entropy", entropy, "WITH h AS (SELECT page_id, unnest(regexp_extract
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     apps.register()
-    return Q | mapped.Q | searched.Q | verified.Q | cases.Q | unknowns.Q | appended.Q | planned.Q
+    return Q | mapped.Q | searched.Q | verified.Q | cases.Q | unknowns.Q | appended.Q | planned.Q | covered.Q
 
 
 def oracle_sql() -> dict[str, str]:
     apps.register()
-    return SQL | mapped.SQL | searched.SQL | verified.SQL | cases.SQL | unknowns.SQL | appended.SQL | planned.SQL
+    return SQL | mapped.SQL | searched.SQL | verified.SQL | cases.SQL | unknowns.SQL | appended.SQL | planned.SQL | covered.SQL
