@@ -53,13 +53,24 @@ def calls(t: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Raw contacts with their phones and addresses; data rows of an unknown kind are counted."""
+    """Raw contacts with their phones and addresses; data rows of an unknown kind are counted.
+
+    With their tables: the account that a contact belongs to, and contacts of which only the deletion is left.
+    """
     rows = lookup(t["data"], "mimetype_id", t["mimetypes"], "_id", {"mimetype": "mimetype"}, "_state")
     kind = F.substring_index("mimetype", "/", -1)
     of = lambda k: listed(F.when(kind == k, F.col("data1")))
     held = {"phones": of("phone_v2"), "emails": of("email_v2"), "unknown": F.sum((F.col("_state") != "found").cast("bigint"))}
     out = children(t["raw_contacts"], "_id", rows, "raw_contact_id", "data", held, ("mimetype_id", "data1"), ("unknown",))
-    return out.select(F.col("_id").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), F.col("display_name").alias("name"), (F.col("deleted") == 1).alias("deleted"), "phones", "emails", "unknown", *carried(out))
+    more = []
+    if "accounts" in t:
+        out = lookup(out, "account_id", t["accounts"], "_id", {"account": "account_name", "account_type": "account_type"}, "account_state")
+        more = ["account", "account_type", "account_state"]
+    out = out.select(F.col("_id").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), F.col("display_name").alias("name"), (F.col("deleted") == 1).alias("deleted"), "phones", "emails", "unknown", *more, *carried(out))
+    if "deleted_contacts" in t:
+        gone = t["deleted_contacts"]
+        out = out.unionByName(gone.select(F.col("contact_id").alias("rowid"), V.unix_us(F.col("contact_deleted_timestamp"), "ms").alias("ts"), F.lit(True).alias("deleted"), *carried(gone)), allowMissingColumns=True)
+    return out
 
 
 def calendar(t: Mapping[str, DataFrame]) -> DataFrame:

@@ -110,8 +110,12 @@ def ios_whatsapp_messages(t: Mapping[str, DataFrame]) -> DataFrame:
     out = lookup(keyed, "ZCHATSESSION", t["ZWACHATSESSION"], "Z_PK", {"chat": "ZCONTACTJID", "partner": "ZPARTNERNAME"}, "chat_state")
     out = lookup(out, "ZGROUPMEMBER", t["ZWAGROUPMEMBER"], "Z_PK", {"member": "ZMEMBERJID"}, "member_state")
     out = lookup(out, "ZMEDIAITEM", t["ZWAMEDIAITEM"], "Z_PK", {"media": "ZMEDIALOCALPATH"}, "media_state")
+    more = []
+    if "ZWAMESSAGEINFO" in t:
+        out = children(out, "Z_PK", t["ZWAMESSAGEINFO"], "ZMESSAGE", "ZWAMESSAGEINFO", {"receipts": F.count("ZRECEIPTINFO")}, ("ZRECEIPTINFO",), ("receipts",))
+        more = ["receipts"]
     sender = F.when(F.col("ZISFROMME") == 0, F.coalesce("member", "chat"))
-    return out.select(F.col("Z_PK").alias("rowid"), T.cocoa_us(F.col("ZMESSAGEDATE").cast("double")).alias("ts"), _direction("ZISFROMME").alias("direction"), "chat", "partner", "chat_state", sender.alias("sender"), "member_state", "media", "media_state", F.col("ZTEXT").alias("body"), *carried(out))
+    return out.select(F.col("Z_PK").alias("rowid"), T.cocoa_us(F.col("ZMESSAGEDATE").cast("double")).alias("ts"), _direction("ZISFROMME").alias("direction"), "chat", "partner", "chat_state", sender.alias("sender"), "member_state", "media", "media_state", F.col("ZTEXT").alias("body"), *more, *carried(out))
 
 
 def ios_whatsapp_calls(t: Mapping[str, DataFrame]) -> DataFrame:
@@ -147,7 +151,8 @@ def telegram_messages(t: Mapping[str, DataFrame]) -> DataFrame:
     """Messages with their dialog: a user, a group (negative ids) or a secret chat (ids above 32 bits)."""
     uid = F.col("uid")
     kind = F.when(uid >= 1 << 32, "secret").when(uid < 0, "chat").when(uid > 0, "user")
-    keyed = t["messages"].withColumns({"_kind": kind, "_u": F.when(kind == "user", uid), "_c": F.when(kind == "chat", -uid), "_e": F.when(kind == "secret", F.floor(uid / (1 << 32)))})
+    source = t["messages_v2"] if "messages_v2" in t else t["messages"]  # newer versions keep the older table, without what came later
+    keyed = source.withColumns({"_kind": kind, "_u": F.when(kind == "user", uid), "_c": F.when(kind == "chat", -uid), "_e": F.when(kind == "secret", F.floor(uid / (1 << 32)))})
     out = lookup(keyed, "_e", t["enc_chats"], "uid", {"_eu": "user"}, "_es")
     out = out.withColumn("_u", F.coalesce("_u", "_eu"))
     out = lookup(out, "_u", t["users"], "uid", {"_un": "name"}, "_us")

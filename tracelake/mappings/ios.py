@@ -56,8 +56,18 @@ def calls(t: Mapping[str, DataFrame]) -> DataFrame:
     return t["ZCALLRECORD"].select(F.col("Z_PK").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), direction.alias("direction"), outcome.alias("outcome"), kind.alias("kind"), F.col("ZADDRESS").alias("address"), *carried(t["ZCALLRECORD"]))
 
 
+def calls_legacy(t: Mapping[str, DataFrame]) -> DataFrame:
+    """Calls of the older table; what its flags mean isn't read, so directions and outcomes are unknown."""
+    ts = V.unix_us(F.col("date"), "s")
+    end = F.when(F.col("duration") >= 0, ts + F.col("duration") * 1_000_000)
+    return t["call"].select(F.col("ROWID").alias("rowid"), ts.alias("ts"), end.alias("end_ts"), F.lit("unknown").alias("direction"), F.lit("unknown").alias("outcome"), "address", F.col("flags").alias("raw_flags"), *carried(t["call"]))
+
+
 def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
-    """Persons with labelled phones and e-mail addresses, and their groups; each child table is aggregated by person first."""
+    """Persons with labelled phones and e-mail addresses, and their groups; each child table is aggregated by person first.
+
+    With their tables: postal addresses, whose values have entries of their own, and the store that a person is in.
+    """
     values = lookup(t["ABMultiValue"], "label", t["ABMultiValueLabel"], "ROWID", {"_label": "value"}, "_state")
     shown = F.concat_ws("=", T.unwrap_label(F.coalesce("_label", F.lit(""))), "value")
     of = lambda kind: listed(F.when(F.col("property") == kind, shown))
@@ -65,8 +75,18 @@ def contacts(t: Mapping[str, DataFrame]) -> DataFrame:
     groups = lookup(t["ABGroupMembers"], "group_id", t["ABGroup"], "ROWID", {"_group": "Name"}, "_state")
     out = children(t["ABPerson"], "ROWID", values, "record_id", "ABMultiValue", held, ("property", "label", "value"), ("unlabelled",))
     out = children(out, "ROWID", groups, "member_id", "ABGroupMembers", {"groups": listed(F.col("_group"))}, ("group_id",))
+    more = []
+    if "ABMultiValueEntry" in t:
+        parts = lookup(t["ABMultiValueEntry"], "key", t["ABMultiValueEntryKey"], "ROWID", {"_part": "value"}, "_state")
+        line = F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "_part", "value"))), "; ")
+        whole = children(t["ABMultiValue"], "UID", parts, "parent_id", "ABMultiValueEntry", {"_line": line}, ("key", "value"))
+        out = children(out, "ROWID", whole.where("_line IS NOT NULL"), "record_id", "addresses", {"addresses": F.array_sort(F.collect_set("_line"))}, ("property",))
+        more.append("addresses")
+    if "ABStore" in t:
+        out = lookup(out, "StoreID", t["ABStore"], "ROWID", {"store": "Name"}, "store_state")
+        more += ["store", "store_state"]
     name = F.concat_ws(" ", "First", "Last")
-    return out.select(F.col("ROWID").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "phones", "emails", "groups", "unlabelled", *carried(out))
+    return out.select(F.col("ROWID").alias("rowid"), F.lit(None).cast("bigint").alias("ts"), name.alias("name"), "phones", "emails", "groups", "unlabelled", *more, *carried(out))
 
 
 def calendar(t: Mapping[str, DataFrame]) -> DataFrame:

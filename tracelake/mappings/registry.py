@@ -42,6 +42,7 @@ PARSERS = {
         Parser("ios.sms", "1", ("message",), {"message": ("ROWID", "handle_id", "date", "is_from_me"), "handle": ("ROWID", "id"), "chat_message_join": ("chat_id", "message_id")}, ios.messages),
         Parser("chromium.searches", "1", ("web_search",), {"keyword_search_terms": ("keyword_id", "url_id", "term"), "urls": ("id", "url", "last_visit_time")}, browsers.chromium_searches),
         Parser("ios.calls", "1", ("call",), {"ZCALLRECORD": ("Z_PK", "ZDATE", "ZDURATION", "ZORIGINATED", "ZANSWERED", "ZCALLTYPE", "ZADDRESS")}, ios.calls),
+        Parser("ios.calls.legacy", "1", ("call",), {"call": ("ROWID", "address", "date", "duration", "flags")}, ios.calls_legacy),
         Parser("ios.addressbook", "1", ("contact",), {"ABPerson": ("ROWID", "First", "Last"), "ABMultiValue": ("record_id", "property", "label", "value"), "ABMultiValueLabel": ("ROWID", "value"), "ABGroupMembers": ("group_id", "member_id"), "ABGroup": ("ROWID", "Name")}, ios.contacts),
         Parser("ios.calendar", "1", ("calendar_event",), {"CalendarItem": ("ROWID", "start_date", "end_date", "calendar_id", "location_id"), "Calendar": ("ROWID", "title"), "Location": ("ROWID", "title"), "Participant": ("owner_id", "identity_id"), "Identity": ("ROWID", "display_name"), "Alarm": ("calendaritem_owner_id", "trigger_interval"), "Recurrence": ("owner_id", "frequency"), "ExceptionDate": ("owner_id", "date")}, ios.calendar),
         Parser("android.whatsapp.msgstore", "1", ("message",), {"message": ("_id", "chat_row_id", "from_me", "timestamp", "sender_jid_row_id"), "chat": ("_id", "jid_row_id", "subject"), "jid": ("_id", "raw_string"), "message_media": ("message_row_id", "file_path"), "message_quoted": ("message_row_id", "key_id"), "message_revoked": ("message_row_id",), "message_add_on": ("parent_message_row_id", "reaction"), "deleted_chat_job": ("_id", "chat_row_id", "deleted_message_row_id", "deleted_starred_message_row_id")}, chats.whatsapp_messages),
@@ -57,12 +58,36 @@ PARSERS = {
 }
 
 
-def probe(parser: Parser, tables: Tables) -> str:
-    """applicable, not-applicable (none of its tables) or unsupported-schema (a table or a column is missing)."""
-    if not any(t in tables for t in parser.needs):
-        return "not-applicable"
-    whole = all(t in tables and set(c) <= set(tables[t].columns) for t, c in parser.needs.items())
-    return "applicable" if whole else "unsupported-schema"
+#: Tables that a mapping reads where they are there, with the columns that it needs of them.
+OPTIONAL: dict[str, dict[str, tuple[str, ...]]] = {
+    "android.contacts": {"accounts": ("_id", "account_name", "account_type"), "deleted_contacts": ("contact_id", "contact_deleted_timestamp")},
+    "android.calendar": {"CalendarAlerts": ("event_id", "alarmTime"), "ExtendedProperties": ("event_id", "name", "value"), "EventsRawTimes": ("event_id", "dtstart2445", "dtend2445")},
+    "ios.sms": {"chat_handle_join": ("chat_id", "handle_id"), "message_attachment_join": ("message_id", "attachment_id"), "chat_recoverable_message_join": ("message_id",)},
+    "ios.addressbook": {"ABMultiValueEntry": ("parent_id", "key", "value"), "ABMultiValueEntryKey": ("ROWID", "value"), "ABStore": ("ROWID", "Name")},
+    "safari.history": {"history_tombstones": ("id", "start_time", "end_time", "url")},
+    "android.whatsapp.msgstore": {"message_system": ("message_row_id", "action_type"), "message_location": ("message_row_id", "latitude", "longitude"), "message_vcard": ("message_row_id",), "jid_map": ("lid_row_id", "jid_row_id")},
+    "android.whatsapp.calls": {"jid_map": ("lid_row_id", "jid_row_id")},
+    "ios.whatsapp.chats": {"ZWAMESSAGEINFO": ("ZMESSAGE", "ZRECEIPTINFO")},
+    "android.telegram": {"messages_v2": ("mid", "uid", "out", "date", "message")},
+}
+
+
+def probe(parser: Parser, tables: Tables, entropy: float | None = None, companions: bool = False) -> str:
+    """Whether a set of tables can be mapped.
+
+    encrypted: the file's bytes look random (entropy in bits of a byte, above 7.9) and no table was read; deferred: a companion
+    may still bring the tables that are missing, so the mapping is to be tried; not-applicable: none of its tables;
+    unsupported-schema: a table or a column is missing, of optional tables too; applicable.
+    """
+    if entropy is not None and entropy > 7.9 and not tables:
+        return "encrypted"
+    needs = {t: c for t, c in {**parser.needs, **OPTIONAL.get(parser.name, {})}.items() if t in parser.needs or t in tables}
+    whole = all(t in tables and set(c) <= set(tables[t].columns) for t, c in needs.items())
+    if whole:
+        return "applicable"
+    if companions:
+        return "deferred"
+    return "unsupported-schema" if any(t in tables for t in parser.needs) else "not-applicable"
 
 
 def records(parser: Parser, tables: Tables, name: str | None = None) -> DataFrame:

@@ -49,6 +49,7 @@ APP |= {
     "chats": ("nation", "true", "n_nationkey AS uid, n_name AS name"),
     "enc_chats": ("supplier", "true", "s_suppkey AS uid, s_suppkey * 2 AS user"),
     "contacts": ("supplier", "true", "s_suppkey * 3 AS uid, s_suppkey % 2 AS mutual"),
+    "call": ("events", "event_id % 2 = 1", "event_id AS ROWID, concat('+2', cast(user_id AS string)) AS address, US(ts) // 1000000 AS date, event_id % 300 - 1 AS duration, event_id % 6 AS flags"),
     "lg_messages": ("orders", "true", "o_orderkey AS _id, concat('c', cast(o_custkey % 150 AS string)) AS key_remote_jid, o_orderkey % 3 AS key_from_me, US(o_orderdate) // 1000 AS timestamp, o_orderpriority AS data, o_custkey % 7 AS status, CASE WHEN o_orderkey % 4 = 0 THEN concat('r', cast(o_custkey AS string)) ELSE '' END AS remote_resource, CASE WHEN o_orderkey % 6 = 1 THEN o_custkey END AS quoted_row_id"),
     "lg_chat_list": ("supplier", "true", "concat('c', cast(s_suppkey % 90 AS string)) AS key_remote_jid, s_name AS subject"),
     "lg_messages_quotes": ("part", "p_partkey % 3 <> 0", "p_partkey AS _id, p_name AS data"),

@@ -147,3 +147,33 @@ CALENDAR = (*registry.PARSERS["android.calendar"].needs, "CalendarAlerts", "Exte
 Q["q_map_calendar_tables"] = lambda s, d: registry.PARSERS["android.calendar"].run({n: app_table(s, d, n) for n in CALENDAR}).select("rowid", "alerts", "next_alert", F.to_json("properties").alias("properties"), "raw_start", "raw_end", "raw_times_state")
 SQL["q_map_calendar_tables"] = app_sql(CALENDAR) + """, a AS (SELECT event_id AS k, count(*) AS n, min(alarmTime) * 1000 AS t FROM a_CalendarAlerts GROUP BY 1), p AS (SELECT event_id AS k, '[' || string_agg(DISTINCT '{"name":"' || name || '","value":"' || value || '"}', ',' ORDER BY '{"name":"' || name || '","value":"' || value || '"}') || ']' AS j FROM a_ExtendedProperties GROUP BY 1)
 SELECT _id AS rowid, coalesce(a.n, 0) AS alerts, a.t AS next_alert, p.j AS properties, r.dtstart2445 AS raw_start, r.dtend2445 AS raw_end, CASE WHEN r.event_id IS NULL THEN 'unresolved' ELSE 'found' END AS raw_times_state FROM a_Events e LEFT JOIN a ON a.k = _id LEFT JOIN p ON p.k = _id LEFT JOIN a_EventsRawTimes r ON r.event_id = _id"""
+
+
+# Other tables that only some versions have.
+APP |= {
+    "op_raw_contacts": ("customer", "true", "c_custkey AS _id, c_name AS display_name, c_custkey % 4 // 3 AS deleted, CASE WHEN c_custkey % 6 <> 0 THEN c_nationkey END AS account_id"),
+    "op_accounts": ("nation", "n_nationkey % 8 <> 3", "cast(n_nationkey AS bigint) AS _id, n_name AS account_name, concat('type', cast(n_regionkey AS string)) AS account_type"),
+    "op_deleted_contacts": ("supplier", "true", "s_suppkey + 1000000 AS contact_id, s_suppkey * 1700000000 + 1600000000000 AS contact_deleted_timestamp"),
+    "op_ABPerson": ("customer", "true", "c_custkey AS ROWID, c_name AS First, CASE WHEN c_custkey % 2 = 0 THEN 'X' END AS Last, c_custkey % 9 AS StoreID"),
+    "op_ABMultiValue": ("orders", "true", "o_orderkey AS UID, o_custkey AS record_id, CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS property, o_orderkey % 4 AS label, CASE WHEN o_orderkey % 3 <> 2 THEN concat('v', cast(o_orderkey % 100 AS string)) END AS value"),
+    "ABMultiValueEntry": ("lineitem", "l_orderkey % 3 = 2", "l_orderkey AS parent_id, l_linenumber AS key, concat('p', cast(l_suppkey AS string)) AS value"),
+    "ABMultiValueEntryKey": ("region", "true", "cast(r_regionkey AS bigint) AS ROWID, r_name AS value"),
+    "ABStore": ("region", "true", "cast(r_regionkey AS bigint) AS ROWID, r_name AS Name"),
+    "ZWAMESSAGEINFO": ("lineitem", "true", "l_orderkey AS ZMESSAGE, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey END AS ZRECEIPTINFO"),
+}
+CONTACTS = {"raw_contacts": "op_raw_contacts", "data": "data", "mimetypes": "mimetypes", "accounts": "op_accounts", "deleted_contacts": "op_deleted_contacts"}
+Q["q_map_contacts_accounts"] = lambda s, d: registry.PARSERS["android.contacts"].run({n: app_table(s, d, a) for n, a in CONTACTS.items()}).select("rowid", "ts", "name", "deleted", "account", "account_type", "account_state")
+SQL["q_map_contacts_accounts"] = app_sql(tuple(CONTACTS.values())) + f"""SELECT r._id AS rowid, NULL::BIGINT AS ts, display_name AS name, deleted = 1 AS deleted, account_name AS account, account_type, CASE WHEN account_id IS NULL THEN 'none' WHEN a._id IS NULL THEN 'unresolved' ELSE 'found' END AS account_state FROM a_op_raw_contacts r LEFT JOIN a_op_accounts a ON a._id = account_id
+UNION ALL SELECT contact_id, {PLAUSIBLE.format(us="(contact_deleted_timestamp * 1000)")}, NULL, true, NULL, NULL, NULL FROM a_op_deleted_contacts"""
+BOOK = {"ABPerson": "op_ABPerson", "ABMultiValue": "op_ABMultiValue", **{n: n for n in ("ABMultiValueLabel", "ABGroupMembers", "ABGroup", "ABMultiValueEntry", "ABMultiValueEntryKey", "ABStore")}}
+Q["q_map_ios_addresses"] = lambda s, d: registry.PARSERS["ios.addressbook"].run({n: app_table(s, d, a) for n, a in BOOK.items()}).select("rowid", "phones", F.array_join("addresses", " | ").alias("addresses"), "store", "store_state")
+SQL["q_map_ios_addresses"] = app_sql(tuple(BOOK.values())) + """, l AS (SELECT ROWID AS k, CASE WHEN value LIKE '%<%>%' THEN split_part(split_part(value, '<', 2), '>', 1) ELSE value END AS v FROM a_ABMultiValueLabel),
+p AS (SELECT record_id AS k, array_to_string(list_sort(list(DISTINCT coalesce(l.v, '') || '=' || value) FILTER (WHERE property = 3)), ',') AS phones, count(*) AS n FROM a_op_ABMultiValue LEFT JOIN l ON l.k = label GROUP BY 1),
+e AS (SELECT parent_id AS k, array_to_string(list_sort(list(DISTINCT CASE WHEN y.value IS NULL THEN x.value ELSE y.value || '=' || x.value END)), '; ') AS line FROM a_ABMultiValueEntry x LEFT JOIN a_ABMultiValueEntryKey y ON y.ROWID = x.key GROUP BY 1),
+a AS (SELECT record_id AS k, array_to_string(list_sort(list(DISTINCT line)), ' | ') AS addresses FROM a_op_ABMultiValue JOIN e ON e.k = UID GROUP BY 1)
+SELECT x.ROWID AS rowid, CASE WHEN p.n IS NOT NULL THEN coalesce(phones, '') END AS phones, addresses, s.Name AS store, CASE WHEN s.ROWID IS NULL THEN 'unresolved' ELSE 'found' END AS store_state FROM a_op_ABPerson x LEFT JOIN p ON p.k = x.ROWID LEFT JOIN a ON a.k = x.ROWID LEFT JOIN a_ABStore s ON s.ROWID = StoreID"""
+RECEIPTS = (*registry.PARSERS["ios.whatsapp.chats"].needs, "ZWAMESSAGEINFO")
+Q["q_map_ios_receipts"] = lambda s, d: registry.PARSERS["ios.whatsapp.chats"].run({n: app_table(s, d, n) for n in RECEIPTS}).select("rowid", "receipts")
+SQL["q_map_ios_receipts"] = app_sql(RECEIPTS) + " SELECT Z_PK AS rowid, coalesce(n, 0) AS receipts FROM a_ZWAMESSAGE LEFT JOIN (SELECT ZMESSAGE AS k, count(ZRECEIPTINFO) AS n FROM a_ZWAMESSAGEINFO GROUP BY 1) ON k = Z_PK"
+Q["q_map_ios_calls_legacy"] = lambda s, d: registry.PARSERS["ios.calls.legacy"].run({"call": app_table(s, d, "call")})
+SQL["q_map_ios_calls_legacy"] = app_sql(("call",)) + " SELECT ROWID AS rowid, date * 1000000 AS ts, CASE WHEN duration >= 0 THEN (date + duration) * 1000000 END AS end_ts, 'unknown' AS direction, 'unknown' AS outcome, address, flags AS raw_flags FROM a_call"
