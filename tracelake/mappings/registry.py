@@ -160,3 +160,26 @@ def named(paths: DataFrame, path: str) -> DataFrame:
     for pattern, parser in NAMERS.items():
         out = F.when(F.col(path).rlike(pattern), parser).otherwise(out)
     return paths.withColumn("parser", out)
+
+
+#: Names of database files alone, for copies outside of their apps' folders, and what tables a database has that no name gives away.
+FILE_NAMES = {"mmssms.db": "android.sms", "calllog.db": "android.calllog", "contacts2.db": "android.contacts", "calendar.db": "android.calendar", "msgstore.db": "android.whatsapp.msgstore", "wa.db": "android.whatsapp.contacts", "sms.db": "ios.sms", "ChatStorage.sqlite": "ios.whatsapp.chats"}
+
+
+def named_by_chain(files: DataFrame, path: str, tables: str) -> DataFrame:
+    """files with ``parser`` and ``namer``: the first of a chain that names a file.
+
+    path: the place where its app keeps it; name: the file's name; tables: the one parser all of whose tables are among the
+    file's (an array of names). Several such parsers name nothing.
+    """
+    by_path = F.lit(None).cast("string")
+    for pattern, parser in NAMERS.items():
+        by_path = F.when(F.col(path).rlike(pattern), parser).otherwise(by_path)
+    name = F.substring_index(path, "/", -1)
+    by_name = F.lit(None).cast("string")
+    for known, parser in FILE_NAMES.items():
+        by_name = F.when(name == known, parser).otherwise(by_name)
+    fits = F.array_compact(F.array(*[F.when(F.size(F.array_except(F.array(*[F.lit(t) for t in p.needs]), F.col(tables))) == 0, p.name) for p in PARSERS.values()]))
+    by_tables = F.when(F.size(fits) == 1, fits[0])
+    namer = F.when(by_path.isNotNull(), "path").when(by_name.isNotNull(), "name").when(by_tables.isNotNull(), "tables")
+    return files.withColumns({"parser": F.coalesce(by_path, by_name, by_tables), "namer": namer})

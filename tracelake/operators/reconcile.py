@@ -74,3 +74,22 @@ def located(refs: DataFrame, files: DataFrame, path: str, source: str) -> DataFr
     out = refs.join(anywhere, F.col(path) == F.col("_any"), "left").join(by, (F.col(path) == F.col("_path")) & (F.col(source) == F.col("_source")), "left")
     state = F.when(F.col("_k") == 1, "found").when(F.col("_k") > 1, "ambiguous").when(F.col("files").isNotNull(), "other-source").otherwise("unresolved")
     return out.select(*refs.columns, state.alias("state"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def owners(files: DataFrame, group: str, path: str, primary: Column, companions: dict[str, str]) -> DataFrame:
+    """group, path, role, owner, state of every companion: the primary whose path it extends.
+
+    state: ok, orphan (no such primary), ambiguous (several primaries of that path), or shared (the primary has several files for that
+    role, so none is its companion).
+    """
+    base, role = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, suffix in companions.items():
+        is_it = F.endswith(F.col(path), F.lit(suffix)) & ~primary
+        base = F.when(is_it, F.substring(path, 1, F.length(path) - len(suffix))).otherwise(base)
+        role = F.when(is_it, name).otherwise(role)
+    mine = files.select(F.col(group).alias("_g"), F.col(path).alias("_p"), base.alias("_base"), role.alias("_role")).where("_role IS NOT NULL")
+    heads = files.where(primary).groupBy(F.col(group).alias("_hg"), F.col(path).alias("_hp")).agg(F.count("*").alias("_n"))
+    same = mine.groupBy("_g", "_base", "_role").agg(F.count("*").alias("_k"))
+    out = mine.join(heads, (F.col("_g") == F.col("_hg")) & (F.col("_base") == F.col("_hp")), "left").join(same, ["_g", "_base", "_role"])
+    state = F.when(F.col("_n").isNull(), "orphan").when(F.col("_n") > 1, "ambiguous").when(F.col("_k") > 1, "shared").otherwise("ok")
+    return out.select(F.col("_g").alias(group), F.col("_p").alias(path), F.col("_role").alias("role"), F.when(F.col("_n") == 1, F.col("_base")).alias("owner"), state.alias("state"))

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.fold import VERSION, fold, folded, folded_map, normalise, normalised, tokens, trigrams, words
+from tracelake.operators import localise
+from tracelake.sources.staging import staged
 
 WEIGHTS = {"summary": 2.0, "body": 1.0}
 COLUMNS = tuple(WEIGHTS)
@@ -164,6 +166,14 @@ def index_proof(index: DataFrame, recs: DataFrame, key: str, batch_rows: int, fu
     return one.join(two, "batch_no", "full").select("batch_no", state.alias("state"))
 
 
+def index_faults(index: DataFrame, recs: DataFrame, full: bool = True) -> DataFrame:
+    """id, state of records whose postings differ from those in the index: missing, extra or differs; found by sums of id ranges."""
+    columns = ["col", "pos", "term"]
+    sides = [staged(side, "postings-side") for side in (index.select("id", *columns), postings(recs, full=full))]
+    kept = [staged(localise.sums(side, "id", columns), "postings-sums") for side in sides]
+    return localise.differing(sides[0], kept[0], sides[1], kept[1], "id", columns)
+
+
 # Queries.
 
 
@@ -235,12 +245,13 @@ def term_hits(index: DataFrame, terms: Sequence[str], ids: int = 0, columns: Seq
         raise InvalidQuery(f"more than {MAX_LITERALS} terms or {MAX_IDS} ids")
     wanted = index.sparkSession.createDataFrame([(t, " ".join(words(t))) for t in dict.fromkeys(terms)], "term string, _word string")
     found = index.where(F.col("term").isin(*{" ".join(words(t)) for t in terms}) & F.col("col").isin(*columns)).select(F.col("term").alias("_word"), "id").distinct()
-    counted = found.groupBy("_word").agg(F.count("*").alias("n"))
-    out = wanted.join(counted, "_word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    if ids:
-        rank = F.row_number().over(Window.partitionBy("_word").orderBy("id"))
-        first = found.withColumn("_r", rank).where(F.col("_r") <= ids).groupBy("_word").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        out = out.join(first, "_word", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    if not ids:
+        counted = found.groupBy("_word").agg(F.count("*").alias("n"))
+        return wanted.join(counted, "_word", "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("_word")
+    # The hits are read once: a word's count is its last rank.
+    ranked_ = found.withColumn("_r", F.row_number().over(Window.partitionBy("_word").orderBy("id")).cast("bigint"))
+    counted = ranked_.groupBy("_word").agg(F.max("_r").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= ids, F.col("id")))).alias("ids"))
+    out = wanted.join(counted, "_word", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ids": F.coalesce("ids", F.array().cast("array<bigint>"))})
     return out.drop("_word")
 
 

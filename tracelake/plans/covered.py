@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import payloads, texts
 from tracelake.mappings import registry
-from tracelake.operators import listing, search
+from tracelake.operators import listing, reconcile, search
 from tracelake.operators.filters import Filter
 from tracelake.sources import records as R
 from tracelake.sources.staging import new_path, staged
-from tracelake.streaming import ingest
+from tracelake.streaming import ingest, postings
 
-from .mapped import APP, app_sql, app_table
+from .mapped import APP, FILES, app_sql, app_table
+from .searched import POSTINGS, index
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,3 +178,42 @@ Q["q_map_ios_receipts"] = lambda s, d: registry.PARSERS["ios.whatsapp.chats"].ru
 SQL["q_map_ios_receipts"] = app_sql(RECEIPTS) + " SELECT Z_PK AS rowid, coalesce(n, 0) AS receipts FROM a_ZWAMESSAGE LEFT JOIN (SELECT ZMESSAGE AS k, count(ZRECEIPTINFO) AS n FROM a_ZWAMESSAGEINFO GROUP BY 1) ON k = Z_PK"
 Q["q_map_ios_calls_legacy"] = lambda s, d: registry.PARSERS["ios.calls.legacy"].run({"call": app_table(s, d, "call")})
 SQL["q_map_ios_calls_legacy"] = app_sql(("call",)) + " SELECT ROWID AS rowid, date * 1000000 AS ts, CASE WHEN duration >= 0 THEN (date + duration) * 1000000 END AS end_ts, 'unknown' AS direction, 'unknown' AS outcome, address, flags AS raw_flags FROM a_call"
+
+
+# Owners of companions, the chain of namers, faults of an index by record, and postings from a stream.
+Q["q_companion_owners"] = lambda s, d: reconcile.owners(s.read.parquet(f"{d}/lineitem.parquet").where("l_partkey % 11 <> 3 OR l_linenumber <> 1").selectExpr(*FILES.split(", ", 1)), "g", "path", F.col("path").rlike("^/db[0-9]+$"), {"wal": "-wal", "journal": "-journal"})
+SQL["q_companion_owners"] = f"""WITH f AS (SELECT {FILES.replace('AS string', 'AS VARCHAR')} FROM lineitem WHERE l_partkey % 11 <> 3 OR l_linenumber <> 1), m AS (SELECT *, regexp_replace(path, '-(wal|journal)$', '') AS base, regexp_extract(path, '-(wal|journal)$', 1) AS role FROM f WHERE regexp_matches(path, '-(wal|journal)$')),
+h AS (SELECT g, path, count(*) AS n FROM f WHERE regexp_full_match(path, '/db[0-9]+') GROUP BY 1, 2), k AS (SELECT g, base, role, count(*) AS k FROM m GROUP BY 1, 2, 3)
+SELECT m.g, m.path, m.role, CASE WHEN h.n = 1 THEN m.base END AS owner, CASE WHEN h.n IS NULL THEN 'orphan' WHEN h.n > 1 THEN 'ambiguous' WHEN k.k > 1 THEN 'shared' ELSE 'ok' END AS state FROM m LEFT JOIN h ON h.g = m.g AND h.path = m.base JOIN k ON k.g = m.g AND k.base = m.base AND k.role = m.role"""
+NAMED = "o_orderkey, concat(CASE o_orderkey % 3 WHEN 0 THEN '/data/data/com.android.providers.contacts/databases/' WHEN 1 THEN '/copies/' ELSE '/x' END, CASE o_custkey % 4 WHEN 0 THEN 'calllog.db' WHEN 1 THEN 'contacts2.db' WHEN 2 THEN 'sms.db' ELSE 'other.db' END) AS path, CASE o_custkey % 6 WHEN 0 THEN array('calls') WHEN 1 THEN array('ZCALLRECORD', 'more') WHEN 2 THEN array('message', 'handle') WHEN 3 THEN array('call', 'calls') ELSE array('wa_contacts') END AS tables"
+over(
+    "q_namer_chain", "orders", NAMED, lambda t: registry.named_by_chain(t, "path", "tables").select("o_orderkey", "parser", "namer"),
+    """, y AS (SELECT *, CASE WHEN path LIKE '/data/data/com.android.providers.contacts/databases/calllog.db' THEN 'android.calllog' WHEN path LIKE '/data/data/com.android.providers.contacts/databases/contacts2.db' THEN 'android.contacts' END AS p,
+  CASE split_part(path, '/', -1) WHEN 'calllog.db' THEN 'android.calllog' WHEN 'contacts2.db' THEN 'android.contacts' WHEN 'sms.db' THEN 'ios.sms' END AS n, CASE WHEN list_contains(tables, 'call') THEN NULL WHEN list_contains(tables, 'calls') THEN 'android.calllog' WHEN list_contains(tables, 'ZCALLRECORD') THEN 'ios.calls' WHEN list_contains(tables, 'wa_contacts') THEN 'android.whatsapp.contacts' END AS t FROM x)
+SELECT o_orderkey, coalesce(p, n, t) AS parser, CASE WHEN p IS NOT NULL THEN 'path' WHEN n IS NOT NULL THEN 'name' WHEN t IS NOT NULL THEN 'tables' END AS namer FROM y""",
+)
+SQL["q_namer_chain"] = SQL["q_namer_chain"].replace("array(", "list_value(")
+
+
+def index_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of an index from which records, words and places have been taken."""
+    held = index(spark, d).where("id % 97 <> 3 AND NOT (id % 89 = 5 AND pos = 0)").withColumn("term", F.when((F.col("id") % 83 == 7) & (F.col("pos") == 1), "other").otherwise(F.col("term")))
+    return search.index_faults(held, notes(spark, d))
+
+
+Q["q_index_faults"] = index_faults
+SQL["q_index_faults"] = POSTINGS + ", s AS (SELECT id, col, pos, CASE WHEN id % 83 = 7 AND pos = 1 THEN 'other' ELSE term END AS term FROM p WHERE id % 97 <> 3 AND NOT (id % 89 = 5 AND pos = 0)), e AS (SELECT id, list((col, pos, term) ORDER BY col, pos, term) AS v FROM p GROUP BY 1), g AS (SELECT id, list((col, pos, term) ORDER BY col, pos, term) AS v FROM s GROUP BY 1) SELECT id, CASE WHEN g.v IS NULL THEN 'missing' ELSE 'differs' END AS state FROM e LEFT JOIN g USING (id) WHERE e.v IS DISTINCT FROM g.v"
+
+
+def streamed_postings(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "stream-postings")
+    rows = staged(notes(spark, d).select("id", "summary", "body"), "notes")
+    for n in range(2):
+        rows.where(F.col("id") % 2 == n).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        postings.index_stream(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return postings.read(spark, f"{path}/out").groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("id").alias("records"))
+
+
+Q["q_stream_postings"] = streamed_postings
+SQL["q_stream_postings"] = POSTINGS + "SELECT term, count(*) AS n, count(DISTINCT id) AS records FROM p GROUP BY term"
