@@ -38,7 +38,7 @@ PLAUSIBLE = f"CASE WHEN {{us}} >= {LEAST} AND {{us}} < {MOST} THEN {{us}} END"
 over(
     "q_times_cocoa_seconds", "lineitem", "l_orderkey, l_linenumber, CASE l_partkey % 9 WHEN 0 THEN cast('NaN' AS double) WHEN 1 THEN cast(0 AS double) WHEN 2 THEN cast(-1 AS double) WHEN 3 THEN floor(l_extendedprice) * 10000000 WHEN 4 THEN cast('-Infinity' AS double) WHEN 5 THEN -floor(l_extendedprice) * 20000 ELSE floor(l_extendedprice) * 8000 + l_quantity / 8 END AS v",
     lambda t: t.select("l_orderkey", "l_linenumber", texts.cocoa_us(F.col("v").cast("double")).alias("us")),
-    "SELECT l_orderkey, l_linenumber, " + PLAUSIBLE.format(us="u") + " AS us FROM (SELECT *, CASE WHEN NOT isnan(v) AND abs(v) <= 1e11 AND v NOT IN (0, -1) THEN floor(v * 1e6)::HUGEINT + 978307200000000 END AS u FROM x)",
+    "SELECT l_orderkey, l_linenumber, (" + PLAUSIBLE.format(us="u") + ")::BIGINT AS us FROM (SELECT *, CASE WHEN NOT isnan(v) AND abs(v) <= 1e11 AND v NOT IN (0, -1) THEN floor(v * 1e6)::HUGEINT + 978307200000000 END AS u FROM x)",
 )
 over(
     "q_times_since_1973", "lineitem", "l_orderkey, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN l_partkey * 100000 WHEN 1 THEN l_partkey * 1000000000 WHEN 2 THEN l_suppkey * 94694400000 - l_partkey ELSE -l_partkey END AS v",
@@ -136,7 +136,7 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["q_stream_ingest"] = streamed
-SQL["q_stream_ingest"] = "SELECT count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, 3 AS batches FROM orders"
+SQL["q_stream_ingest"] = "SELECT count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, 3::BIGINT AS batches FROM orders"
 
 # Calendars with the tables that only newer versions have.
 APP |= {

@@ -98,7 +98,7 @@ unknown("q_unknown_mms", "android.mms", ("direction", "receivers", "body", "atta
 b AS (SELECT mid, coalesce(string_agg(text, chr(10) ORDER BY seq, _id, text) FILTER (WHERE ct = 'text/plain'), '') AS body, count(*) FILTER (WHERE ct = 'image/png') AS n, bool_or(text_u) AS short FROM b_part WHERE NOT mid_u GROUP BY 1),
 s AS (SELECT x.*, receivers, p.short AS a_short, body, n, b.mid IS NOT NULL AS held, b.short, {LOST.format(t='b_part', c='mid_u')} AS lost FROM b_pdu x LEFT JOIN p ON k = _id LEFT JOIN b ON mid = _id)
 SELECT _id AS rowid, date * 1000000 AS ts, CASE msg_box WHEN 1 THEN 'in' WHEN 3 THEN 'draft' WHEN 2 THEN 'out' WHEN 4 THEN 'out' ELSE 'unknown' END AS direction, CASE WHEN a_short THEN nullif(receivers, '') ELSE receivers END AS receivers, CASE WHEN lost OR short THEN nullif(body, '') ELSE body END AS body, CASE WHEN held OR NOT lost THEN coalesce(n, 0)::VARCHAR END AS attachments,
-  {_json('map', ('"msg_box":"unread"', 'msg_box_u'))} AS unknown_columns, NULL AS joined_unknown_columns, {_json('list', ('"part"', 'NOT held AND lost'))} AS join_undecided, {_json('list', ('"addr"', 'a_short'), ('"part"', 'held AND (lost OR short)'))} AS join_short FROM s""")
+  {_json('map', ('"msg_box":"unread"', 'msg_box_u'))} AS unknown_columns, NULL::VARCHAR AS joined_unknown_columns, {_json('list', ('"part"', 'NOT held AND lost'))} AS join_undecided, {_json('list', ('"addr"', 'a_short'), ('"part"', 'held AND (lost OR short)'))} AS join_short FROM s""")
 
 # Key joins of cells of mixed kinds: a text column against a numeric one, and a numeric column against texts.
 PROBE = "l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_partkey END AS i, CASE WHEN l_linenumber = 2 THEN l_quantity + l_suppkey % 2 / 2 END AS r, CASE l_linenumber WHEN 3 THEN concat(' ', cast(l_partkey AS string), CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.0' ELSE '0000000000000000001' END) WHEN 4 THEN concat(l_returnflag, cast(l_partkey AS string)) END AS t, CASE WHEN l_linenumber = 5 THEN 'unread' END AS s"
