@@ -18,21 +18,27 @@ UNIGRAM = ("CJK UNIFIED", "CJK COMPATIBILITY IDEOGRAPH", "HIRAGANA LETTER", "KAT
 WORD = r"[\p{L}\p{N}\p{Co}]+"
 
 
-def _clean(text: str) -> str:
-    """Spaces of all kinds and controls as one space; format characters and variation selectors dropped."""
-    out = []
-    for c in text:
+class _Clean(dict):
+    """What each code point becomes, worked out once: spaces of all kinds and controls a space; format characters and variation selectors nothing."""
+
+    def __missing__(self, n: int) -> str:
+        c = chr(n)
         kind = unicodedata.category(c)
         if c == "​" or kind in ("Cc", "Zs", "Zl", "Zp"):
-            out.append(" ")
-        elif kind != "Cf" and not ("︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef"):
-            out.append("�" if kind == "Cs" else c)
-    return "".join(out)
+            self[n] = " "
+        elif kind == "Cf" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef":
+            self[n] = ""
+        else:
+            self[n] = "�" if kind == "Cs" else c
+        return self[n]
 
 
-def _small_cherokee(c: str) -> str:
-    n = ord(c)
-    return chr(n + 0xAB70 - 0x13A0) if 0x13A0 <= n <= 0x13EF else chr(n + 8) if 0x13F0 <= n <= 0x13F5 else c
+_CLEAN = _Clean()
+_CHEROKEE = {n: n + 0xAB70 - 0x13A0 for n in range(0x13A0, 0x13F0)} | {n: n + 8 for n in range(0x13F0, 0x13F6)}
+
+
+def _clean(text: str) -> str:
+    return text.translate(_CLEAN)
 
 
 def is_unigram(c: str) -> bool:
@@ -48,9 +54,11 @@ def normalise(text: str | None) -> str:
     t = unicodedata.normalize("NFKC", _clean(text or ""))
     t = unicodedata.normalize("NFKC", t.casefold())
     t = re.sub("i̇+", "i", t.replace("ı", "i"))
-    t = unicodedata.normalize("NFKC", "".join(_small_cherokee(c) for c in t))
+    t = unicodedata.normalize("NFKC", t.translate(_CHEROKEE) if max(t, default="") >= "\u13a0" else t)
     t = " ".join(_clean(t).split(" ")).strip()
     t = re.sub(" {2,}", " ", t)
+    if max(t, default="") < "々":
+        return t
     out, before = [], False
     for c in t:
         if is_unigram(c):
