@@ -106,3 +106,25 @@ def test_other_columns_and_odd_tables(spark):
     empty = docs.limit(0)
     assert decontaminate.find(empty, bench, text="body", item_id="n", item_text="passage").count() == 0
     assert decontaminate.find(docs, bench.where(F.lit(False)), text="body", item_id="n", item_text="passage").where("size(_matches) > 0").count() == 0
+
+
+def test_model_is_of_all_documents(spark, monkeypatch):
+    """The latent vectors are the axes of all documents and passages, of more documents than were once sampled."""
+    rnd = random.Random(34)
+    vocabulary = sorted({*words(rnd, 24)})
+    items = [" ".join(rnd.sample(vocabulary, 8)) for _ in range(5)]
+    known = sorted({x for i in items for x in i.split()})
+    texts = [" ".join(rnd.choices(vocabulary, weights=[1 + k % 5 for k in range(len(vocabulary))], k=rnd.randint(1, 12))) for _ in range(2500)] + [None, "", "unknown"]
+    real, got = decontaminate.decompose, []
+    monkeypatch.setattr(decontaminate, "decompose", lambda *a: got.append(real(*a)) or got[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    hashes = decontaminate.bins_of([" ".join(known)], decontaminate.word_table())[1]
+    known = [known[i] for i in np.argsort(hashes)]
+    idf = [max(math.log((1 + len(texts)) / (1 + max(sum(x in (t or "").split() for t in texts), 1))), decontaminate.FLOOR) for x in known]
+    rows = np.array([[(t or "").split().count(x) * w for x, w in zip(known, idf)] for t in texts + items])
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    rows[: len(texts)] *= math.sqrt(20 / len(texts))
+    gram = got[0].T @ (rows.T @ rows) @ got[0]
+    assert gram.shape == (len(known), len(known))
+    assert np.abs(gram - np.diag(np.diag(gram))).max() < 1e-4 * gram.max()

@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages, with a bounded sample of documents, are weighted by term and inverse document frequency
-(the frequencies cover all documents), and a distributed randomised singular value decomposition gives their latent
-space: every task sends only its share of the products with a random and then an orthonormal basis, in blocks of terms
-that tasks add up. Each document is read whole in overlapping windows of several lengths; windows whose cosine with a
+Benchmark passages, with all documents, are weighted by term and inverse document frequency, and a distributed
+randomised singular value decomposition gives their latent space: documents are read once into bags of the benchmark's
+terms, which are staged, and every task sends only its share of the products of its bags with a random and then an
+orthonormal basis, in blocks of terms that tasks add up. So that the passages keep their part in the space, however many
+documents there are, these weigh ``DOC_MASS`` passages together at most. Each document is read whole in overlapping windows of several lengths; windows whose cosine with a
 benchmark passage is high enough are candidates, which are checked word by word: by the longest common subsequence, and
 by how many of the passage's telling words (its answer: those of the highest weight) are near. As a match needs so many
 telling words, only windows that can have them are compared; that leaves out no match. The latent space has a fixed rank
@@ -11,8 +12,7 @@ and can miss passages of a large benchmark, so the places of telling words are c
 the same checks: a copy stretched to twice its length at most is found.
 
 Bounds: the benchmark is the stated query set, up to ``MAX_ITEMS`` passages, sent to every task with its latent vectors
-(at most ``BINS`` terms times ``RANK`` numbers, which the driver holds too); the decomposition reads about ``FIT_DOCS``
-different texts, those whose hash is small enough. All documents are searched. Defined cases: null or empty texts and
+(at most ``BINS`` terms times ``RANK`` numbers, which the driver holds too). All documents are counted, fitted and searched. Defined cases: null or empty texts and
 passages match nothing; passages of fewer than ``MIN_WORDS`` words are left out; repeated rows each get their matches; an
 empty benchmark matches nothing; other columns pass through, but for one called ``_matches``, which gives way.
 """
@@ -30,7 +30,9 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from .arrays import chunks, code_points, word_hashes, word_table
 from .common import drop_tables, small_batches, stage_table
 
-BINS, RANK, OVERSAMPLE, FIT_DOCS, MAX_ITEMS, MIN_WORDS = 1 << 18, 256, 16, 2_000, 200_000, 5
+BINS, RANK, OVERSAMPLE, MAX_ITEMS, MIN_WORDS = 1 << 18, 256, 16, 200_000, 5
+#: A document weighs DOC_WEIGHT passages, and all documents DOC_MASS at most. So many cells of documents by terms are multiplied at once.
+DOC_WEIGHT, DOC_MASS, CELLS = 0.01, 20, 4_000_000
 #: Lengths of windows in words; each doubles the one before, the first is two units.
 SCALES, UNIT, TILE = (12, 24, 48), 6, 512
 #: Least weight of a term: those of everyday words, and of passages that are in many documents, count too.
@@ -48,8 +50,8 @@ def bins_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words, (words & np.uint64(BINS - 1)).astype(np.int64), of
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """In how many documents each bin occurs, and the number of documents."""
+def bags(texts: DataFrame, row_of: np.ndarray) -> DataFrame:
+    """bin, n: in how many texts each bin occurs, by tasks (bin -1: how many texts there are). At bin -2, for a chunk of texts: how many of the benchmark's terms each has, these terms, and how often each is there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, total, n = word_table(), np.zeros(BINS, np.int64), 0
@@ -57,12 +59,21 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
             for _, texts in chunks(b["text"]):
                 _, bins, of = bins_of(texts, table)
                 n += len(texts)
-                pairs = np.unique(of * BINS + bins)
-                total += np.bincount(pairs & (BINS - 1), minlength=BINS)
+                pairs, count = np.unique(of * BINS + bins, return_counts=True)
+                text, bins = pairs // BINS, pairs & (BINS - 1)
+                total += np.bincount(bins, minlength=BINS)
+                known = row_of[bins] >= 0
+                arrays = np.bincount(text[known], minlength=len(texts)), row_of[bins[known]], count[known]
+                yield pd.DataFrame({"bin": [-2], "n": [len(texts)], **{k: [x.astype(np.uint32).tobytes()] for k, x in zip(("sizes", "terms", "counts"), arrays, strict=True)}})
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"bin": np.append(seen, -1), "n": np.append(total[seen], n)})
+        yield pd.DataFrame({"bin": np.append(seen, -1), "n": np.append(total[seen], n), "sizes": None, "terms": None, "counts": None})
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    return texts.mapInPandas(run, "bin long, n long, sizes binary, terms binary, counts binary")
+
+
+def document_frequencies(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each bin occurs, and the number of documents, of bags."""
+    counted = counted.where("bin >= -1").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BINS + 1, np.int64)
     out[counted["bin"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     return out[:BINS], int(out[BINS])
@@ -86,27 +97,42 @@ def _sums(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def decompose(passages: DataFrame, row_of: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """The leading right singular vectors (size x rank) of the passages' TF-IDF rows (text, scale)."""
+def dense_rows(sizes: bytes, terms: bytes, counts: bytes, scale: float, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms, and TF-IDF rows of length scale over them, of the texts of a bag that have terms; some texts at a time."""
+    size, term, count = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (sizes, terms, counts))
+    size = size[size > 0]
+    text = np.repeat(np.arange(len(size)), size)
+    value = count * weight[term].astype(float)
+    value *= scale / np.sqrt(np.bincount(text, weights=value**2, minlength=1))[text]
+    used, at = np.unique(term, return_inverse=True)
+    step = max(1, CELLS // max(len(used), 1))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    for lo in range(0, len(size), step):
+        hi = min(lo + step, len(size))
+        part = slice(ends[lo], ends[hi])
+        out = np.zeros((hi - lo, len(used)), np.float32)
+        out[text[part] - lo, at[part]] = value[part]
+        yield used, out
+
+
+def decompose(rows: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors (terms x rank) of the TF-IDF rows of bags (scale, sizes, terms, counts)."""
+    size = len(weight)
     rank = min(RANK + OVERSAMPLE, size)
+    # As many tasks as run at once: each sends a sum as large as the basis.
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
     def products(basis: np.ndarray, both: bool) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            table = word_table()
             total = np.zeros((basis.shape[1] if both else size, basis.shape[1]), np.float32)
             for b in batches:
-                scale = b["scale"].to_numpy()
-                for first, texts in chunks(b["text"], 40_000):
-                    _, bins, of = bins_of(texts, table)
-                    text, term, value = _rows(bins, of, row_of, weight, size)
-                    value = (value * scale[first + text]).astype(np.float32)
-                    y = _sums(text, basis[term] * value[:, None], len(texts))
-                    if both:
-                        total += y.T @ y
-                    else:
-                        order = np.argsort(term, kind="stable")
-                        used, at = np.unique(term[order], return_inverse=True)
-                        total[used] += _sums(at, y[text[order]] * value[order, None], len(used))
+                for bag in zip(b["sizes"], b["terms"], b["counts"], b["scale"], strict=True):
+                    for used, x in dense_rows(*bag, weight):
+                        y = x @ basis[used]
+                        if both:
+                            total += y.T @ y
+                        else:
+                            total[used] += x.T @ y
             for k in range(0, len(total), TERMS):
                 yield pd.DataFrame({"block": [k // TERMS], "part": [total[k : k + TERMS].tobytes()]})
 
@@ -114,7 +140,7 @@ def decompose(passages: DataFrame, row_of: np.ndarray, weight: np.ndarray, size:
             whole = sum(np.frombuffer(x, np.float32) for x in block["part"])
             return pd.DataFrame({"block": block["block"][:1], "part": [whole.tobytes()]})
 
-        parts = passages.mapInPandas(run, "block int, part binary").groupBy("block").applyInPandas(added, "block int, part binary").orderBy("block").collect()
+        parts = rows.mapInPandas(run, "block int, part binary").groupBy("block").applyInPandas(added, "block int, part binary").orderBy("block").collect()
         return np.concatenate([np.frombuffer(r["part"], np.float32) for r in parts]).reshape(-1, basis.shape[1])
 
     basis, _ = np.linalg.qr(products(np.random.default_rng(5).standard_normal((size, rank)).astype(np.float32), both=False))
@@ -138,7 +164,7 @@ def lcs(a: list[int], b: list[int]) -> int:
 def find(docs: DataFrame, benchmark: DataFrame, corpus: DataFrame | None = None, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs (any columns, with a text) with ``_matches``: item_id, cosine, lcs and answer of each match.
 
-    corpus (with the same text column) is what term frequencies are counted over; docs themselves by default.
+    corpus (with the same text column) is what term frequencies are counted over and the latent space is fitted to; docs themselves by default.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,19 +178,19 @@ def find(docs: DataFrame, benchmark: DataFrame, corpus: DataFrame | None = None,
     n_words = np.bincount(of, minlength=len(items))
     if not (n_words >= MIN_WORDS).any():
         return docs.withColumn("_matches", F.array().cast(MATCHES))
-    freq, n_docs = document_frequencies(docs if corpus is None else corpus, text_col)
-    # A word that no document has tells no more than one of a single document: the passage may be here with that word replaced.
-    idf = np.log((1 + n_docs) / (1 + np.maximum(freq, 1)))
-    weight = np.maximum(idf, FLOOR).astype(np.float32)
     terms = np.unique(bins)
     row_of = np.full(BINS, -1, np.int32)
     row_of[terms] = np.arange(len(terms))
-    share = int(min(1.0, FIT_DOCS / max(n_docs, 1)) * (1 << 30))
-    sample = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)).distinct().select("text", F.lit(0.1).alias("scale"))
-    passages = stage_table(passages.select("text", F.lit(1.0).alias("scale")).union(sample).repartition(spark.sparkContext.defaultParallelism), "latent-passages")
-    vectors = decompose(passages, row_of, weight, len(terms))
+    counted = stage_table(bags((docs if corpus is None else corpus).select(F.col(text_col).alias("text")), row_of), "latent-bags")
+    freq, n_docs = document_frequencies(counted)
+    # A word that no document has tells no more than one of a single document: the passage may be here with that word replaced.
+    idf = np.log((1 + n_docs) / (1 + np.maximum(freq, 1)))
+    weight = np.maximum(idf, FLOOR).astype(np.float32)
+    scale = np.sqrt(min(DOC_WEIGHT, DOC_MASS / max(n_docs, 1)))
+    rows = counted.withColumn("scale", F.lit(float(scale))).union(bags(passages.select("text"), row_of).withColumn("scale", F.lit(1.0))).where("bin = -2").drop("bin", "n")
+    vectors = decompose(rows, weight[terms])
+    drop_tables(counted)
     cut = np.searchsorted(of, np.arange(0, len(items) + TILE, TILE))
-    drop_tables(passages)
     latent = np.zeros((len(items), vectors.shape[1]), np.float32)
     for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         text, term, value = _rows(bins[lo:hi], of[lo:hi] - i * TILE, row_of, weight, len(terms))
