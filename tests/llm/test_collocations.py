@@ -103,3 +103,21 @@ def test_languages_apart_and_long_texts(spark):
     got = mined(spark.createDataFrame(rows, "text string, lang string"))
     assert got == plain(rows) and ("fr", "mega word") in {(r[0], r[2]) for r in got}
     assert mined(spark.createDataFrame([("mega word. " * 30, "fr")], "text string, lang string").withColumn("n", F.lit(1))) == plain([("mega word. " * 30, "fr")])
+
+
+def test_waves_part_the_phrases_of_a_level(spark, monkeypatch):
+    """No wave's counts are all of a level's, each phrase is in one wave, and a table keeps key and count of a phrase once."""
+    rows, real, tables = corpus(5, 300), co._frequent, []
+
+    def frequent(df, key, least, name):
+        tables.append((name, real(df, key, least, name)))
+        kept = tables[-1][1].collect()
+        tables[-1] = (*tables[-1], {r["name"] for r in kept})
+        assert all((r["f"] is not None) == (r["at"] == r["name"]) == (r[key[0]] is not None) for r in kept)
+        return tables[-1][1]
+
+    monkeypatch.setattr(co, "_frequent", frequent)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert mined(df, shard_words=500, waves=3) == plain(rows)
+    level = [names for name, _, names in tables if name == "fm-level2"]
+    assert len(level) == 3 and all(level) and sum(map(len, level)) == len(set().union(*level))

@@ -9,7 +9,8 @@ are part of the interval of its first m words (right extension), and ``psi`` lea
 extension). So intervals of m + 1 words begin where those of one word do, or where ``psi`` enters another interval of m words:
 one gather for each level and no sorting. Only phrases whose first and last m words are frequent over all shards are extended;
 that leaves out no frequent phrase. Counts are summed across shards after each level; a phrase is known by the pair of its two
-shorter phrases, so sums are exact.
+shorter phrases, so sums are exact. The phrases of a level are dealt into waves by a hash of these pairs, and summed one wave
+after the other, so that the disk holds the counts of one wave at a time.
 
 A phrase of 2 to ``DEPTH`` words with at least ``least`` occurrences is a candidate. It is scored at its weakest cut:
 floor(2,000,000 a / (l + r)) for a occurrences of its own, l and r of its two parts. Candidates nearly all of whose occurrences
@@ -23,13 +24,15 @@ words and ends at a separator, so the longest piece bounds it from below. Other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, small_batches, stage_table
+from .arrays import mix64
+from .common import drop_tables, free_shuffles, small_batches, stage_table
 
 DEPTH = 4
 #: A-Z to a-z, tabs to spaces, and what ends a piece to a byte that UTF-8 doesn't have.
@@ -115,11 +118,13 @@ class Index:
 
 
 def _packed(bwt: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compresses."""
-    return bwt.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Bytes of equal weight together, compressed; and how many they are."""
+    data = bwt.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
@@ -164,16 +169,17 @@ def index_shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_
 
 
 def _frequent(rows: DataFrame, key: list[str], least: int, name: str) -> DataFrame:
-    """Staged: the rows (at, c, key) of phrases with at least so many occurrences over all shards, f, and the phrase's name.
+    """Staged: the places (at) of phrases with at least so many occurrences over all shards, and the phrase's name; its key and f where it has its name from.
 
     A phrase is named by the least of its places: no other has that place on its level.
     """
     over = Window.partitionBy(*key)
-    return stage_table(rows.withColumns({"f": F.sum("c").over(over), "name": F.min("at").over(over)}).where(F.col("f") >= least), name)
+    found = rows.withColumns({"f": F.sum("c").over(over), "name": F.min("at").over(over)}).where(F.col("f") >= least)
+    return stage_table(found.select("at", "name", *[F.when(F.col("at") == F.col("name"), F.col(c)).alias(c) for c in (*key, "f")]), name)
 
 
-def _extension(depth: int):
-    """What a shard gives for a level: the phrases of so many words, from its index and the frequent ones that are a word shorter."""
+def _extension(depth: int, wave: int = 0, waves: int = 1):
+    """What a shard gives for a wave of a level: the phrases of so many words, from its index and the frequent ones that are a word shorter."""
 
     def run(index: pa.Table, known: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64),) * 4
@@ -181,14 +187,15 @@ def _extension(depth: int):
             fm = Index(_unpacked(index.column("bwt")[0].as_py()))
             for _ in range(depth - 2):
                 fm.deeper()
-            start, *rest = fm.extend(known.column("at").to_numpy() & 0xFFFFFFFF, known.column("name").to_numpy())
-            out = (start + (index.column("shard")[0].as_py() << 32), *rest)
+            start, count, left, right = fm.extend(known.column("at").to_numpy() & 0xFFFFFFFF, known.column("name").to_numpy())
+            mine = mix64(mix64(left.astype(np.uint64)) + right.astype(np.uint64)) % np.uint64(waves) == np.uint64(wave)
+            out = (start[mine] + (index.column("shard")[0].as_py() << 32), count[mine], left[mine], right[mine])
         return pa.table([pa.array(x.astype(np.int64)) for x in out], names=["at", "c", "k1", "k2"])
 
     return run
 
 
-def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, inside_pct: int = 80, shard_words: int = 2_000_000) -> DataFrame:
+def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, inside_pct: int = 80, shard_words: int = 2_000_000, waves: int = 2) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases."""
     small_batches(docs.sparkSession)
     shards = stage_table(index_shards(docs, text, lang, shard_words), "fm-shards")
@@ -200,8 +207,14 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 3
     levels = [kept]
     for depth in range(2, DEPTH + 1):
         known = level.select(F.shiftright("at", 32).alias("shard"), "at", "name")
-        pairs = shards.select("shard", "bwt").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extension(depth), "at bigint, c bigint, k1 bigint, k2 bigint")
-        last, level = level, _frequent(pairs, ["k1", "k2"], least, f"fm-level{depth}")
+        both = shards.select("shard", "bwt").groupBy("shard").cogroup(known.groupBy("shard"))
+        found = []
+        for wave in range(waves):
+            # Spark may have held the last wave's shuffles until its listeners had heard of the end of that query.
+            free_shuffles(docs.sparkSession)
+            pairs = both.applyInArrow(_extension(depth, wave, waves), "at bigint, c bigint, k1 bigint, k2 bigint")
+            found.append(_frequent(pairs, ["k1", "k2"], least, f"fm-level{depth}"))
+        last, level = level, reduce(DataFrame.union, found)
         drop_tables(last)
         phrases = level.where("at = name").select("name", "k1", "k2", "f")
         one = levels[-1].select(F.col("name").alias("k1"), "lang", "phrase", "pre")
