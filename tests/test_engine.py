@@ -49,6 +49,25 @@ def test_range_join_against_all_pairs(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_range_join_sends_no_side_to_the_driver(spark):
+    """Small estimates must not make a broadcast of the cells, and no side is laid on levels that the other doesn't have."""
+    n = 2_000
+    rows = spark.range(n)  # estimated at 8 bytes a row, as if nothing were multiplied
+    got = intervals.translate(rows.selectExpr("id % 10 AS k", "id", "id * 7 AS start", "id * 7 + 100 AS stop"), rows.selectExpr("id % 10 AS k", "id * 7 AS at", "50L AS size", "id * 1000 AS target"), "k", 4096)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert {(r["id"], r["target_start"], r["length"]) for r in got.collect()} == {(i, j * 1000 + max(i - j, 0) * 7, min(i * 7 + 100, j * 7 + 50) - max(i, j) * 7) for i in range(n) for j in range(max(0, i - 20), min(n, i + 20)) if i % 10 == j % 10 and max(i, j) * 7 < min(i * 7 + 100, j * 7 + 50)}
+
+    def laid(plan):
+        """Rows that exchanges by key sent, adaptive plans and stages opened."""
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan" or name.endswith("QueryStage"):
+            return laid(plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan())
+        mine = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" and "_cell" in plan.toString().split("\n")[0] else 0
+        return mine + sum(laid(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    assert 0 < laid(got._jdf.queryExecution().executedPlan()) < 4 * n
+
+
 def test_times(spark):
     df = spark.createDataFrame([(0,), (-1,), (86_400_000,), (4_102_444_800_000,)], "v bigint")
     assert [r[0] for r in df.select(V.unix_us(df["v"], "ms")).collect()] == [None, None, 86_400_000_000, None]

@@ -38,24 +38,32 @@ def _whole(at: Column) -> Column:
     return F.call_function("div", at, F.col("_width"))
 
 
-def _cells(side: DataFrame, lo: str, hi: str, first: Column, last: Column, cell: int) -> DataFrame:
-    """side with each of its levels from first to last and the cells that it touches there: two at most."""
+def _cells(side: DataFrame, lo: str, hi: str, levels: Column, cell: int) -> DataFrame:
+    """side on each of these levels, with the cells that it touches there: two at most from its own level up."""
     widths = F.array(*[F.lit(min(cell * FACTOR**k, 1 << 62)).cast("bigint") for k in range(LEVELS)])
-    levels = side.where(first <= last).withColumn("_at", F.explode(F.sequence(first, last))).withColumn("_width", F.element_at(widths, F.col("_at") + 1))
-    return levels.withColumn("_cell", F.explode(F.sequence(_whole(F.col(lo)), _whole(F.col(hi) - 1))))
+    laid = side.withColumn("_at", F.explode(levels)).withColumn("_width", F.element_at(widths, F.col("_at") + 1))
+    return laid.withColumn("_cell", F.explode(F.sequence(_whole(F.col(lo)), _whole(F.col(hi) - 1))))
+
+
+def _beside(side: DataFrame, other: DataFrame) -> DataFrame:
+    """side, with the levels that ranges of other are of: one row, whatever the size of other."""
+    return side.crossJoin(F.broadcast(other.agg(F.collect_set("_own").alias("_used"))))
 
 
 def translate(ranges: DataFrame, extents: DataFrame, key: str, cell: int) -> DataFrame:
     """ranges (key, id, start, stop) through extents (key, at, size, target): id, target_start, length of each piece.
 
     A range join by cells in levels: every side lies in two cells at most of the level of its own size, and meets smaller
-    ones of the other side there, which are laid on the levels above their own. So a range of a terabyte is a few rows.
+    ones of the other side there, which are laid on those levels above their own that the other side has ranges of. So a
+    range of a terabyte is a few rows. The joins are merges by hint: Spark estimates sizes from compressed files, without
+    the rows that cells make, and would send all of these through the driver as a broadcast.
     """
     r = ranges.where("stop > start").withColumn("_own", _level(F.col("stop") - F.col("start"), cell))
-    e = extents.where("size > 0").withColumns({"_end": F.col("at") + F.col("size"), "_own_e": _level(F.col("size"), cell)})
-    top, own, own_e = F.lit(LEVELS - 1), F.col("_own"), F.col("_own_e")
-    met = _cells(r, "start", "stop", own, own, cell).join(_cells(e, "at", "_end", own_e, top, cell).drop("_width"), [key, "_at", "_cell"]).unionByName(
-        _cells(r, "start", "stop", own + 1, top, cell).join(_cells(e, "at", "_end", own_e, own_e, cell).drop("_width"), [key, "_at", "_cell"])
+    e = extents.where("size > 0").withColumns({"_end": F.col("at") + F.col("size"), "_own": _level(F.col("size"), cell)})
+    own, used = F.col("_own"), F.col("_used")
+    on = lambda side, lo, hi, levels: _cells(side, lo, hi, levels, cell).drop("_own", "_used")
+    met = on(r, "start", "stop", F.array(own)).join(on(_beside(e, r), "at", "_end", F.filter(used, lambda k: k >= own)).drop("_width").hint("merge"), [key, "_at", "_cell"]).unionByName(
+        on(_beside(r, e), "start", "stop", F.filter(used, lambda k: k > own)).join(on(e, "at", "_end", F.array(own)).drop("_width").hint("merge"), [key, "_at", "_cell"])
     )
     lo, hi = F.greatest("start", "at"), F.least("stop", "_end")
     first_cell = _whole(lo) == F.col("_cell")  # a pair that shares two cells counts in the first
